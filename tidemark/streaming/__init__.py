@@ -1,0 +1 @@
+"""No operator of this library needs a stream: every job is a batch with an explicit as-of date."""
