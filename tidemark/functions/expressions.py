@@ -12,7 +12,7 @@ __all__ = [
     "as_column", "bucket_flag", "clean_nan", "contains_rules", "count_where", "distinct_list",
     "fill_defaults", "flag", "guarded_ratio", "half_even", "half_up", "json_text", "lookup",
     "mean_seconds", "period_sin_cos", "present_flag", "repair_json", "seconds_between",
-    "stable_round", "sum_where", "to_number",
+    "sum_where", "to_number",
 ]
 
 
@@ -65,24 +65,20 @@ def to_number(column: str | Column) -> Column:
 
 
 def half_up(column: str | Column, places: int) -> Column:
-    return F.round(as_column(column), places)
+    """Half-up rounding as on exact numbers: float noise below 1e-10 cannot tip a tie."""
+    return F.round(as_column(column).cast(T.DecimalType(38, 10)), places).cast("double")
 
 
 def half_even(column: str | Column, places: int) -> Column:
     return F.bround(as_column(column), places)
 
 
-def stable_round(column: str | Column, places: int = 4) -> Column:
-    """Half-up rounding on a decimal, so float noise below 1e-10 cannot tip a tie."""
-    return F.round(as_column(column).cast(T.DecimalType(38, 10)), places).cast("double")
-
-
 def seconds_between(start: str | Column, end: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", as_column(start), as_column(end)) / F.lit(1e6)
 
 
 def mean_seconds(start: str | Column, end: str | Column, places: int = 2) -> Column:
-    return F.round(F.avg(F.timestamp_diff("MICROSECOND", as_column(start), as_column(end))) / F.lit(1e6), places)
+    return half_up(F.avg(F.timestamp_diff("MICROSECOND", as_column(start), as_column(end))) / F.lit(1e6), places)
 
 
 def distinct_list(column: str | Column, separator: str = ", ") -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import hashed_id
 from tidemark.operators.filters import only_approved
+from tidemark.operators.ranking import broadcast_checked
 
 KEY, TIER = "user_account_id", "allocated_operational_tier"
 PART_ROWS = 10_000
@@ -64,11 +65,24 @@ def unwrap_records(df: DataFrame, column: str, schema: T.StructType, field: str
     return df.select(F.explode(F.from_json(column, wrapper)[field]).alias("r")).select("r.*")
 
 
-def numbered_parts(df: DataFrame, by: str, part_rows: int = PART_ROWS) -> DataFrame:
+def part_number(key: str, parts: Column) -> Column:
+    """Even and repeatable spread of keys over parts."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), parts).cast("int")
+
+
+def numbered_parts(df: DataFrame, by: str, part_rows: int = PART_ROWS, key: str = KEY) -> DataFrame:
     """Add ``part`` and ``parts``: rows of a large group are spread evenly over parts of about ``part_rows``."""
     sizes = df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    sized = df.join(F.broadcast(sizes), by)
-    return sized.withColumn("part", F.pmod(F.xxhash64(F.col(KEY).cast("string")), F.col("parts")).cast("int"))
+    sized = df.join(broadcast_checked(sizes), by)
+    return sized.withColumn("part", part_number(key, F.col("parts")))
+
+
+def joined_parts(df: DataFrame, by: str, key: str, note: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Joined keys and notes in key order per group and part; missing notes count as empty text."""
+    entry = F.struct(F.col(key).alias("k"), F.coalesce(F.col(note), F.lit("")).alias("n"))
+    grouped = numbered_parts(df, by, part_rows, key).groupBy(by, "part", "parts").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return grouped.select(by, "part", "parts", F.array_join(F.transform("e", lambda s: s["k"].cast("string")), ", ").alias("ids"),
+                          F.array_join(F.transform("e", lambda s: s["n"]), ", ").alias("notes"))
 
 
 def _campaign_rows(df: DataFrame) -> DataFrame:
@@ -123,14 +137,10 @@ def audit_rows(df: DataFrame, run_id: str, user: str, at: dt.datetime, target: s
 
 def message_texts(df: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Subject and body per campaign and part with the joined ids and notes."""
-    dealt = numbered_parts(_campaign_rows(df), "event_type", part_rows)
-    entries = F.array_sort(F.collect_list(F.struct(F.col(KEY).alias("k"), F.coalesce("audit_notes", F.lit("")).alias("n"))))
-    joined = dealt.groupBy("event_type", "part", "parts").agg(entries.alias("e"))
-    ids = F.array_join(F.transform("e", lambda s: s["k"].cast("string")), ", ")
-    notes = F.array_join(F.transform("e", lambda s: s["n"]), ", ")
+    joined = joined_parts(_campaign_rows(df), "event_type", KEY, "audit_notes", part_rows)
     (vip, (vip_subject, vip_body)), (_, (mail_subject, mail_body)) = MESSAGES.items()
     is_vip = F.col("event_type") == vip
-    body = F.replace(F.when(is_vip, vip_body).otherwise(mail_body), F.lit("{ids}"), ids)
-    return joined.select("event_type", "part", "parts", ids.alias("ids"), notes.alias("notes"),
+    body = F.replace(F.when(is_vip, vip_body).otherwise(mail_body), F.lit("{ids}"), F.col("ids"))
+    return joined.select("event_type", "part", "parts", "ids", "notes",
                          F.when(is_vip, vip_subject).otherwise(mail_subject).alias("subject"),
-                         F.replace(body, F.lit("{notes}"), notes).alias("body"))
+                         F.replace(body, F.lit("{notes}"), F.col("notes")).alias("body"))
