@@ -9,7 +9,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.profiles import correlations
+from tidemark.operators.profiles import correlations, pearson
 from tidemark.operators.quality import safe_name
 from tidemark.operators.ranking import broadcast_checked, numbered
 
@@ -77,8 +77,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str,
         found.update({(a, b): float(matrix[i, j]) for i, a in enumerate(filled) for j, b in enumerate(filled)})
     for gap in sorted(gaps):
         others = [c for c in columns if c != gap]
-        row = df.agg(*[F.corr(F.col(f"`{gap}`").cast("double"), F.col(f"`{o}`").cast("double")).alias(f"c{i}")
-                       for i, o in enumerate(others)]).first()
+        row = df.agg(*[pearson(gap, o).alias(f"c{i}") for i, o in enumerate(others)]).first()
         for i, other in enumerate(others):
             value = row[f"c{i}"]
             found[gap, other] = found[other, gap] = float("nan") if value is None else value
