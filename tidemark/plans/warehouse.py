@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import (
@@ -364,12 +364,15 @@ SNAPSHOT_BILLING = {
 def fct_daily_user_snapshot(spine: DataFrame, activity: DataFrame, support: DataFrame, billing: DataFrame) -> DataFrame:
     """Every subscription-day with what happened on it; quiet days hold zeros."""
     columns = {**SNAPSHOT_ACTIVITY, **SNAPSHOT_SUPPORT, **SNAPSHOT_BILLING}
+    # Billing joins first: the spine comes partitioned by subscription, and its rows are still narrow
+    # when they move to their users.
+    by_user = activity.select(USER, DAY, *[f for f, _ in SNAPSHOT_ACTIVITY.values()]).join(
+        support.select(USER, DAY, *[f for f, _ in SNAPSHOT_SUPPORT.values()]), [USER, DAY], "full")
     joined = (spine.select(DAY, USER, SUBSCRIPTION, F.col("subscription_status").alias("historical_subscription_status"),
                            F.col("subscription_plan_code").alias("historical_subscription_plan_code"),
                            F.col("billing_cycle").alias("historical_billing_cycle"))
-              .join(activity.select(USER, DAY, *[f for f, _ in SNAPSHOT_ACTIVITY.values()]), [USER, DAY], "left")
-              .join(support.select(USER, DAY, *[f for f, _ in SNAPSHOT_SUPPORT.values()]), [USER, DAY], "left")
-              .join(billing.select(SUBSCRIPTION, DAY, *[f for f, _ in SNAPSHOT_BILLING.values()]), [SUBSCRIPTION, DAY], "left"))
+              .join(billing.select(SUBSCRIPTION, DAY, *[f for f, _ in SNAPSHOT_BILLING.values()]), [SUBSCRIPTION, DAY], "left")
+              .join(by_user, [USER, DAY], "left"))
     filled = fill_defaults(joined, {fact: default for fact, default in columns.values()})
     return filled.select(DAY, USER, SUBSCRIPTION, "historical_subscription_status", "historical_subscription_plan_code",
                          "historical_billing_cycle", *[F.col(fact).alias(name) for name, (fact, _) in columns.items()])
@@ -481,10 +484,99 @@ def behaviour_features(snapshot: DataFrame, anchors: DataFrame) -> DataFrame:
         *[sum_where(within(days), column).alias(name) for name, (days, column) in TRAILING_SUMS.items()])
 
 
+def subscription_spans(intervals: DataFrame, as_of: dt.date) -> DataFrame:
+    """First and last day per user and how many subscriptions share them.
+
+    The intervals of one subscription follow each other without a gap, so its days are one span.
+    """
+    last = F.least("valid_to", F.lit(as_of))
+    spans = intervals.filter(F.col("valid_from") <= last).groupBy(USER, SUBSCRIPTION).agg(
+        F.min("valid_from").alias("span_from"), F.max(last).alias("span_to"))
+    return spans.groupBy(USER, "span_from", "span_to").agg(F.count(F.lit(1)).alias("subscriptions"))
+
+
+def behaviour_from_facts(intervals: DataFrame, activity: DataFrame, support: DataFrame, billing: DataFrame,
+                         as_of: dt.date) -> DataFrame:
+    """The measures of ``behaviour_features`` without a row per quiet day.
+
+    Sums need only the days on which something happened, weighted by the subscriptions that cover
+    the day; averages divide by the number of subscription-days, which is interval arithmetic. The
+    cost follows the facts, not users times days.
+    """
+    spans = subscription_spans(intervals, as_of)
+    before = Window.partitionBy(USER).orderBy("span_from").rowsBetween(Window.unboundedPreceding, -1)
+
+    def days(first, last):
+        return F.greatest(F.datediff(last, first) + 1, F.lit(0)).cast("long")
+
+    # Per user and start day only the latest end matters for the distinct days covered.
+    covered = (spans.groupBy(USER, "span_from").agg(F.max("span_to").alias("span_to"))
+               .withColumn("seen_to", F.max("span_to").over(before))
+               .groupBy(USER).agg(F.sum(days(F.greatest("span_from", F.date_add("seen_to", 1)), F.col("span_to")))
+                                  .alias("lifetime_total_active_days_observed")))
+    anchors = interval_anchors(intervals, as_of)
+
+    def spine_days(back: int | None):
+        start = F.col("span_from") if back is None else F.greatest("span_from", F.date_sub("final_active_date", back))
+        return F.sum(days(start, F.col("span_to")) * F.col("subscriptions"))
+
+    lengths = spans.join(anchors.select(USER, "final_active_date"), USER).groupBy(USER).agg(
+        spine_days(None).alias("n_all"), spine_days(7).alias("n_7"), spine_days(30).alias("n_30"))
+
+    dated_spans = spans.join(anchors.select(USER, "final_active_date"), USER)
+    on_span = F.col(DAY).between(F.col("span_from"), F.col("span_to"))
+    facts = {name: fact for name, (fact, default) in {**SNAPSHOT_ACTIVITY, **SNAPSHOT_SUPPORT}.items() if default == 0}
+    numbers = activity.drop(*ACTIVITY_TRAITS).join(support, [USER, DAY], "full")
+    by_day = numbers.select(USER, DAY, *[F.coalesce(F.col(fact), F.lit(0)).alias(name) for name, fact in facts.items()])
+    used = dated_spans.join(by_day, USER).filter(on_span)
+
+    def within(back: int):
+        return F.col(DAY) >= F.date_sub("final_active_date", back)
+
+    def total(column: str):
+        return F.sum(F.col(column) * F.col("subscriptions"))
+
+    def recent_total(back: int, column: str):
+        return F.sum(F.when(within(back), F.col(column) * F.col("subscriptions")).otherwise(F.lit(0)))
+
+    billing_columns = {name: fact for name, (fact, _) in SNAPSHOT_BILLING.items()}
+    sums = {name: column for name, column in LIFETIME_SUMS.items() if column not in billing_columns}
+    trailing = {name: rule for name, rule in TRAILING_SUMS.items() if rule[1] not in billing_columns}
+    by_user = used.groupBy(USER).agg(
+        *[total(column).alias(name) for name, column in sums.items()],
+        *[total(column).alias(f"t_{name}") for name, column in {**LIFETIME_MEANS, "minutes": "daily_total_duration_sec"}.items()],
+        recent_total(7, "daily_total_duration_sec").alias("t_minutes_7"), recent_total(30, "daily_avg_latency_ms").alias("t_latency_30"),
+        *[recent_total(*rule).alias(name) for name, rule in trailing.items()],
+        F.max("daily_largest_contentful_paint_ms").alias("largest"), F.sum("subscriptions").alias("busy_days"))
+    owners = intervals.filter(F.col("valid_from") <= F.least("valid_to", F.lit(as_of))).groupBy(SUBSCRIPTION, USER).agg(
+        F.min("valid_from").alias("span_from"), F.max(F.least("valid_to", F.lit(as_of))).alias("span_to"))
+    paid = (billing.select(SUBSCRIPTION, DAY, *[F.col(fact).alias(name) for name, fact in billing_columns.items()])
+            .join(owners, SUBSCRIPTION).filter(on_span).join(anchors.select(USER, "final_active_date"), USER).groupBy(USER).agg(
+        *[F.sum(column).alias(name) for name, column in LIFETIME_SUMS.items() if column in billing_columns],
+        *[sum_where(within(days_back), column).alias(name) for name, (days_back, column) in TRAILING_SUMS.items() if column in billing_columns]))
+    joined = covered.join(lengths, USER).join(by_user, USER, "left").join(paid, USER, "left")
+
+    def mean(column: str, count: str):
+        return F.coalesce(F.col(column), F.lit(0.0)) / F.nullif(F.col(count), F.lit(0))
+
+    quiet = F.coalesce("busy_days", F.lit(0)) < F.col("n_all")
+    return joined.select(
+        USER, "lifetime_total_active_days_observed", (mean("t_minutes", "n_all") / 60.0).alias("lifetime_avg_daily_active_minutes"),
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in LIFETIME_SUMS],
+        *[mean(f"t_{name}", "n_all").alias(name) for name in LIFETIME_MEANS],
+        F.when(quiet, F.greatest("largest", F.lit(0.0))).otherwise(F.col("largest")).alias("lifetime_largest_contentful_paint_ms"),
+        (mean("t_minutes_7", "n_7") / 60.0).alias("trailing_7d_avg_active_minutes"),
+        mean("t_latency_30", "n_30").alias("trailing_30d_avg_latency_ms"),
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in TRAILING_SUMS])
+
+
 def churn_feature_matrix(snapshot: DataFrame, dimension: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """One row of 63 columns per user that has at least one subscription-day."""
+    """The matrix from a (written) snapshot: one row of 63 columns per dimension row with at least one subscription-day."""
     anchors = timeline_anchors(snapshot) if anchors is None else anchors
-    behaviour = behaviour_features(snapshot, anchors)
+    return assemble_matrix(dimension, anchors, behaviour_features(snapshot, anchors))
+
+
+def assemble_matrix(dimension: DataFrame, anchors: DataFrame, behaviour: DataFrame) -> DataFrame:
     joined = dimension.join(anchors, USER).join(behaviour, USER)
     logins_per_day = guarded_ratio("lifetime_total_successful_logins", "lifetime_total_active_days_observed")
     computed = joined.withColumns({
@@ -501,15 +593,17 @@ def churn_feature_matrix(snapshot: DataFrame, dimension: DataFrame, anchors: Dat
 def build_all(raw: Mapping[str, DataFrame], as_of: dt.date) -> dict[str, DataFrame]:
     """The eight derived tables, composed lazily.
 
-    For a production run write the snapshot once (``write_layer``, partitioned by day) and feed the
-    written copy to ``churn_feature_matrix``, which reads it once when given interval anchors.
+    The matrix is computed from the daily facts and the intervals. ``churn_feature_matrix`` gives
+    the same rows from a written snapshot.
     """
     profiles = user_profiles(raw)
     spine = subscription_lifecycle_daily(raw, as_of)
     activity, support, billing = user_activity_daily(raw), customer_support_daily(raw), billing_and_revenue_daily(raw)
     dimension = dim_users(profiles)
     snapshot = fct_daily_user_snapshot(spine, activity, support, billing)
-    matrix = churn_feature_matrix(snapshot, dimension, interval_anchors(subscription_intervals(raw, as_of), as_of))
+    intervals = subscription_intervals(raw, as_of)
+    matrix = assemble_matrix(dimension, interval_anchors(intervals, as_of),
+                             behaviour_from_facts(intervals, activity, support, billing, as_of))
     return {
         "user_profiles": profiles, "subscription_lifecycle_daily": spine, "user_activity_daily": activity,
         "customer_support_daily": support, "billing_and_revenue_daily": billing, "dim_users": dimension,
