@@ -50,7 +50,8 @@ def test_audit_log_checks_required_values_and_skips_empty_input(spark, tmp_path)
     schema = "audit_id string, user_account_id string, action_taken string, status string, event_timestamp timestamp_ntz"
     good = spark.createDataFrame([row], schema)
     assert sinks.append_audit_log(good.limit(0), path) == 0 and not (tmp_path / "log").exists()
-    assert sinks.append_audit_log(good, path) == 1 and sinks.append_audit_log(good, path) == 1
+    assert sinks.append_audit_log(good, path) == 1 and sinks.append_audit_log(good, path) == 0
+    assert sinks.append_audit_log(good.withColumn("audit_id", F.lit("a2")), path) == 1
     assert spark.read.parquet(path).count() == 2 and len(spark.read.parquet(path).columns) == 13
     with pytest.raises(ValueError, match="required"):
         sinks.append_audit_log(good.withColumn("status", F.lit(None).cast("string")), path)
@@ -67,5 +68,6 @@ def test_catalog_tables(spark, tmp_path):
 
 def test_outbox_lines(spark, tmp_path):
     path = str(tmp_path / "outbox")
-    sinks.write_outbox(spark.createDataFrame([('{"a": 1}',), ('{"a": 2}',)], "payload string"), path)
+    for _ in range(2):
+        sinks.write_outbox(spark.createDataFrame([('{"a": 1}',), ('{"a": 2}',)], "payload string"), path, "r1")
     assert sorted(r["a"] for r in spark.read.json(path).collect()) == [1, 2]

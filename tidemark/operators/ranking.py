@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
-SMALL_GROUP_ROWS = 1_000_000
+SMALL_GROUP_CELLS = 4_000_000  # values of one group that an aggregate may hold in one task
 ACCURACY = 10_000
 
 
@@ -97,7 +97,7 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                    small_group: int = SMALL_GROUP_ROWS) -> DataFrame:
+                    small_group: int = SMALL_GROUP_CELLS) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (group, feature), columns ``q0, q1, ...``.
 
     Groups of a proven small size use the built-in aggregate. Otherwise each wanted rank is
@@ -109,7 +109,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     values = df.select(*by, *[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(columns)]).withColumns(
         {f"v{j}": F.when(~F.isnan(f"v{j}"), F.col(f"v{j}")) for j in range(len(columns))})
     largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= small_group:
+    if largest * len(columns) <= small_group:
         wide = values.groupBy(*by).agg(*[
             F.percentile(f"v{j}", probs).alias(f"p{j}") for j in range(len(columns))])
         rows = wide.select(*by, F.inline(F.array(*[

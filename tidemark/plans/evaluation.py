@@ -23,7 +23,7 @@ def precision_recall(df: DataFrame, score: str, label: str) -> DataFrame:
     total = F.nullif(F.lit(positives), F.lit(0))
     first = (before_pos + before_neg) == 0
     return steps.select(
-        "threshold", "cum_pos", "cum_neg",
+        "threshold", "pos", "neg", "cum_pos", "cum_neg",
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
         (F.col("cum_pos") / total).alias("recall"),
         F.when(first, F.lit(1.0)).otherwise(before_pos / F.nullif(before_pos + before_neg, F.lit(0))).alias("last_precision"),
@@ -35,14 +35,13 @@ def curve_summary(df: DataFrame, score: str, label: str, near: float = 0.35) ->
     curve = precision_recall(df, score, label)
     rise = F.col("recall") - F.col("last_recall")
     distance = F.struct(F.abs(F.col("threshold") - near), F.col("threshold"))
-    areas = curve.agg(
+    squared = F.col("pos") * F.pow(F.col("threshold") - 1, 2) + F.col("neg") * F.pow("threshold", 2)
+    return curve.agg(
         F.sum(rise * F.col("precision")).alias("average_precision"),
         F.sum(rise * (F.col("precision") + F.col("last_precision")) / 2).alias("pr_area"),
+        (F.sum(squared) / F.sum(F.col("pos") + F.col("neg"))).alias("brier_score"),
         F.min_by("threshold", distance).alias("near_threshold"),
         F.min_by("precision", distance).alias("near_precision"), F.min_by("recall", distance).alias("near_recall"))
-    brier = df.agg(F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier_score"))
-    # Two single-row tables joined on a constant key.
-    return areas.withColumn("__k", F.lit(1)).join(brier.withColumn("__k", F.lit(1)), "__k").drop("__k")
 
 
 def calibration_bins(df: DataFrame, score: str, label: str, bins: int = 5) -> DataFrame:

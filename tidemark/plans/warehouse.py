@@ -18,6 +18,8 @@ from tidemark.functions import (
 )
 from tidemark.operators.intervals import interval_days, state_intervals
 from tidemark.operators.joins import full_outer_daily, left_join_many, scalar_lookup
+from tidemark.sources.readers import read_layer
+from tidemark.sources.sinks import write_layer
 
 USER, DAY, SUBSCRIPTION = "user_account_id", "activity_date", "subscription_id"
 
@@ -204,24 +206,42 @@ def click_rollup(clicks: DataFrame) -> DataFrame:
         half_up(F.avg("latency_ms"), 0).alias("session_latency"), distinct_list("geo_city").alias("session_cities"))
 
 
+def speed_rollup(speed: DataFrame) -> DataFrame:
+    """Performance rows to one row per session: row count, and total and filled count per measure."""
+    measures = []
+    for source, measure, _ in SPEED_COLUMNS.values():
+        value = F.col(source).cast("double")
+        measures += [F.max(value).alias(f"max_{source}")] if measure is F.max else [
+            F.sum(value).alias(f"sum_{source}"), F.count(value).alias(f"count_{source}")]
+    return speed.groupBy("product_session_id").agg(F.count(F.lit(1)).alias("copies"), *measures)
+
+
 def product_daily(sessions: DataFrame, speed: DataFrame, clicks: DataFrame) -> DataFrame:
     """Sessions that have both clicks and performance rows, rolled up to user-days.
 
-    A session counts once per performance row, as in the source definition.
+    By definition a session counts once per performance row. The repetition is a weight here, so
+    both event tables shrink to one row per session before the joins and no session can be hot.
     """
     totals = ["total_events", *CLICK_COLUMNS.values(), *SCREEN_COLUMNS.values()]
     sessions = sessions.select("product_session_id", USER, "session_started_at", "session_ended_at", "created_at",
                                "device_model", "browser_name", "platform_type")
-    speed = speed.select("product_session_id", *dict.fromkeys(source for source, _, _ in SPEED_COLUMNS.values()))
-    joined = sessions.join(click_rollup(clicks), "product_session_id").join(speed, "product_session_id")
+    joined = sessions.join(click_rollup(clicks), "product_session_id").join(speed_rollup(speed), "product_session_id")
+    copies = F.col("copies")
+
+    def weighted_mean(column: str):
+        filled = F.sum(F.when(F.col(column).isNotNull(), copies))
+        return F.sum(F.col(column) * copies) / F.nullif(filled, F.lit(0))
+
+    speeds = [half_up(F.max(f"max_{source}") if measure is F.max
+                      else F.sum(f"sum_{source}") / F.nullif(F.sum(f"count_{source}"), F.lit(0)), places).alias(name)
+              for name, (source, measure, places) in SPEED_COLUMNS.items()]
     return joined.groupBy(USER, F.to_date("created_at").alias(DAY)).agg(
-        F.sum(seconds_between("session_started_at", "session_ended_at")).alias("total_duration_sec"),
+        F.sum(seconds_between("session_started_at", "session_ended_at") * copies).alias("total_duration_sec"),
         F.size(F.collect_set("device_model")).cast("long").alias("total_devices_used"),
         distinct_list("device_model").alias("device_models"), distinct_list("browser_name").alias("browsers_used"),
         distinct_list("platform_type").alias("platform_types"), F.max("session_cities").alias("geo_city"),
-        *[F.sum(name).alias(name) for name in totals], half_up(F.avg("session_latency"), 0).alias("avg_latency"),
-        *[half_up(measure(F.col(source).cast("double")), places).alias(name)
-          for name, (source, measure, places) in SPEED_COLUMNS.items()])
+        *[F.sum(F.col(name) * copies).alias(name) for name in totals],
+        half_up(weighted_mean("session_latency"), 0).alias("avg_latency"), *speeds)
 
 
 def logins_daily(logins: DataFrame) -> DataFrame:
@@ -609,3 +629,26 @@ def build_all(raw: Mapping[str, DataFrame], as_of: dt.date) -> dict[str, DataFra
         "customer_support_daily": support, "billing_and_revenue_daily": billing, "dim_users": dimension,
         "fct_daily_user_snapshot": snapshot, "churn_feature_matrix": matrix,
     }
+
+
+def write_warehouse(raw: Mapping[str, DataFrame], as_of: dt.date, root: str) -> dict[str, DataFrame]:
+    """Write the three layers below ``root`` and return the written tables.
+
+    Each layer is built from the written one before it, so nothing is computed twice and a failed
+    job restarts at its layer. Daily tables are partitioned by day.
+    """
+    spark = next(iter(raw.values())).sparkSession
+    lazy = build_all(raw, as_of)
+    daily = {name: [DAY] for name in lazy if name.endswith("_daily") or name == "fct_daily_user_snapshot"}
+    inner = ["user_profiles", "subscription_lifecycle_daily", "user_activity_daily", "customer_support_daily", "billing_and_revenue_daily"]
+    write_layer({name: lazy[name] for name in inner}, f"{root}/int", daily)
+    facts = read_layer(spark, f"{root}/int", inner)
+    mart = {"dim_users": dim_users(facts["user_profiles"]),
+            "fct_daily_user_snapshot": fct_daily_user_snapshot(*[facts[name] for name in inner[1:]])}
+    write_layer(mart, f"{root}/mart", daily)
+    written = read_layer(spark, f"{root}/mart", list(mart))
+    intervals = subscription_intervals(raw, as_of)
+    matrix = assemble_matrix(written["dim_users"], interval_anchors(intervals, as_of),
+                             behaviour_from_facts(intervals, *[facts[name] for name in inner[2:]], as_of))
+    write_layer({"churn_feature_matrix": matrix}, f"{root}/analytics")
+    return {**facts, **written, **read_layer(spark, f"{root}/analytics", ["churn_feature_matrix"])}

@@ -75,13 +75,22 @@ def write_versioned(df: DataFrame, table: str) -> int:
 
 
 def append_audit_log(df: DataFrame, path: str) -> int:
-    """Append log rows in the declared layout; required columns must be filled. Empty input writes nothing."""
+    """Append log rows in the declared layout; required columns must be filled.
+
+    Rows whose id the log already holds are left out, so a repeated job appends nothing twice.
+    Empty input writes nothing.
+    """
     missing = F.lit(False)
     for name in AUDIT_LOG_REQUIRED:
         missing = missing | F.col(name).isNull()
-    total, bad = df.agg(F.count(F.lit(1)), F.count_if(missing)).first()
+    bad = df.filter(missing).count()
     if bad:
         raise ValueError(f"{bad} audit rows lack a required value")
+    try:
+        df = df.join(df.sparkSession.read.schema(AUDIT_LOG).parquet(path).select("audit_id"), "audit_id", "left_anti")
+    except AnalysisException:
+        pass  # no log yet
+    total = df.count()
     if not total:
         return 0
     columns = [
@@ -91,6 +100,6 @@ def append_audit_log(df: DataFrame, path: str) -> int:
     return total
 
 
-def write_outbox(payloads: DataFrame, path: str, column: str = "payload") -> None:
-    """One JSON document per line."""
-    payloads.select(F.col(column).alias("value")).write.mode("append").text(path)
+def write_outbox(payloads: DataFrame, path: str, run_id: str, column: str = "payload") -> None:
+    """One JSON document per line below the run's own folder; repeating a run replaces its documents."""
+    payloads.select(F.col(column).alias("value")).write.mode("overwrite").text(f"{path}/run={run_id}")
