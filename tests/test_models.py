@@ -161,6 +161,17 @@ def test_redundant_columns_follow_column_order():
     assert encoding.redundant_columns({**pairs, **{(b, a): v for (a, b), v in pairs.items()}}, ["a", "b", "c"]) == ["b", "c"]
 
 
+def test_correlations_with_gaps_equal_brute_force(spark):
+    random = np.random.default_rng(11)
+    frame = pd.DataFrame(random.normal(size=(200, 4)), columns=list("abcd"))
+    frame["d"] += frame["a"]
+    frame.loc[random.random(200) < 0.3, "b"] = None
+    frame.loc[random.random(200) < 0.3, "d"] = None
+    df = spark.createDataFrame(frame).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in frame])
+    found, expected = encoding.correlation_matrix(df, list("abcd")), frame.corr()
+    assert all(found[a, b] == pytest.approx(expected.loc[a, b]) for a in "abcd" for b in "abcd" if a != b)
+
+
 def test_levels_are_frozen_and_names_clean(bundle):
     assert any("lt_" in name for name in bundle.recipe.order) or "annual_revenue_range_lt_1M" in bundle.recipe.redundant
     assert "avg_rating" not in bundle.recipe.order and "technical_frustration_index" in [*bundle.recipe.order, *bundle.recipe.redundant]
@@ -246,3 +257,7 @@ def test_records_unwrap(spark):
     df = spark.createDataFrame([('{"predictions": [{"a": 1}, {"a": 2}]}',)], "body string")
     schema = spark.range(1).selectExpr("1 AS a").schema
     assert [r["a"] for r in dispatch.unwrap_records(df, "body", schema).collect()] == [1, 2]
+    many = spark.range(100).select(F.col("id").cast("int").alias("a"))
+    wrapped = dispatch.wrap_records(many, "a", "predictions", part_rows=30)
+    assert wrapped.count() == 4
+    assert sorted(r["a"] for r in dispatch.unwrap_records(wrapped, "body", schema).collect()) == list(range(100))

@@ -121,3 +121,11 @@ def test_matrix_from_facts_equals_matrix_from_snapshot(built):
 def test_lifetime_sums_equal_snapshot_sums(built):
     total = built["churn_feature_matrix"].filter("user_account_id = 1").agg(F.sum("lifetime_total_revenue_contributed")).first()[0]
     assert total == built["fct_daily_user_snapshot"].filter("user_account_id = 1").agg(F.sum("daily_successful_payments_collected")).first()[0] == 10.0
+
+
+def test_timeline_can_stop_at_the_cancellation(raw):
+    full = wh.build_all(raw, AS_OF, stop_at_cancel=True)
+    days = full["fct_daily_user_snapshot"].filter("subscription_id = 10")
+    assert days.agg(F.max("activity_date")).first()[0] == D(2024, 2, 5) and days.count() == 36
+    one = full["churn_feature_matrix"].filter("user_account_id = 1").first()
+    assert (one["is_churned"], one["lifetime_total_active_days_observed"], one["trailing_7d_total_logins"]) == (1, 36, 2)

@@ -292,14 +292,32 @@ def tier_counts(spark, sf):
     return filters.tier_counts(scoring.value_matrix(value_view(spark, sf), "p", "revenue", "tenure", "currency"), "action_trigger")
 
 
-@query("m24_assessment_documents")
+DRIVER_SQL = "list_sort([{'v': 1e-3 * (inr - 300.0), 'i': 0, 'n': 'normalized_revenue_inr'}, {'v': -1e-2 * (tenure - 2000.0), 'i': -1, 'n': 'tenure'}, {'v': 5.0 * (p - 0.3), 'i': -2, 'n': 'p'}], 'DESC')"
+
+
+@query("m24_assessment_documents", f"""
+WITH {VALUE_SQL}, z AS (SELECT *, {DRIVER_SQL} AS d FROM y)
+SELECT c_custkey, {r('round_even(CAST(p AS DECIMAL(18,10)), 4)')} AS probability, CASE WHEN p >= 0.35 AND ltv_inr > 50000 THEN 'VIP_RED_ALERT' WHEN p >= 0.35 AND ltv_inr <= 50000 THEN 'AUTOMATED_LOW_COST_EMAIL' ELSE 'STABLE_NO_ACTION' END AS tier,
+       CASE WHEN p >= 0.35 AND ltv_inr > 50000 THEN 'CRITICAL_ENTERPRISE_RISK' WHEN p >= 0.35 AND ltv_inr <= 50000 THEN 'ELEVATED_SMB_RISK' ELSE 'STABLE_ACCOUNT' END AS risk_tier,
+       {r('round_even(CAST(arpu_inr AS DECIMAL(38,10)), 2)', 2)} AS arpu, CASE WHEN tenure IS NOT NULL THEN d[1].n END AS first_driver, CASE WHEN tenure IS NOT NULL THEN d[3].n END AS first_anchor FROM z""")
 def assessments(spark, sf):
     valued = scoring.value_matrix(value_view(spark, sf), "p", "revenue", "tenure", "currency")
     names = ["normalized_revenue_inr", "tenure", "p"]
     parts = attribution.linear_contributions(names, [1e-3, -1e-2, 5.0], [300.0, 2000.0, 0.3])
     document = scoring.assessment_json("p", "action_trigger", "monthly_arpu", "calibrated_ltv",
                                        attribution.top_drivers(parts, names), attribution.bottom_anchors(parts, names))
-    return valued.select("c_custkey", document.alias("document"))
+    documents = valued.select("c_custkey", "tenure", document.alias("document"))
+
+    def read(path):
+        return F.get_json_object("document", path)
+
+    known = F.col("tenure").isNotNull()
+    return documents.select(
+        "c_custkey", r4(read("$.user_risk_assessment.calibrated_churn_probability").cast("double")).alias("probability"),
+        read("$.user_risk_assessment.allocated_operational_tier").alias("tier"), read("$.user_risk_assessment.risk_tier").alias("risk_tier"),
+        half_up(read("$.customer_financial_profile_inr.monthly_arpu_inr").cast("double"), 2).alias("arpu"),
+        F.when(known, read("$.root_cause_diagnosis.top_frustration_vectors[0]")).alias("first_driver"),
+        F.when(known, read("$.root_cause_diagnosis.top_retention_anchors[0]")).alias("first_anchor"))
 
 
 # ---------------------------------------------------------------- prediction table maintenance
@@ -386,9 +404,19 @@ def dispatch_outbox(spark, sf):
     return dispatch_payloads(reviewed(spark, sf), RUN, USER, AT, "Please call.", 200).drop("payload")
 
 
-@query("m25_dispatch_payloads")
+@query("m25_dispatch_payloads", f"""
+WITH {APPROVED_SQL}, {parts_sql('approved', 'event_type', 'user_account_id', 200)}
+SELECT event_type, part, parts, substr(sha256('{RUN}|' || event_type), 1, 32) AS request_id, user_account_id, tier, audit_notes, action_taken, 'PENDING' AS status, '2024-02-01 09:30:00' AS logged_at FROM parted""")
 def dispatch_documents(spark, sf):
-    return dispatch_payloads(reviewed(spark, sf), RUN, USER, AT, "Please call.", 200)
+    """Customers and log stubs read back from the payload documents."""
+    shape = ("event_type string, request_id string, part int, parts int, customers array<struct<user_account_id: string, allocated_operational_tier: string, "
+             "audit_notes: string>>, logs array<struct<user_account_id: string, action_taken: string, timestamp: string, status: string>>")
+    payloads = dispatch_payloads(reviewed(spark, sf), RUN, USER, AT, "Please call.", 200)
+    parsed = payloads.select(F.from_json("payload", shape).alias("d")).select("d.*")
+    paired = parsed.select("event_type", "part", "parts", "request_id", F.explode(F.arrays_zip("customers", "logs")).alias("e"))
+    return paired.filter("e.customers.user_account_id = e.logs.user_account_id").select(
+        "event_type", "part", "parts", "request_id", "e.customers.user_account_id", F.col("e.customers.allocated_operational_tier").alias("tier"),
+        "e.customers.audit_notes", "e.logs.action_taken", "e.logs.status", F.col("e.logs.timestamp").alias("logged_at"))
 
 
 @query("m26_audit_rows", f"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.catalogue.aggregates import parts_sql
 from tidemark.catalogue.base import ORDERS_AS_OF, query, rounded, sql_round as r, table
 from tidemark.functions import (
     contains_rules, fill_defaults, flag, guarded_ratio, half_even, half_up, hashed_id, json_text, lookup,
@@ -13,7 +15,7 @@ from tidemark.functions import (
 )
 from tidemark.operators import filters, quality
 from tidemark.operators.intervals import date_spine
-from tidemark.plans.dispatch import json_records
+from tidemark.plans.dispatch import json_records, wrap_records
 
 LOOSE = r"""regexp_replace(props, '"', '', 'g')"""
 
@@ -214,9 +216,28 @@ def status_rule(spark, sf):
     return quality.status_violations(table(spark, sf, "customer").select("c_custkey", status.alias("audit_action_status")))
 
 
-@query("s15_json_records")
+@query("s15_json_records", """
+SELECT CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_acctbal': CASE WHEN c_acctbal >= 0 THEN c_acctbal END, 'seen_at': '2024-01-31T00:00:00.000000'}) AS VARCHAR) AS record FROM customer""")
 def records(spark, sf):
-    return json_records(table(spark, sf, "customer").withColumn("seen_at", F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz")))
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).otherwise(F.lit(float("nan")))
+    return json_records(table(spark, sf, "customer").select(
+        "c_custkey", "c_name", balance.alias("c_acctbal"), F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz").alias("seen_at")))
+
+
+@query("s17_wrapped_records", f"""
+WITH c AS (SELECT *, 0 AS one FROM customer), {parts_sql('c', 'one', 'c_custkey', 400)} SELECT part, parts, c_custkey, c_acctbal FROM parted""")
+def wrapped_records(spark, sf):
+    customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    wrapped = wrap_records(customers, "c_custkey", "rows", 400)
+    opened = wrapped.select("part", "parts", F.explode(F.from_json("body", T.StructType([T.StructField("rows", T.ArrayType(customers.schema))]))["rows"]).alias("r"))
+    return opened.select("part", "parts", "r.*")
+
+
+@query("p7_null_indicators", """
+SELECT c_custkey, c_acctbal IS NULL AS c_acctbal, note IS NULL AS note FROM (SELECT *, CASE WHEN c_acctbal > 0 THEN c_name END AS note FROM customer)""")
+def indicators(spark, sf):
+    noted = table(spark, sf, "customer").withColumn("note", F.when(F.col("c_acctbal") > 0, F.col("c_name")))
+    return quality.null_indicators(noted, ["c_acctbal", "note"], keep=["c_custkey"])
 
 
 @query("p8_source_numbers", r"""

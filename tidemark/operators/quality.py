@@ -41,8 +41,9 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return _long(one_row, columns, ["null_count"])
 
 
-def null_indicators(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.select(*[F.col(c).isNull().alias(c) for c in columns or df.columns])
+def null_indicators(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """True where a value is missing, next to the key columns to keep."""
+    return df.select(*keep, *[F.col(c).isNull().alias(c) for c in columns or df.columns])
 
 
 def table_profile(df: DataFrame) -> DataFrame:

@@ -65,6 +65,15 @@ def unwrap_records(df: DataFrame, column: str, schema: T.StructType, field: str
     return df.select(F.explode(F.from_json(column, wrapper)[field]).alias("r")).select("r.*")
 
 
+def wrap_records(df: DataFrame, key: str, field: str = "rows", part_rows: int = PART_ROWS) -> DataFrame:
+    """The inverse: documents ``{field: [records]}`` of about ``part_rows`` records each, in key order."""
+    dealt = numbered_parts(df.withColumns({"__all": F.lit(0), "__record": F.struct(*json_safe(df))}), "__all", part_rows, key)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("__record").alias("r"))))
+    grouped = dealt.groupBy("part", "parts").agg(entries.alias("e"))
+    body = F.to_json(F.struct(F.col("e.r").alias(field)), {"ignoreNullFields": "false"})
+    return grouped.select("part", "parts", body.alias("body"))
+
+
 def part_number(key: str, parts: Column) -> Column:
     """Even and repeatable spread of keys over parts."""
     return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), parts).cast("int")

@@ -16,13 +16,16 @@ from pyspark.sql.utils import AnalysisException
 from tidemark.sources.schemas import AUDIT_LOG, AUDIT_LOG_REQUIRED
 
 
-def write_layer(tables: Mapping[str, DataFrame], layer: str, partition_by: Mapping[str, list[str]] | None = None) -> None:
+def write_layer(tables: Mapping[str, DataFrame], layer: str, partition_by: Mapping[str, list[str]] | None = None,
+                sort_by: Mapping[str, list[str]] | None = None) -> None:
     """Overwrite each table of a layer. The loop only submits jobs; each write is distributed."""
     for name, df in tables.items():
         columns = (partition_by or {}).get(name)
         if columns:
             # One shuffle by the partition columns keeps the file count down; AQE splits hot days.
             df = df.hint("rebalance", *columns)
+        if (sort_by or {}).get(name):
+            df = df.sortWithinPartitions(*(columns or []), *sort_by[name])
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
         (writer.partitionBy(*columns) if columns else writer).parquet(f"{layer}/{name}")
 
