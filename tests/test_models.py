@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import attribution, dispatch, encoding, evaluation, features, scoring, training
+from tidemark.plans import attribution, dispatch, encoding, evaluation, features, report, scoring, training
 from tidemark.plans.warehouse import MATRIX_COLUMNS
 
 
@@ -261,3 +261,16 @@ def test_records_unwrap(spark):
     wrapped = dispatch.wrap_records(many, "a", "predictions", part_rows=30)
     assert wrapped.count() == 4
     assert sorted(r["a"] for r in dispatch.unwrap_records(wrapped, "body", schema).collect()) == list(range(100))
+
+
+def test_report_covers_every_profile(matrix):
+    tables = report.full_report(matrix)
+    assert len(tables) == 20
+    for name in ("median_shift", "strongest_features", "rate_by_active_minutes_drop_ratio_7d", "survival_by_total_failed_invoices", "support_gridlock"):
+        assert tables[name].count() > 0
+    assert tables["strongest_features"].first()["feature"] == "avg_api_wait_time_ms"
+
+
+def test_text_measures_are_read_as_numbers(spark):
+    df = spark.createDataFrame([("7", "NO", "1.5", "x")], "user_account_id string, country string, avg_rating string, total_reports_run string")
+    assert tuple(features.typed_matrix(df).first()) == ("7", "NO", 1.5, None)

@@ -62,6 +62,10 @@ def test_catalog_tables(spark, tmp_path):
     try:
         sinks.create_table_as(spark.range(3), "tidemark_test.numbers")
         assert spark.table("tidemark_test.numbers").count() == 3
+        for name in ("a", "b"):
+            sinks.create_table_as(spark.range(1000), f"tidemark_test.{name}", bucket_by=(4, ["id"]))
+        joined = spark.table("tidemark_test.a").hint("merge").join(spark.table("tidemark_test.b"), "id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
     finally:
         spark.sql("DROP DATABASE tidemark_test CASCADE")
 

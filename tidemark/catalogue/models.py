@@ -299,7 +299,7 @@ DRIVER_SQL = "list_sort([{'v': 1e-3 * (inr - 300.0), 'i': 0, 'n': 'normalized_re
 WITH {VALUE_SQL}, z AS (SELECT *, {DRIVER_SQL} AS d FROM y)
 SELECT c_custkey, {r('round_even(CAST(p AS DECIMAL(18,10)), 4)')} AS probability, CASE WHEN p >= 0.35 AND ltv_inr > 50000 THEN 'VIP_RED_ALERT' WHEN p >= 0.35 AND ltv_inr <= 50000 THEN 'AUTOMATED_LOW_COST_EMAIL' ELSE 'STABLE_NO_ACTION' END AS tier,
        CASE WHEN p >= 0.35 AND ltv_inr > 50000 THEN 'CRITICAL_ENTERPRISE_RISK' WHEN p >= 0.35 AND ltv_inr <= 50000 THEN 'ELEVATED_SMB_RISK' ELSE 'STABLE_ACCOUNT' END AS risk_tier,
-       {r('round_even(CAST(arpu_inr AS DECIMAL(38,10)), 2)', 2)} AS arpu, CASE WHEN tenure IS NOT NULL THEN d[1].n END AS first_driver, CASE WHEN tenure IS NOT NULL THEN d[3].n END AS first_anchor FROM z""")
+       {r('round_even(CAST(arpu_inr AS DECIMAL(38,10)), 2)', 0)} AS arpu, CASE WHEN tenure IS NOT NULL THEN d[1].n END AS first_driver, CASE WHEN tenure IS NOT NULL THEN d[3].n END AS first_anchor FROM z""")
 def assessments(spark, sf):
     valued = scoring.value_matrix(value_view(spark, sf), "p", "revenue", "tenure", "currency")
     names = ["normalized_revenue_inr", "tenure", "p"]
@@ -315,7 +315,7 @@ def assessments(spark, sf):
     return documents.select(
         "c_custkey", r4(read("$.user_risk_assessment.calibrated_churn_probability").cast("double")).alias("probability"),
         read("$.user_risk_assessment.allocated_operational_tier").alias("tier"), read("$.user_risk_assessment.risk_tier").alias("risk_tier"),
-        half_up(read("$.customer_financial_profile_inr.monthly_arpu_inr").cast("double"), 2).alias("arpu"),
+        half_up(read("$.customer_financial_profile_inr.monthly_arpu_inr").cast("double"), 0).alias("arpu"),
         F.when(known, read("$.root_cause_diagnosis.top_frustration_vectors[0]")).alias("first_driver"),
         F.when(known, read("$.root_cause_diagnosis.top_retention_anchors[0]")).alias("first_anchor"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quality import _long
@@ -165,16 +165,18 @@ def binned_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     """
     full = df.dropna(subset=[*columns, label])
     edges = edges or bin_edges(full, columns, bins)
-    placed = full.select(F.col(label).alias("y"), *[
-        F.coalesce(bin_index(c, edges[c]), F.lit(0)).alias(c) for c in columns])
-    cells = unpivot_numeric(placed, columns, ["y"]).groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("n"))
-    by_bin = cells.groupBy("feature", "value").agg(F.sum("n").alias("n_bin"))
-    by_label = cells.groupBy("feature", "y").agg(F.sum("n").alias("n_label"))
-    total = cells.groupBy("feature").agg(F.sum("n").alias("n_all"))
-    joined = cells.join(by_bin, ["feature", "value"]).join(by_label, ["feature", "y"]).join(total, "feature")
-    share = F.col("n") / F.col("n_all")
-    score = share * F.ln(F.col("n") * F.col("n_all") / (F.col("n_bin") * F.col("n_label")))
-    return joined.groupBy("feature").agg(F.sum(score).alias("information"))
+    # One row per column: small enough to broadcast whatever the data.
+    table = df.sparkSession.createDataFrame(
+        [(c, [float(e) for e in edges.get(c, [])]) for c in columns], "feature string, edges array<double>")
+    long = unpivot_numeric(full.withColumn("y", F.col(label)), columns, ["y"]).join(F.broadcast(table), "feature")
+    below = F.size(F.filter("edges", lambda edge: edge < F.col("value")))
+    cells = long.groupBy("feature", F.greatest(below - 1, F.lit(0)).alias("bin"), "y").agg(F.count(F.lit(1)).alias("n"))
+    # At most features x bins x labels rows reach these windows.
+    joint = cells.select(
+        "feature", "n", F.sum("n").over(Window.partitionBy("feature", "bin")).alias("n_bin"),
+        F.sum("n").over(Window.partitionBy("feature", "y")).alias("n_label"), F.sum("n").over(Window.partitionBy("feature")).alias("n_all"))
+    score = F.col("n") / F.col("n_all") * F.ln(F.col("n") * F.col("n_all") / (F.col("n_bin") * F.col("n_label")))
+    return joint.groupBy("feature").agg(F.sum(score).alias("information"))
 
 
 def strongest(associations: DataFrame, count: int = 5) -> DataFrame:

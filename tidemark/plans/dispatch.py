@@ -67,7 +67,8 @@ def unwrap_records(df: DataFrame, column: str, schema: T.StructType, field: str
 
 def wrap_records(df: DataFrame, key: str, field: str = "rows", part_rows: int = PART_ROWS) -> DataFrame:
     """The inverse: documents ``{field: [records]}`` of about ``part_rows`` records each, in key order."""
-    dealt = numbered_parts(df.withColumns({"__all": F.lit(0), "__record": F.struct(*json_safe(df))}), "__all", part_rows, key)
+    parts = F.lit(max(-(-df.count() // part_rows), 1))
+    dealt = df.select(key, F.struct(*json_safe(df)).alias("__record"), part_number(key, parts).alias("part"), parts.alias("parts"))
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("__record").alias("r"))))
     grouped = dealt.groupBy("part", "parts").agg(entries.alias("e"))
     body = F.to_json(F.struct(F.col("e.r").alias(field)), {"ignoreNullFields": "false"})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import bucket_flag, flag, guarded_ratio
+from tidemark.operators.quality import coerce_numeric
 from tidemark.operators.ranking import quantile_values
 
 # Limits, weights and column lists of the feature definitions.
@@ -49,6 +50,13 @@ PERSONA_COLUMNS = ["largest_contentful_paint_ms", "total_clickstream_events", "a
 TARGET_ENCODED = ["country", "industry_type", "network_carrier", "currency", "registration_source", "registration_plan_code"]
 ONE_HOT = ["registration_billing_cycle", "pdf_generation_variant", "advance_search_elastic_variant",
            "employee_count_range", "annual_revenue_range", "rating_bucket"]
+TEXT_COLUMNS = [*TARGET_ENCODED, *[c for c in ONE_HOT if c != "rating_bucket"]]
+
+
+def typed_matrix(df: DataFrame) -> DataFrame:
+    """A matrix from any source with every measure numeric; unreadable values become NULL."""
+    texts = [name for name, kind in df.dtypes if kind == "string" and name not in TEXT_COLUMNS and name != "user_account_id"]
+    return coerce_numeric(df, texts)
 
 
 def rating_bucket(column: str) -> Column:

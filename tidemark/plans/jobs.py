@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import filters, mutation, quality
-from tidemark.plans import dispatch, scoring, training
+from tidemark.plans import dispatch, features, scoring, training
 from tidemark.session import cut_lineage
 from tidemark.sources.schemas import AUDIT_COLUMNS, PREDICTIONS
 from tidemark.sources.sinks import append_audit_log, current_version, read_versioned, write_outbox, write_versioned
@@ -26,7 +26,7 @@ def refresh_predictions(matrix: DataFrame, bundle: training.Bundle, table: str,
     riskiest one.
     """
     spark = matrix.sparkSession
-    source = quality.strip_token(matrix)
+    source = features.typed_matrix(quality.strip_token(matrix))
     frame = scoring.prediction_frame(training.score(source, bundle, KEEP))
     batch = mutation.latest_per_key(frame.withColumn("__order", F.struct(
         "calibrated_churn_probability", "projected_ltv", "registration_plan_code")), "user_account_id", "__order").drop("__order")
