@@ -163,7 +163,11 @@ def binned_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     Rows with any NULL among the columns are left out. One aggregation over (feature, bin, label)
     serves all columns; the joint table then is tiny.
     """
-    full = df.dropna(subset=[*columns, label])
+    # One condition per column: a single condition over all of them (as ``dropna`` makes) multiplies
+    # in Catalyst's constraint propagation with every aliased column.
+    full = df.filter(F.col(label).isNotNull())
+    for name in columns:
+        full = full.filter(F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")))
     edges = edges or bin_edges(full, columns, bins)
     # One row per column: small enough to broadcast whatever the data.
     table = df.sparkSession.createDataFrame(
