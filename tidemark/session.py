@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -43,16 +41,12 @@ def build_session(app_name: str = "tidemark", master: str | None = None,
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one below the shared warehouse folder."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    context.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
