@@ -107,7 +107,7 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     buckets, owners = _grams(texts)
     logs = np.column_stack([np.bincount(owners, model.log_probs[buckets, k], len(texts)) for k in range(len(model.languages))])
-    logs += model.log_priors
+    logs = logs + model.log_priors
     best = logs.argmax(axis=1)
     share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)], np.where(has_letter, share, 0.0)

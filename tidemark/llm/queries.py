@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language
+from tidemark.llm import language, substring, winnowing
 from tidemark.llm.common import is_held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,15 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", is_held_out(F.col("doc_id")))
     model = language.fit_language_model(docs.where("NOT held_out"))
     return language.identify_language(docs, model, keep=["doc_id", "held_out"])
+
+
+@query("op3_substring_windows")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.remove_repeated_windows(read_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_winnowing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnowing.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
