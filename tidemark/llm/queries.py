@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, substring, winnowing
+from tidemark.llm import curve_packing, language, substring, winnowing
 from tidemark.llm.common import is_held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op5_hilbert_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return curve_packing.pack_documents(read_table(spark, folder, "documents"), with_ids=False)
+
+
 @query("op8_winnowing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = winnowing.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
