@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import curve_packing, language, line_chunks, substring, winnowing
+from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, substring, winnowing
 from tidemark.llm.common import is_held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = winnowing.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op10_compression_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", is_held_out(F.col("doc_id")))
+    labels = read_table(spark, folder, "labels").select("doc_id", "toxic").where(~is_held_out(F.col("doc_id")))
+    model = compression_toxicity.fit_toxicity_model(docs.where("NOT held_out"), labels)
+    return compression_toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"])
