@@ -5,7 +5,7 @@ depend on nearby lines alone, so an inserted line moves none beyond it. Chunks w
 are counted by hash over all documents; the copies of a repeated hash are compared byte by byte with the chunk of the
 least (doc_id, place), which stays, and equal ones go.
 
-First only hashes are shuffled; texts are dealt by document once (both text joins read that one exchange), and only
+First only hashes are shuffled; texts are dealt by document twice, to read the repeated chunks and to cut them, and only
 repeated chunks meet by their hash. Counting combines before the shuffle; the joins have one row per hash on one side,
 so adaptive execution can split a hot hash on the other.
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 DIVISOR = 3
 MIN_LINES = 2
 
@@ -69,9 +71,10 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     # the texts of repeated chunks, compared with the first of their hash
     keyed = own.repartition("__id", "__digest")
     held = with_chunks(keyed.join(marks, ["__id", "__digest"], "left"), divisor=divisor)
-    pieces = held.select("__id", "__digest", F.explode(F.transform("__marks", lambda m: F.struct(
+    # written once: both sides of the comparison read these few texts instead of dealing out all texts twice
+    pieces = cut_lineage(held.select("__id", "__digest", F.explode(F.transform("__marks", lambda m: F.struct(
         m["no"].alias("no"), m["hash"].alias("hash"), m["is_first"].alias("is_first"),
-        _joined(F.element_at("__chunks", m["no"] + 1)).alias("chunk")))).alias("p")).select("__id", "__digest", "p.*")
+        _joined(F.element_at("__chunks", m["no"] + 1)).alias("chunk")))).alias("p")).select("__id", "__digest", "p.*"))
     originals = pieces.where("is_first").select("hash", F.col("chunk").alias("original")).distinct()
     gone = (pieces.where("NOT is_first").join(originals, "hash").where("chunk = original")
             .groupBy("__id", "__digest").agg(F.collect_set("no").alias("__gone")))
