@@ -33,8 +33,8 @@ LEVEL = 12
 ORDINARY_BYTES = 16_384
 TOXIC_BYTES = 4096
 GRAM = 5
-MIN_SHARE = 0.01     # of toxic texts that have a telling sequence
-MIN_RATIO = 40       # of its share in toxic to its share in ordinary texts
+MIN_TEXTS = 4        # toxic texts that have a telling sequence
+MIN_RATIO = 10       # of its share in toxic texts, less two standard errors, to its share in ordinary texts
 
 
 @dataclass(frozen=True)
@@ -71,9 +71,10 @@ def train_ordinary(texts: list[str]) -> bytes:
 def train_toxic(toxic: list[str], ordinary: list[str]) -> bytes:
     """The words or parts of words that tell toxic texts apart, the most frequent last, where matches are cheapest."""
     found = Counter(g for t in toxic for g in _grams(t))
-    found = Counter({g: c for g, c in found.items() if c >= max(2, MIN_SHARE * len(toxic))})
+    found = Counter({g: c for g, c in found.items() if c >= MIN_TEXTS})
     against = Counter(g for t in ordinary for g in _grams(t) & found.keys())
-    telling = {g for g, c in found.items() if c / len(toxic) > MIN_RATIO * (against[g] + 0.5) / max(1, len(ordinary))}
+    telling = {g for g, c in found.items()
+               if (c - 2 * c ** 0.5) / len(toxic) > MIN_RATIO * (against[g] + 0.5) / max(1, len(ordinary))}
     parts: Counter[bytes] = Counter()
     for text in toxic:
         for word in text.lower().encode("utf-8", "surrogatepass").split():
@@ -168,5 +169,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                              names=[*batch.schema.names[:len(names)], "score", "predicted"])
 
-    schema = docs.select(*names).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
     return docs.select(*names, F.col(text).alias("__text")).mapInArrow(score, schema)
