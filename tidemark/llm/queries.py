@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, substring, winnowing
+from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, overlap_join, substring, winnowing
 from tidemark.llm.common import is_held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op9_overlap_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_join.jaccard_components(read_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op10_compression_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", is_held_out(F.col("doc_id")))
