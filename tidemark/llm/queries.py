@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, mincut_html, overlap_join, substring, winnowing
+from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, mincut_html, overlap_join, quotation, substring, winnowing
 from tidemark.llm.common import is_held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mincut_html.extract_text(read_table(spark, folder, "pages"), keep=["page_id", "url"])
 
 
+@query("op7_quotation")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quotation.thread_messages(read_table(spark, folder, "conversations"))
+
+
 @query("op8_winnowing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = winnowing.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
