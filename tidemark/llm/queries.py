@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, mincut_html, overlap_join, quotation, substring, winnowing
+from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, mincut_html, overlap_join, perplexity, quotation, substring, winnowing
 from tidemark.llm.common import is_held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_language(docs, model, keep=["doc_id", "held_out"])
 
 
+@query("op1_perplexity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = perplexity.quality(read_table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", *perplexity.BASE, "base_failed", "kept", "perplexity")
+
+
 @query("op2_line_chunks", line_chunks.ORACLE)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.remove_repeated_chunks(read_table(spark, folder, "documents").select("doc_id", "text"))
