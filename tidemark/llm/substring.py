@@ -8,7 +8,8 @@ windows have equal anchors, so they always meet under one anchor:
 
 Nothing is skipped: all other copies of a run were settled in step 1, and a window alone under its anchor has no equal.
 Counts keep the least document id of each hash, so a frequent passage is combined before it is shuffled. Repeated
-windows are merged into maximal intervals, which meet the texts in one join by document.
+windows are merged into maximal intervals, which meet the texts in a join by document; texts are compressed before such
+a join deals them out. Runs and windows are written once to the checkpoint folder, since several counts read them.
 
 Defined results: words are runs of characters other than ASCII white space; a null or empty text has none; ``kept`` is
 the words left, joined by one space. Rows of one id never remove each other; a row with a null id is neither source nor
@@ -21,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import RollingHash, WordHashes, flat, mixed, signed, sliding_min, slices
+from tidemark.session import cut_lineage
 
 SPAN = 50
 ANCHOR = 16
@@ -61,6 +64,25 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                        F.hash(F.col(text).cast("string")).alias("row"))
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    """The same rows with the texts compressed, for the joins that deal them out by document."""
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch, texts in slices(batches):
+            packed = [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "packed", "row"])
+    return docs.mapInArrow(compress, "doc_id long, packed binary, row int")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Few rows at a time with their words."""
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 200):
+            part = batch.slice(start, 200)
+            yield part, [unpacker.decompress(p).split() for p in part.column(1).to_pylist()]
+
+
 def _runs(docs: DataFrame, span: int, anchor: int) -> DataFrame:
     names = [field.split()[0] for field in RUNS.split(", ")]
 
@@ -81,16 +103,15 @@ def _windows(docs: DataFrame, span: int) -> DataFrame:
     """Each window of the runs in column ``runs``: hash, doc_id, row, start."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rolling = WordHashes(), RollingHash()
-        for batch in batches:
-            chosen = batch.filter(batch.column(3).is_valid())
-            for part, texts in slices([chosen]):
-                ids, rows, runs = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
-                for doc, row, text, wanted in zip(ids, rows, texts, runs):
-                    hashes = rolling.windows(rolling.prefix(known.of(words_of(text))), span).view(np.int64)
-                    starts = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in wanted])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes[starts]), pa.array(np.full(len(starts), doc)), pa.array(np.full(len(starts), row, np.int32)),
-                         pa.array(starts.astype(np.int32))], names=["hash", "doc_id", "row", "start"])
+        for part, words_of_each in _unpacked(b.filter(b.column(3).is_valid()) for b in batches):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for doc, row, words, wanted in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), words_of_each, part.column(3).to_pylist()):
+                hashes = rolling.windows(rolling.prefix(known.of(words)), span).view(np.int64)
+                starts = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in wanted])
+                for column, values in zip(out, (hashes[starts], np.full(len(starts), doc), np.full(len(starts), row, np.int32), starts.astype(np.int32))):
+                    column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["hash", "doc_id", "row", "start"])
     return docs.mapInArrow(scan, "hash long, doc_id long, row int, start int")
 
 
@@ -101,10 +122,9 @@ def _intervals(rows: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame, span: int) -> DataFrame:
     """Words without those that the windows of ``runs`` cover."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, words_of_each in _unpacked(batches):
             out: list[list] = [[], [], [], []]
-            for text, runs in zip(texts, batch.column(3).to_pylist()):
-                words = words_of(text)
+            for words, runs in zip(words_of_each, batch.column(3).to_pylist()):
                 spans: list[list[int]] = []
                 for start, n in sorted((r["start"], r["n"]) for r in runs or ()):
                     end = start + n - 1 + span
@@ -132,7 +152,8 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """doc_id, n_words, n_removed, ``removed`` (maximal word intervals) and ``kept`` (the rest of the text)."""
     anchor = min(anchor, span)
     keyed = _keyed(docs, doc_id, text)
-    runs = _runs(keyed, span, anchor)
+    runs = cut_lineage(_runs(keyed, span, anchor))
+    packed = _compressed(keyed)
     firsts = runs.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("first"))
     repeated = (runs.join(firsts.select("anchor", "run", F.col("first.doc_id").alias("before")), ["anchor", "run"])
                 .where("before < doc_id").select("doc_id", "row", "start", "n"))
@@ -140,9 +161,9 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     several = (runs.groupBy("anchor").agg(F.min("run").alias("a"), F.max("run").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d"))
                .where("a < b AND c < d").select("anchor"))
     unsettled = firsts.join(several, "anchor").select("first.*")
-    windows = _windows(keyed.join(_intervals(unsettled), ["doc_id", "row"], "left").select("doc_id", "text", "row", "runs"), span)
+    windows = cut_lineage(_windows(packed.join(_intervals(unsettled), ["doc_id", "row"]).select("doc_id", "packed", "row", "runs"), span))
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("before"))
     alone = windows.join(least, "hash").where("before < doc_id").select("doc_id", "row", "start", F.lit(1).alias("n"))
 
     gone = _intervals(repeated.unionByName(alone))
-    return _cut(keyed.join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "row", "runs"), span)
+    return _cut(packed.join(gone, ["doc_id", "row"], "left").select("doc_id", "packed", "row", "runs"), span)
