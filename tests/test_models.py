@@ -229,22 +229,24 @@ def reviewed(spark):
 
 
 def test_payloads_hold_approved_rows_only(reviewed):
-    payloads = {r["event_type"]: json.loads(r["payload"]) for r in dispatch.dispatch_payloads(reviewed, "r1", "me", AT, "note").collect()}
-    assert set(payloads) == {"VIP_RED_DISPATCH", "AUTOMATED_EMAIL_DISPATCH"}
-    vip = payloads["VIP_RED_DISPATCH"]
-    assert [c["user_account_id"] for c in vip["customers"]] == ["1"] and vip["customers"][0]["projected_ltv"] is None
-    assert vip["logs"] == [{"user_account_id": "1", "action_taken": "SLACK_DISPATCH_TO_SALES", "timestamp": "2024-02-01 09:00:00", "status": "PENDING"}]
-    assert vip["target_teams"] == ["CS", "SALES"] and (vip["part"], vip["parts"]) == (0, 1)
+    documents = [json.loads(r["payload"]) for r in dispatch.dispatch_payloads(reviewed, "r1", "me", AT, "note").collect()]
+    envelopes = {d["event_type"]: d for d in documents if d["kind"] == "envelope"}
+    lines = {d["event_type"]: d for d in documents if d["kind"] == "customer"}
+    assert set(envelopes) == set(lines) == {"VIP_RED_DISPATCH", "AUTOMATED_EMAIL_DISPATCH"} and len(documents) == 4
+    vip = lines["VIP_RED_DISPATCH"]
+    assert vip["customer"]["user_account_id"] == "1" and vip["customer"]["projected_ltv"] is None
+    assert vip["log"] == {"user_account_id": "1", "action_taken": "SLACK_DISPATCH_TO_SALES", "timestamp": "2024-02-01 09:00:00", "status": "PENDING"}
+    assert envelopes["VIP_RED_DISPATCH"]["target_teams"] == ["CS", "SALES"] and envelopes["VIP_RED_DISPATCH"]["customers"] == 1
+    assert vip["request_id"] == envelopes["VIP_RED_DISPATCH"]["request_id"]
     assert dispatch.dispatch_payloads(reviewed.filter("audit_action_status = 'BLOCKED'"), "r1", "me", AT, "").count() == 0
 
 
-def test_large_tiers_split_into_parts_without_losing_rows(spark):
+def test_large_tiers_keep_their_shape(spark):
     many = spark.range(1000).select(F.col("id").cast("string").alias("user_account_id"), F.lit(scoring.VIP).alias("allocated_operational_tier"),
                                     F.lit("APPROVED").alias("audit_action_status"), F.lit(None).cast("string").alias("audit_notes"))
-    rows = dispatch.dispatch_payloads(many, "r1", "me", AT, "", part_rows=100).collect()
-    assert len(rows) == 10 and sum(r["customers"] for r in rows) == 1000 and max(r["customers"] for r in rows) < 150
-    texts = dispatch.message_texts(many, part_rows=100).collect()
-    assert sorted(i for r in texts for i in r["ids"].split(", ")) == sorted(str(i) for i in range(1000))
+    assert dispatch.dispatch_payloads(many, "r1", "me", AT, "").count() == 1001
+    lines = dispatch.message_lines(many).orderBy("position").collect()
+    assert [r["id"] for r in lines] == sorted(str(i) for i in range(1000)) and [r["position"] for r in lines] == list(range(1000))
 
 
 def test_audit_rows_are_repeatable_and_prefer_the_batch_note(reviewed):
@@ -258,8 +260,8 @@ def test_records_unwrap(spark):
     schema = spark.range(1).selectExpr("1 AS a").schema
     assert [r["a"] for r in dispatch.unwrap_records(df, "body", schema).collect()] == [1, 2]
     many = spark.range(100).select(F.col("id").cast("int").alias("a"))
-    wrapped = dispatch.wrap_records(many, "a", "predictions", part_rows=30)
-    assert wrapped.count() == 4
+    wrapped = dispatch.wrap_records(many, "predictions")
+    assert wrapped.count() == 100
     assert sorted(r["a"] for r in dispatch.unwrap_records(wrapped, "body", schema).collect()) == list(range(100))
 
 

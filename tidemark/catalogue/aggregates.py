@@ -8,7 +8,7 @@ from tidemark.catalogue.base import query, r4, rounded, sql_round as r, table
 from tidemark.functions import count_where, distinct_list, flag, guarded_ratio, half_up, seconds_between, sum_where
 from tidemark.operators import profiles, quality, survival
 from tidemark.operators.ranking import exact_quantiles
-from tidemark.plans.dispatch import joined_parts
+from tidemark.plans.dispatch import joined_lines
 
 LABELLED = """labelled AS (
   SELECT d.doc_id, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS n_chars, l.quality, l.toxic,
@@ -354,18 +354,9 @@ def binned_mi_top(spark, sf):
     return rounded(profiles.strongest(found), "information")
 
 
-def parts_sql(source: str, by: str, key: str, part_rows: int) -> str:
-    """CTE ``parted``: the twin of ``numbered_parts``."""
-    return f"""parted AS (SELECT s.*, p.parts, CAST(CAST('0x' || substr(md5(CAST(s.{key} AS VARCHAR)), 1, 8) AS BIGINT) % p.parts AS INTEGER) AS part
-    FROM {source} s JOIN (SELECT {by}, CAST(ceil(count(*) / {float(part_rows)}) AS INTEGER) AS parts FROM {source} GROUP BY {by}) p ON s.{by} = p.{by})"""
-
-
-@query("a35_joined_ids", f"""
-WITH noted AS (SELECT c_mktsegment, c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS note FROM customer),
-{parts_sql('noted', 'c_mktsegment', 'c_custkey', 100)}
-SELECT c_mktsegment, part, parts, string_agg(CAST(c_custkey AS VARCHAR), ', ' ORDER BY c_custkey) AS ids,
-       string_agg(coalesce(note, ''), ', ' ORDER BY c_custkey) AS notes
-FROM parted GROUP BY c_mktsegment, part, parts""")
+@query("a35_joined_ids", """
+SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS position, CAST(c_custkey AS VARCHAR) AS id,
+       CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE '' END AS note FROM customer""")
 def joined_ids(spark, sf):
     noted = table(spark, sf, "customer").withColumn("note", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")))
-    return joined_parts(noted, "c_mktsegment", "c_custkey", "note", 100)
+    return joined_lines(noted, "c_mktsegment", "c_custkey", "note")

@@ -6,14 +6,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.catalogue.aggregates import LABELLED, USER_DAYS, labelled, parts_sql, user_days
+from tidemark.catalogue.aggregates import LABELLED, USER_DAYS, labelled, user_days
 from tidemark.catalogue.base import query, r4, rounded, sql_round as r, table
 from tidemark.catalogue.joins import REGION_CURRENCY
 from tidemark.catalogue.warehouse import feature_matrix, round_doubles
 from tidemark.functions import half_up, lookup
 from tidemark.operators import filters, mutation, profiles, quality
 from tidemark.plans import attribution, dispatch, encoding, evaluation, features, scoring, training
-from tidemark.plans.dispatch import audit_rows, dispatch_payloads
+from tidemark.plans.dispatch import audit_rows, dispatch_envelopes, dispatch_lines
 from tidemark.session import cut_lineage
 from tidemark.sources.schemas import AUDIT_COLUMNS, PREDICTIONS
 
@@ -325,7 +325,7 @@ def assessments(spark, sf):
 UPSERT_SQL = """base AS (SELECT CAST(c_custkey AS VARCHAR) AS user_account_id, c_mktsegment AS industry_type, c_acctbal AS projected_ltv, TIMESTAMP '2024-01-01' AS prediction_timestamp,
   'APPROVED' AS audit_action_status FROM customer WHERE c_acctbal > 1000),
 batch AS (SELECT CAST(c_custkey AS VARCHAR) AS user_account_id, max(o_orderpriority) AS industry_type, max(o_totalprice) AS projected_ltv
-  FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE c_acctbal < 5000 GROUP BY c_custkey)"""
+  FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_acctbal < 5000 GROUP BY c_custkey)"""
 
 
 @query("s8_upsert", f"""
@@ -341,7 +341,7 @@ def upsert(spark, sf):
         key, F.col("c_mktsegment").alias("industry_type"), F.col("c_acctbal").alias("projected_ltv"),
         F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("prediction_timestamp"), F.lit("APPROVED").alias("audit_action_status"))
     base = mutation.add_columns(held, [*PREDICTIONS.fields, *AUDIT_COLUMNS.fields])
-    best = table(spark, sf, "orders").filter("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    best = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.max("o_orderpriority").alias("industry_type"), F.max("o_totalprice").alias("projected_ltv"))
     batch = customers.filter("c_acctbal < 5000").join(best, "c_custkey", "left").select(key, "industry_type", "projected_ltv")
     loaded_at = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
@@ -350,13 +350,13 @@ def upsert(spark, sf):
 
 
 @query("s9_keyed_update", """
-WITH u AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS note FROM orders WHERE o_totalprice > 450000 GROUP BY o_custkey)
+WITH u AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS note FROM orders GROUP BY o_custkey)
 SELECT c_custkey AS user_account_id, c_mktsegment, CASE WHEN o_custkey IS NULL THEN 'PENDING_REVIEW' WHEN status = 'F' THEN 'BLOCKED' ELSE 'APPROVED' END AS audit_action_status,
        CASE WHEN o_custkey IS NULL THEN '' ELSE note END AS audit_notes, CASE WHEN o_custkey IS NULL THEN '' ELSE 'operations_manager' END AS audit_override_by,
        CASE WHEN o_custkey IS NOT NULL THEN TIMESTAMP '2024-02-01 08:00:00' END AS audit_override_at FROM customer LEFT JOIN u ON c_custkey = o_custkey""")
 def keyed_update(spark, sf):
     base = filters.with_audit_columns(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_account_id"), "c_mktsegment"))
-    edits = table(spark, sf, "orders").filter("o_totalprice > 450000").select(
+    edits = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("user_account_id"), F.col("o_orderkey").alias("edit_no"),
         F.when(F.col("o_orderstatus") == "F", "BLOCKED").otherwise("APPROVED").alias("audit_action_status"),
         F.col("o_orderpriority").alias("audit_notes"), F.lit("").alias("audit_override_by"), F.lit(None).cast("timestamp_ntz").alias("audit_override_at"))
@@ -366,10 +366,10 @@ def keyed_update(spark, sf):
 
 
 @query("s9_update_counts", """
-SELECT count(*) AS submitted, count(c_custkey) AS matched FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
+SELECT count(*) AS submitted, count(c_custkey) AS matched FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
 def update_counts(spark, sf):
     base = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
-    return mutation.update_counts(base, table(spark, sf, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("k")), "k")
+    return mutation.update_counts(base, table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("f17_bulk_decision", """
@@ -398,25 +398,28 @@ def reviewed(spark, sf):
 
 
 @query("m25_dispatch_outbox", f"""
-WITH {APPROVED_SQL}, {parts_sql('approved', 'event_type', 'user_account_id', 200)}
-SELECT event_type, part, parts, CAST(count(*) AS INTEGER) AS customers FROM parted GROUP BY event_type, part, parts""")
+WITH {APPROVED_SQL}
+SELECT event_type, count(*) AS customers, substr(sha256('{RUN}|' || event_type), 1, 32) AS request_id, '{USER}' AS triggered_by, '2024-02-01T09:30:00' AS sent_at,
+       'CS,SALES' AS target_teams, 'Please call.' AS notes FROM approved GROUP BY event_type""")
 def dispatch_outbox(spark, sf):
-    return dispatch_payloads(reviewed(spark, sf), RUN, USER, AT, "Please call.", 200).drop("payload")
+    """The envelopes read back from their documents."""
+    shape = "event_type string, request_id string, triggered_by string, timestamp string, target_teams array<string>, notes string, customers long"
+    parsed = dispatch_envelopes(reviewed(spark, sf), RUN, USER, AT, "Please call.").select(F.from_json("payload", shape).alias("d")).select("d.*")
+    return parsed.select("event_type", "customers", "request_id", "triggered_by", F.col("timestamp").alias("sent_at"),
+                         F.array_join("target_teams", ",").alias("target_teams"), "notes")
 
 
 @query("m25_dispatch_payloads", f"""
-WITH {APPROVED_SQL}, {parts_sql('approved', 'event_type', 'user_account_id', 200)}
-SELECT event_type, part, parts, substr(sha256('{RUN}|' || event_type), 1, 32) AS request_id, user_account_id, tier, audit_notes, action_taken, 'PENDING' AS status, '2024-02-01 09:30:00' AS logged_at FROM parted""")
+WITH {APPROVED_SQL}
+SELECT event_type, substr(sha256('{RUN}|' || event_type), 1, 32) AS request_id, user_account_id, tier, audit_notes, action_taken, 'PENDING' AS status, '2024-02-01 09:30:00' AS logged_at FROM approved""")
 def dispatch_documents(spark, sf):
-    """Customers and log stubs read back from the payload documents."""
-    shape = ("event_type string, request_id string, part int, parts int, customers array<struct<user_account_id: string, allocated_operational_tier: string, "
-             "audit_notes: string>>, logs array<struct<user_account_id: string, action_taken: string, timestamp: string, status: string>>")
-    payloads = dispatch_payloads(reviewed(spark, sf), RUN, USER, AT, "Please call.", 200)
-    parsed = payloads.select(F.from_json("payload", shape).alias("d")).select("d.*")
-    paired = parsed.select("event_type", "part", "parts", "request_id", F.explode(F.arrays_zip("customers", "logs")).alias("e"))
-    return paired.filter("e.customers.user_account_id = e.logs.user_account_id").select(
-        "event_type", "part", "parts", "request_id", "e.customers.user_account_id", F.col("e.customers.allocated_operational_tier").alias("tier"),
-        "e.customers.audit_notes", "e.logs.action_taken", "e.logs.status", F.col("e.logs.timestamp").alias("logged_at"))
+    """Customers and log stubs read back from their lines."""
+    shape = ("event_type string, request_id string, customer struct<user_account_id: string, allocated_operational_tier: string, audit_notes: string>, "
+             "log struct<user_account_id: string, action_taken: string, timestamp: string, status: string>")
+    parsed = dispatch_lines(reviewed(spark, sf), RUN, AT).select(F.from_json("payload", shape).alias("d")).select("d.*")
+    return parsed.filter("customer.user_account_id = log.user_account_id").select(
+        "event_type", "request_id", "customer.user_account_id", F.col("customer.allocated_operational_tier").alias("tier"),
+        "customer.audit_notes", "log.action_taken", "log.status", F.col("log.timestamp").alias("logged_at"))
 
 
 @query("m26_audit_rows", f"""
@@ -429,10 +432,10 @@ def audit_log_rows(spark, sf):
 
 
 @query("m27_message_texts", f"""
-WITH {APPROVED_SQL}, {parts_sql('approved', 'event_type', 'user_account_id', 200)},
-j AS (SELECT event_type, part, parts, string_agg(user_account_id, ', ' ORDER BY user_account_id) AS ids, string_agg(coalesce(audit_notes, ''), ', ' ORDER BY user_account_id) AS notes FROM parted GROUP BY event_type, part, parts)
-SELECT *, CASE event_type WHEN 'VIP_RED_DISPATCH' THEN 'VIP Customers at Churn Risk' ELSE 'Send automated emails to these customers' END AS subject,
-       CASE event_type WHEN 'VIP_RED_DISPATCH' THEN 'Here is the list of customer_id: ' || chr(10) || ids || chr(10) || chr(10) || 'Here are the audit notes:' || chr(10) || notes
-            ELSE 'Send Automated emails to:' || chr(10) || ids || chr(10) END AS body FROM j""")
+WITH {APPROVED_SQL}
+SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY user_account_id) - 1 AS position, user_account_id AS id, coalesce(audit_notes, '') AS note,
+       CASE event_type WHEN 'VIP_RED_DISPATCH' THEN 'VIP Customers at Churn Risk' ELSE 'Send automated emails to these customers' END AS subject,
+       CASE event_type WHEN 'VIP_RED_DISPATCH' THEN 'Here is the list of customer_id: ' || chr(10) || '{{ids}}' || chr(10) || chr(10) || 'Here are the audit notes:' || chr(10) || '{{notes}}'
+            ELSE 'Send Automated emails to:' || chr(10) || '{{ids}}' || chr(10) END AS template FROM approved""")
 def messages(spark, sf):
-    return dispatch.message_texts(reviewed(spark, sf), 200)
+    return dispatch.message_lines(reviewed(spark, sf))

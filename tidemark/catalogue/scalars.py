@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.catalogue.aggregates import parts_sql
 from tidemark.catalogue.base import ORDERS_AS_OF, query, rounded, sql_round as r, table
 from tidemark.functions import (
     contains_rules, fill_defaults, flag, guarded_ratio, half_even, half_up, hashed_id, json_text, lookup,
@@ -15,7 +14,7 @@ from tidemark.functions import (
 )
 from tidemark.operators import filters, quality
 from tidemark.operators.intervals import date_spine
-from tidemark.plans.dispatch import json_records, wrap_records
+from tidemark.plans.dispatch import json_records, unwrap_records, wrap_records
 
 LOOSE = r"""regexp_replace(props, '"', '', 'g')"""
 
@@ -132,12 +131,14 @@ def any_column_search(spark, sf):
 @query("f11_filters_combo", """
 SELECT c_custkey, c_mktsegment, c_acctbal FROM customer
 WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 100 AND 6000 AND c_custkey >= 10
-  AND (CASE WHEN c_acctbal > 3000 THEN 1 ELSE 0 END) IN (0, 1) AND upper('approved') = 'APPROVED' AND c_nationkey <= 20""")
+  AND c_acctbal > 3000 AND c_nationkey % 3 <> 0 AND c_nationkey <= 20 AND c_custkey % 4 = 1""")
 def filters_combo(spark, sf):
-    reviewed = table(spark, sf, "customer").withColumns({"churned": flag(F.col("c_acctbal") > 3000), "audit_action_status": F.lit("approved")})
+    reviewed = table(spark, sf, "customer").withColumns({
+        "churned": flag(F.col("c_acctbal") > 3000), "quarter": F.col("c_custkey") % 4,
+        "audit_action_status": F.when(F.col("c_nationkey") % 3 != 0, "approved").otherwise("BLOCKED")})
     chosen = filters.choose(reviewed, {"c_mktsegment": ["BUILDING", "MACHINERY"], "region": ["absent"], "c_name": []})
-    ruled = filters.numeric_rules(chosen, {"c_acctbal": ("between", 6000, 100), "c_custkey": (">=", 10), "c_nationkey": ("<=", 20)})
-    approved = filters.only_approved(filters.binary_flag(ruled, "churned", [0, 1]))
+    ruled = filters.numeric_rules(chosen, {"c_acctbal": ("between", 6000, 100), "c_custkey": (">=", 10), "c_nationkey": ("<=", 20), "quarter": ("=", 1)})
+    approved = filters.only_approved(filters.binary_flag(ruled, "churned", [1]))
     return approved.select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
@@ -224,13 +225,11 @@ def records(spark, sf):
         "c_custkey", "c_name", balance.alias("c_acctbal"), F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz").alias("seen_at")))
 
 
-@query("s17_wrapped_records", f"""
-WITH c AS (SELECT *, 0 AS one FROM customer), {parts_sql('c', 'one', 'c_custkey', 400)} SELECT part, parts, c_custkey, c_acctbal FROM parted""")
+@query("s17_wrapped_records", "SELECT c_custkey, c_acctbal FROM customer")
 def wrapped_records(spark, sf):
+    """Records to documents and back."""
     customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    wrapped = wrap_records(customers, "c_custkey", "rows", 400)
-    opened = wrapped.select("part", "parts", F.explode(F.from_json("body", T.StructType([T.StructField("rows", T.ArrayType(customers.schema))]))["rows"]).alias("r"))
-    return opened.select("part", "parts", "r.*")
+    return unwrap_records(wrap_records(customers, "predictions"), "body", customers.schema)
 
 
 @query("p7_null_indicators", """

@@ -65,8 +65,12 @@ def to_number(column: str | Column) -> Column:
 
 
 def half_up(column: str | Column, places: int) -> Column:
-    """Half-up rounding as on exact numbers: float noise below 1e-10 cannot tip a tie."""
-    return F.round(as_column(column).cast(T.DecimalType(38, 10)), places).cast("double")
+    """Half-up rounding as on exact numbers: float noise below 1e-10 cannot tip a tie.
+
+    Values beyond the decimal range have no digits behind the point to round and stay as they are.
+    """
+    column = as_column(column)
+    return F.coalesce(F.round(column.try_cast(T.DecimalType(38, 10)), places).cast("double"), column.cast("double"))
 
 
 def half_even(column: str | Column, places: int) -> Column:
@@ -107,12 +111,10 @@ def repair_json(column: str | Column, value_style: str = "word") -> Column:
 
 
 def json_text(column: str | Column, key: str, value_style: str = "word") -> Column:
-    """A field of a JSON text; loose JSON is repaired only where the strict reading finds nothing."""
+    """A field of a JSON text; a text is repaired only where it is no valid JSON as it stands."""
     column, path = as_column(column), f"$.{key}"
-    return F.coalesce(
-        F.get_json_object(column, path),
-        F.get_json_object(repair_json(column, value_style), path),
-    )
+    valid = F.get_json_object(column, "$").isNotNull()
+    return F.when(valid, F.get_json_object(column, path)).otherwise(F.get_json_object(repair_json(column, value_style), path))
 
 
 def contains_rules(column: str | Column, rules: Iterable[tuple[str, object]], default: object) -> Column:

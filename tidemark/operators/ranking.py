@@ -1,32 +1,19 @@
 """Orderings over whole tables without a one-task window: running totals, exact quantiles, row numbers.
 
-A window over one huge group sorts that group in one task, and ``percentile`` keeps every distinct
-value of a group in one task's memory. Here approximate percentiles choose where to cut, counts
-give each piece its exact starting rank, and the exact work happens inside bounded pieces.
+A window over one huge group sorts that group in one task, and ``percentile`` keeps every distinct value of a group in
+one task's memory. Here rows are range-partitioned by group and value; a piece is what one partition has of a group.
+Counts per piece give each its exact starting rank, and the exact work happens inside pieces. Their number follows the
+number of partitions, so it grows with the data; the same path serves every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
-SMALL_GROUP_CELLS = 4_000_000  # values of one group that an aggregate may hold in one task
-ACCURACY = 10_000
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it proves to have at most ``max_rows`` rows, else return it unchanged.
-
-    Meant for tables of numbers and short keys; the check reads at most ``max_rows + 1`` rows.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+from tidemark.session import cut_lineage
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -38,56 +25,38 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__r_{key}" for key in keys])
 
 
-def _range_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Index of the range a value falls in, as a balanced tree of comparisons."""
-    def branch(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value <= F.lit(cuts[middle]), branch(low, middle)).otherwise(branch(middle + 1, high))
-    return branch(0, len(cuts))
+def _in_pieces(df: DataFrame, *order: str | Column) -> DataFrame:
+    """``df`` range-partitioned in ``order`` with the number of each row's partition, written once so that it stays."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn("__piece", F.spark_partition_id()))
 
 
-def running_totals(df: DataFrame, order: str, sums: Sequence[str], descending: bool = False,
-                   ranges: int = 64) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
     """Add ``cum_<s>`` for each column in ``sums``: its total up to and including the row's value.
 
-    Expects one row per value of the numeric ``order`` column: aggregate ties first. The value
-    range is cut into pieces of similar size; each piece is summed by its own task.
+    Expects one row per value of ``order``: aggregate ties first. A NULL has no place in the order and fails the job.
     """
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, ACCURACY)).first()[0] or []
-    piece = _range_of(F.col(order).cast("double"), sorted(set(cuts)))
-    tagged = df.withColumn("__range", piece)
     direction = F.desc if descending else F.asc
-    earlier = Window.orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``ranges`` rows reach this global window.
-    totals = tagged.groupBy("__range").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    offsets = totals.select("__range", *[
-        F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__o_{s}") for s in sums])
-    inside = (Window.partitionBy("__range").orderBy(direction(order))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = tagged.join(broadcast_checked(offsets), "__range").withColumns(
-        {f"cum_{s}": F.col(f"__o_{s}") + F.sum(s).over(inside) for s in sums})
-    return out.drop("__range", *[f"__o_{s}" for s in sums])
-
-
-def numbered(df: DataFrame, by: Sequence[str], key: Column, tie_break: Sequence[str],
-             name: str = "row_no", ranges: int = 1024) -> DataFrame:
-    """Exact row numbers (from 0) per group in the order of a 64-bit hash ``key``.
-
-    The top bits of the hash cut each group into even ranges, so a group that holds half of the
-    table is still numbered by many tasks.
-    """
-    shift = 64 - int(math.log2(ranges))
-    tagged = df.withColumn("__key", key).withColumn("__range", F.shiftright("__key", shift))
-    sizes = tagged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*by, "__range").orderBy("__key", *tie_break)
-    out = join_null_safe(tagged, broadcast_checked(offsets), [*by, "__range"])
-    return out.withColumn(name, F.col("__before") + F.row_number().over(inside) - 1).drop(
-        "__key", "__range", "__before")
+    checked = df.withColumn(order, F.coalesce(F.col(order), F.raise_error(F.lit(f"{order} is NULL")).cast(df.schema[order].dataType)))
+    pieces = _in_pieces(checked, direction(order))
+    earlier = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition reaches this global window
+    totals = pieces.groupBy("__piece").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    offsets = totals.select("__piece", *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__o_{s}") for s in sums])
+    inside = Window.partitionBy("__piece").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = pieces.join(offsets, "__piece").withColumns({f"cum_{s}": F.col(f"__o_{s}") + F.sum(s).over(inside) for s in sums})
+    return out.drop("__piece", *[f"__o_{s}" for s in sums])
+
+
+def numbered(df: DataFrame, by: Sequence[str], key: Column, tie_break: Sequence[str], name: str = "row_no") -> DataFrame:
+    """Exact row numbers (from 0) per group in the order of ``key``, also where one group holds most of the table."""
+    pieces = _in_pieces(df.withColumn("__key", key), *by, "__key", *tie_break)
+    sizes = pieces.groupBy(*by, "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    # per group one row per partition
+    before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by, "__piece").orderBy("__key", *tie_break)
+    out = join_null_safe(pieces, offsets, [*by, "__piece"])
+    return out.withColumn(name, F.col("__before") + F.row_number().over(inside) - 1).drop("__key", "__piece", "__before")
 
 
 def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -96,93 +65,43 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     return df.select(*keep, F.inline(pairs))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                    small_group: int = SMALL_GROUP_CELLS) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per (group, feature), columns ``q0, q1, ...``.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation: one row per (group, feature), columns ``q0, q1, ...``; NULL and NaN count for nothing.
 
-    Groups of a proven small size use the built-in aggregate. Otherwise each wanted rank is
-    bracketed by approximate percentiles, rows below the bracket are only counted, and just the
-    distinct values inside the bracket are ordered: pruned scans instead of a full sort. Cut the
-    lineage of a deep ``df`` first.
+    Distinct values are counted, cut into pieces in order, and only the pieces that hold a wanted rank are looked into.
     """
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
-    values = df.select(*by, *[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(columns)]).withColumns(
-        {f"v{j}": F.when(~F.isnan(f"v{j}"), F.col(f"v{j}")) for j in range(len(columns))})
-    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest * len(columns) <= small_group:
-        wide = values.groupBy(*by).agg(*[
-            F.percentile(f"v{j}", probs).alias(f"p{j}") for j in range(len(columns))])
-        rows = wide.select(*by, F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(f"p{j}").alias("q")) for j, c in enumerate(columns)])))
-        return rows.filter(F.col("q").isNotNull()).select(
-            *by, "feature", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
-    return _bracketed_quantiles(values, columns, probs, by)
-
-
-def _bracketed_quantiles(values: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                         by: Sequence[str]) -> DataFrame:
-    keys = list(by) or ["__all"]
-    values = values if by else values.withColumn("__all", F.lit(0))
-    spots = [(j, i) for j in range(len(columns)) for i in range(len(probs))]
-
-    def low_rank(j: int, i: int) -> Column:
-        return F.floor((F.col(f"n{j}") - 1) * F.lit(probs[i]))
-
-    def high_rank(j: int, i: int) -> Column:
-        return F.ceil((F.col(f"n{j}") - 1) * F.lit(probs[i]))
-
-    for slack in (2 / ACCURACY, 20 / ACCURACY, None):
-        edges = []
-        for j in range(len(columns)):
-            if slack is None:
-                edges += [F.min(f"v{j}").alias(f"lo{j}_{i}") for i in range(len(probs))]
-                edges += [F.max(f"v{j}").alias(f"hi{j}_{i}") for i in range(len(probs))]
-                continue
-            wanted = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
-            found = F.percentile_approx(f"v{j}", wanted, ACCURACY)
-            edges.append(found.alias(f"cut{j}"))
-        cuts = values.groupBy(*keys).agg(*edges)
-        if slack is not None:
-            cuts = cuts.select(*keys, *[F.col(f"cut{j}")[i].alias(f"lo{j}_{i}") for j, i in spots], *[
-                F.col(f"cut{j}")[len(probs) + i].alias(f"hi{j}_{i}") for j, i in spots])
-        cuts = broadcast_checked(cuts)
-        bracketed = join_null_safe(values, cuts, keys)
-        counts = broadcast_checked(bracketed.groupBy(*keys).agg(
-            *[F.count(f"v{j}").alias(f"n{j}") for j in range(len(columns))],
-            *[F.count_if(F.col(f"v{j}") < F.col(f"lo{j}_{i}")).alias(f"below{j}_{i}") for j, i in spots],
-            *[F.count_if(F.col(f"v{j}") <= F.col(f"hi{j}_{i}")).alias(f"upto{j}_{i}") for j, i in spots]))
-        missed = F.lit(False)
-        for j, i in spots:
-            missed = missed | ((F.col(f"n{j}") > 0) & (
-                (low_rank(j, i) < F.col(f"below{j}_{i}")) | (high_rank(j, i) >= F.col(f"upto{j}_{i}"))))
-        if counts.filter(missed).limit(1).count() == 0:
-            break
-
-    inside = F.array(*[
-        F.when(F.col(f"v{j}").between(F.col(f"lo{j}_{i}"), F.col(f"hi{j}_{i}")),
-               F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.col(f"v{j}").alias("value"))) for j, i in spots])
-    distinct = (bracketed.select(*keys, F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s"))
-                .select(*keys, "s.*").groupBy(*keys, "j", "i", "value").agg(F.count(F.lit(1)).alias("n")))
-    up_to = (Window.partitionBy(*keys, "j", "i").orderBy("value")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.col(f"below{j}_{i}").alias("below"),
-                 low_rank(j, i).alias("low"), high_rank(j, i).alias("high"),
-                 ((F.col(f"n{j}") - 1) * F.lit(probs[i])).alias("position")) for j, i in spots])))
-    ranked = join_null_safe(distinct.withColumn("last", F.sum("n").over(up_to)), F.broadcast(ranks)
-                            if not by else ranks, [*keys, "j", "i"])
-
-    def value_at(rank: str) -> Column:
-        offset = F.col(rank) - F.col("below")
-        return F.max(F.when((offset >= F.col("last") - F.col("n")) & (offset < F.col("last")), F.col("value")))
-
-    picked = ranked.groupBy(*keys, "j", "i").agg(
-        value_at("low").alias("at_low"), value_at("high").alias("at_high"),
-        F.max(F.col("position") - F.col("low")).alias("weight"))
-    answers = picked.withColumn("q", F.col("at_low") + (F.col("at_high") - F.col("at_low")) * F.col("weight"))
-    feature = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("j") + 1)
-    return answers.groupBy(*keys, feature.alias("feature")).agg(*[
-        F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(probs))]).drop("__all")
+    keys = [*by, "__feature"]
+    pairs = F.array(*[F.struct(F.lit(j).alias("__feature"), F.col(c).cast("double").alias("__value")) for j, c in enumerate(columns)])
+    counts = (df.select(*by, F.inline(pairs)).filter(F.col("__value").isNotNull() & ~F.isnan("__value"))
+              .groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__n")))
+    pieces = _in_pieces(counts, *keys, "__value")
+
+    sizes = pieces.groupBy(*keys, "__piece").agg(F.sum("__n").alias("__size"))
+    # per group and feature one row per partition
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumns({"__before": F.coalesce(F.sum("__size").over(before), F.lit(0)), "__total": F.sum("__size").over(group)})
+    position = lambda p: (F.col("__total") - 1) * F.lit(p)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(position(p)).alias("low"), F.ceil(position(p)).alias("high"),
+                               (position(p) - F.floor(position(p))).alias("weight")) for i, p in enumerate(probs)])
+    here = lambda rank: (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__size"))
+    wanted = (offsets.withColumn("__ranks", F.filter(ranks, lambda r: here(r["low"]) | here(r["high"])))
+              .filter(F.size("__ranks") > 0).select(*keys, "__piece", "__before", "__ranks"))
+
+    inside = Window.partitionBy(*keys, "__piece").orderBy("__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = join_null_safe(pieces, wanted, [*keys, "__piece"]).withColumn("__upto", F.col("__before") + F.sum("__n").over(inside))
+    hit = lambda rank: (rank >= F.col("__upto") - F.col("__n")) & (rank < F.col("__upto"))
+    picked = held.select(*keys, "__value", "__n", "__upto", F.explode(F.filter("__ranks", lambda r: hit(r["low"]) | hit(r["high"]))).alias("r"))
+    answers = picked.groupBy(*keys, F.col("r.i").alias("__i")).agg(
+        F.max(F.when(hit(F.col("r.low")), F.col("__value"))).alias("__low"),
+        F.max(F.when(hit(F.col("r.high")), F.col("__value"))).alias("__high"), F.max("r.weight").alias("__weight"))
+    # equal neighbours are taken as they are: their difference is no number if both are infinite
+    answer = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(
+        F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__weight"))
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__feature") + 1)
+    return answers.withColumn("__q", answer).groupBy(*by, names.alias("feature")).agg(
+        *[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"q{i}") for i in range(len(probs))])
 
 
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:

@@ -1,7 +1,7 @@
 """Dispatch payloads, audit log rows and message texts for approved customers.
 
-A tier may hold a third of all customers, so no payload gathers a whole tier: large tiers become
-several numbered payloads of bounded size. A tier that fits one payload gives exactly one.
+A tier may hold a third of all customers, so no payload gathers a tier: a campaign is one envelope row and one line per
+customer that carries the envelope's request id. The shape is the same for one customer and for all of them.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions import hashed_id
 from tidemark.operators.filters import only_approved
-from tidemark.operators.ranking import broadcast_checked
+from tidemark.operators.ranking import numbered
 
 KEY, TIER = "user_account_id", "allocated_operational_tier"
-PART_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -65,34 +64,16 @@ def unwrap_records(df: DataFrame, column: str, schema: T.StructType, field: str
     return df.select(F.explode(F.from_json(column, wrapper)[field]).alias("r")).select("r.*")
 
 
-def wrap_records(df: DataFrame, key: str, field: str = "rows", part_rows: int = PART_ROWS) -> DataFrame:
-    """The inverse: documents ``{field: [records]}`` of about ``part_rows`` records each, in key order."""
-    parts = F.lit(max(-(-df.count() // part_rows), 1))
-    dealt = df.select(key, F.struct(*json_safe(df)).alias("__record"), part_number(key, parts).alias("part"), parts.alias("parts"))
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("__record").alias("r"))))
-    grouped = dealt.groupBy("part", "parts").agg(entries.alias("e"))
-    body = F.to_json(F.struct(F.col("e.r").alias(field)), {"ignoreNullFields": "false"})
-    return grouped.select("part", "parts", body.alias("body"))
+def wrap_records(df: DataFrame, field: str = "rows") -> DataFrame:
+    """The inverse: one document ``{field: [record]}`` per row, each readable by itself."""
+    record = F.struct(F.array(F.struct(*json_safe(df))).alias(field))
+    return df.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("body"))
 
 
-def part_number(key: str, parts: Column) -> Column:
-    """Even and repeatable spread of keys over parts."""
-    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), parts).cast("int")
-
-
-def numbered_parts(df: DataFrame, by: str, part_rows: int = PART_ROWS, key: str = KEY) -> DataFrame:
-    """Add ``part`` and ``parts``: rows of a large group are spread evenly over parts of about ``part_rows``."""
-    sizes = df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    sized = df.join(broadcast_checked(sizes), by)
-    return sized.withColumn("part", part_number(key, F.col("parts")))
-
-
-def joined_parts(df: DataFrame, by: str, key: str, note: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Joined keys and notes in key order per group and part; missing notes count as empty text."""
-    entry = F.struct(F.col(key).alias("k"), F.coalesce(F.col(note), F.lit("")).alias("n"))
-    grouped = numbered_parts(df, by, part_rows, key).groupBy(by, "part", "parts").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    return grouped.select(by, "part", "parts", F.array_join(F.transform("e", lambda s: s["k"].cast("string")), ", ").alias("ids"),
-                          F.array_join(F.transform("e", lambda s: s["n"]), ", ").alias("notes"))
+def joined_lines(df: DataFrame, by: str, key: str, note: str) -> DataFrame:
+    """The entries of each group's joined list as rows: ``position`` from 0 in key order, id as text, missing notes empty."""
+    rows = df.select(by, F.col(key).alias("__id"), F.coalesce(F.col(note), F.lit("")).alias("note"))
+    return numbered(rows, [by], F.col("__id"), ["note"], "position").select(by, "position", F.col("__id").cast("string").alias("id"), "note")
 
 
 def _campaign_rows(df: DataFrame) -> DataFrame:
@@ -112,22 +93,30 @@ def request_id(run_id: str) -> Column:
     return hashed_id(F.lit(run_id), "event_type")
 
 
-def dispatch_payloads(df: DataFrame, run_id: str, user: str, at: dt.datetime, notes: str,
-                      part_rows: int = PART_ROWS) -> DataFrame:
-    """One JSON payload per campaign and part; campaigns without approved rows give none."""
-    rows = _campaign_rows(df)
-    record = F.struct(*json_safe(df))
-    log = F.struct(F.coalesce(F.col(KEY).cast("string"), F.lit("UNKNOWN")).alias("user_account_id"), "action_taken",
-                   F.lit(at.strftime("%Y-%m-%d %H:%M:%S")).alias("timestamp"), F.lit("PENDING").alias("status"))
-    dealt = numbered_parts(rows.withColumns({"__record": record, "__log": log}), "event_type", part_rows)
-    entries = F.array_sort(F.collect_list(F.struct(F.col(KEY).alias("k"), F.col("__record").alias("r"), F.col("__log").alias("l"))))
-    grouped = dealt.groupBy("event_type", "part", "parts").agg(entries.alias("entries"))
+def dispatch_envelopes(df: DataFrame, run_id: str, user: str, at: dt.datetime, notes: str) -> DataFrame:
+    """One JSON envelope per campaign with approved rows: event_type, customers, payload."""
+    counted = _campaign_rows(df).groupBy("event_type").agg(F.count(F.lit(1)).alias("customers"))
     payload = F.to_json(F.struct(
-        "event_type", request_id(run_id).alias("request_id"), F.lit(user).alias("triggered_by"),
+        F.lit("envelope").alias("kind"), "event_type", request_id(run_id).alias("request_id"), F.lit(user).alias("triggered_by"),
         F.lit(at.isoformat()).alias("timestamp"), F.array(*[F.lit(t) for t in TEAMS]).alias("target_teams"),
-        F.lit(notes).alias("notes"), "part", "parts", F.col("entries.r").alias("customers"), F.col("entries.l").alias("logs")),
-        {"ignoreNullFields": "false"})
-    return grouped.select("event_type", "part", "parts", F.size("entries").alias("customers"), payload.alias("payload"))
+        F.lit(notes).alias("notes"), "customers"), {"ignoreNullFields": "false"})
+    return counted.select("event_type", "customers", payload.alias("payload"))
+
+
+def dispatch_lines(df: DataFrame, run_id: str, at: dt.datetime) -> DataFrame:
+    """One JSON line per approved customer with its record and log stub: event_type, user_account_id, payload."""
+    log = F.struct(F.coalesce(F.col(KEY).cast("string"), F.lit("UNKNOWN")).alias("user_account_id"), "action_taken",
+                   F.lit(at.strftime("%Y-%m-%d %H:%M:%S")).alias("timestamp"), F.lit("PENDING").alias("status"))
+    rows = _campaign_rows(df).withColumns({"__record": F.struct(*json_safe(df)), "__log": log})
+    payload = F.to_json(F.struct(F.lit("customer").alias("kind"), "event_type", request_id(run_id).alias("request_id"),
+                                 F.col("__record").alias("customer"), F.col("__log").alias("log")), {"ignoreNullFields": "false"})
+    return rows.select("event_type", F.col(KEY).cast("string").alias("user_account_id"), payload.alias("payload"))
+
+
+def dispatch_payloads(df: DataFrame, run_id: str, user: str, at: dt.datetime, notes: str) -> DataFrame:
+    """Envelopes and customer lines together, as the outbox takes them; campaigns without approved rows give none."""
+    return dispatch_envelopes(df, run_id, user, at, notes).select("event_type", "payload").unionByName(
+        dispatch_lines(df, run_id, at).select("event_type", "payload"))
 
 
 def audit_rows(df: DataFrame, run_id: str, user: str, at: dt.datetime, target: str, response: str, notes: str = "") -> DataFrame:
@@ -145,12 +134,13 @@ def audit_rows(df: DataFrame, run_id: str, user: str, at: dt.datetime, target: s
         F.lit(at).cast(T.TimestampNTZType()).alias("event_timestamp"))
 
 
-def message_texts(df: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Subject and body per campaign and part with the joined ids and notes."""
-    joined = joined_parts(_campaign_rows(df), "event_type", KEY, "audit_notes", part_rows)
+def message_lines(df: DataFrame) -> DataFrame:
+    """Subject, template and, in key order, the ids and notes that fill it: one row per approved customer.
+
+    A sender writes the template once per campaign and the lines in the order of ``position``.
+    """
+    lines = joined_lines(_campaign_rows(df), "event_type", KEY, "audit_notes")
     (vip, (vip_subject, vip_body)), (_, (mail_subject, mail_body)) = MESSAGES.items()
     is_vip = F.col("event_type") == vip
-    body = F.replace(F.when(is_vip, vip_body).otherwise(mail_body), F.lit("{ids}"), F.col("ids"))
-    return joined.select("event_type", "part", "parts", "ids", "notes",
-                         F.when(is_vip, vip_subject).otherwise(mail_subject).alias("subject"),
-                         F.replace(body, F.lit("{notes}"), F.col("notes")).alias("body"))
+    return lines.select("event_type", "position", "id", "note", F.when(is_vip, vip_subject).otherwise(mail_subject).alias("subject"),
+                        F.when(is_vip, vip_body).otherwise(mail_body).alias("template"))

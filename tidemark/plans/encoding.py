@@ -11,25 +11,28 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.profiles import correlations, pearson
 from tidemark.operators.quality import safe_name
-from tidemark.operators.ranking import broadcast_checked, numbered
+from tidemark.operators.ranking import numbered
+from tidemark.session import cut_lineage
 
 SMOOTHING, MIN_LEAF = 10.0, 20.0  # Fixed values.
-MAX_LEVELS = 1_000
 
 
 def fit_target_encoding(df: DataFrame, columns: Sequence[str], label: str, smoothing: float = SMOOTHING,
                         min_leaf: float = MIN_LEAF) -> tuple[DataFrame, float | None]:
     """Smoothed label mean per category of each column, long form, and the overall mean.
 
-    All columns share one aggregation; categories with few rows lean towards the overall mean.
+    All columns share one aggregation, written once, since every column's join reads it; categories with few rows lean
+    towards the overall mean. Without columns the table is empty.
     """
     prior = df.agg(F.avg(label)).first()[0]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, category string, encoded double"), prior
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns])
     stats = (df.select(F.col(label).alias("__y"), F.inline(pairs)).filter(F.col("category").isNotNull())
              .groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean")))
     weight = 1.0 / (1.0 + F.exp(-(F.col("n") - F.lit(min_leaf)) / F.lit(smoothing)))
     encoded = weight * F.col("mean") + (1.0 - weight) * F.lit(prior)
-    return stats.select("feature", "category", encoded.alias("encoded")), prior
+    return cut_lineage(stats.select("feature", "category", encoded.alias("encoded"))), prior
 
 
 def apply_target_encoding(df: DataFrame, table: DataFrame, columns: Sequence[str], prior: float | None) -> DataFrame:
@@ -37,20 +40,18 @@ def apply_target_encoding(df: DataFrame, table: DataFrame, columns: Sequence[str
     for name in columns:
         part = table.filter(F.col("feature") == name).select(
             F.col("category").alias("__category"), F.col("encoded").alias("__encoded"))
-        joined = df.join(broadcast_checked(part), F.col(name).cast("string") == F.col("__category"), "left")
+        joined = df.join(part, F.col(name).cast("string") == F.col("__category"), "left")
         df = joined.withColumn(name, F.coalesce("__encoded", F.lit(prior))).drop("__category", "__encoded")
     return df
 
 
 def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted levels of low-cardinality columns, the first dropped."""
-    levels = {}
-    for name in columns:
-        rows = df.select(F.col(name).cast("string").alias("v")).filter("v IS NOT NULL").distinct().limit(MAX_LEVELS + 1).collect()
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(f"{name} has more than {MAX_LEVELS} levels; use target encoding")
-        levels[name] = sorted(row["v"] for row in rows)[1:]
-    return levels
+    """Sorted levels of each column, the first dropped; every level becomes a column, so the caller chooses the columns."""
+    if not columns:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in columns])
+    found = df.select(F.inline(pairs)).filter("level IS NOT NULL").distinct().collect()
+    return {name: sorted(row["level"] for row in found if row["feature"] == name)[1:] for name in columns}
 
 
 def one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:

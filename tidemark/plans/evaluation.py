@@ -9,16 +9,24 @@ from tidemark.operators.ranking import running_totals
 
 
 def score_steps(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Positives and negatives per distinct score with their totals from the highest score down."""
-    per_score = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+    """Positives and negatives per distinct score with their totals from the highest score down.
+
+    Rows without a score (NULL or NaN) have no place in the ranking and are left out; ``unscored`` counts them.
+    """
+    per_score = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     return running_totals(per_score, "threshold", ["pos", "neg"], descending=True)
 
 
+def unscored(df: DataFrame, score: str) -> DataFrame:
+    """Rows, and rows without a score."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(score).isNull() | F.isnan(F.col(score).cast("double"))).alias("unscored"))
+
+
 def precision_recall(df: DataFrame, score: str, label: str) -> DataFrame:
     """Precision and recall at every threshold; ``last_*`` is the point before it on the curve."""
-    positives = df.agg(F.count_if(F.col(label) == 1)).first()[0]
     steps = score_steps(df, score, label)
+    positives = steps.agg(F.sum("pos")).first()[0]
     before_pos, before_neg = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
     total = F.nullif(F.lit(positives), F.lit(0))
     first = (before_pos + before_neg) == 0

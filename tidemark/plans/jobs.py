@@ -53,13 +53,13 @@ def record_reviews(spark: SparkSession, edits: DataFrame, table: str, user: str,
 
 
 def dispatch_approved(spark: SparkSession, table: str, outbox: str, log: str, run_id: str, user: str, at: dt.datetime,
-                      notes: str = "", part_rows: int = dispatch.PART_ROWS) -> dict[str, int]:
+                      notes: str = "") -> dict[str, int]:
     """Write the payloads of all approved customers to the outbox, then their audit rows to the log.
 
     Both steps can be repeated under one ``run_id`` without sending or logging anyone twice.
     """
     reviewed = filters.with_audit_columns(read_versioned(spark, table))
-    payloads = cut_lineage(dispatch.dispatch_payloads(reviewed, run_id, user, at, notes, part_rows))
+    payloads = cut_lineage(dispatch.dispatch_payloads(reviewed, run_id, user, at, notes))
     count = payloads.count()
     if count:
         write_outbox(payloads, outbox, run_id)
