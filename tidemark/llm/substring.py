@@ -154,13 +154,13 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     keyed = _keyed(docs, doc_id, text)
     runs = cut_lineage(_runs(keyed, span, anchor))
     packed = _compressed(keyed)
-    firsts = runs.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("first"))
-    repeated = (runs.join(firsts.select("anchor", "run", F.col("first.doc_id").alias("before")), ["anchor", "run"])
+    # equal runs have equal anchors, so a run's hash alone is its key
+    firsts = runs.groupBy("run").agg(F.min(F.struct("doc_id", "row", "start", "n", "anchor")).alias("first")).select("run", "first.*")
+    repeated = (runs.select("run", "doc_id", "row", "start", "n").join(firsts.select("run", F.col("doc_id").alias("before")), "run")
                 .where("before < doc_id").select("doc_id", "row", "start", "n"))
 
-    several = (runs.groupBy("anchor").agg(F.min("run").alias("a"), F.max("run").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d"))
-               .where("a < b AND c < d").select("anchor"))
-    unsettled = firsts.join(several, "anchor").select("first.*")
+    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("anchor")
+    unsettled = firsts.drop("run").join(several, "anchor").drop("anchor")
     windows = cut_lineage(_windows(packed.join(_intervals(unsettled), ["doc_id", "row"]).select("doc_id", "packed", "row", "runs"), span))
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("before"))
     alone = windows.join(least, "hash").where("before < doc_id").select("doc_id", "row", "start", F.lit(1).alias("n"))
