@@ -50,3 +50,9 @@ def test_seconds_lookup_and_routes(spark):
                                "a timestamp_ntz, b timestamp_ntz, c string, r string")
     out = df.select(fn.seconds_between("a", "b").alias("s"), fn.lookup("c", {"USD": 84.0}, 1.0).alias("x"), fn.route_screen("r").alias("screen"))
     assert [tuple(r) for r in out.collect()] == [(1.5, 84.0, "TEAM_ROOM"), (None, 1.0, "HOME")]
+
+
+def test_rounding_and_repair_leave_odd_values_alone(spark):
+    row = spark.range(1).select(fn.half_up(F.lit(1e30), 2).alias("big"), fn.half_up(F.lit(2.345), 2).alias("tie"),
+                                fn.json_text(F.lit('{"a": "x: y"}'), "b").alias("absent"), fn.json_text(F.lit("{theme: dark}"), "theme").alias("loose")).first()
+    assert (row["big"], row["tie"], row["absent"], row["loose"]) == (1e30, 2.35, None, "dark")

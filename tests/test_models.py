@@ -78,6 +78,51 @@ def test_contributions_add_up_to_the_margin(bundle, scored):
     assert scored.filter(gap > 1e-9).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["elastic_net", "random_forest"])
+def test_contributions_add_up_for_other_winners(matrix, kind):
+    bundle = training.train_bundle(matrix, winner=kind, blueprints=training.model_blueprints(max_iter=4, depth=3))
+    rows = training.score(matrix, bundle, ("user_account_id",))
+    gap = F.abs(F.aggregate("contributions", F.lit(bundle.expected_margin), lambda a, v: a + v) - F.col("margin"))
+    assert rows.filter(gap > 1e-9).count() == 0 and rows.filter("primary_driver IS NULL").count() == 0
+
+
+def test_winner_comes_from_the_training_slice(matrix):
+    chosen = training.model_blueprints(max_iter=2, depth=2)
+    bundle = training.train_bundle(matrix, blueprints={k: chosen[k] for k in ("elastic_net", "boosted_trees")}, folds=2)
+    assert bundle.winner in ("elastic_net", "boosted_trees")
+
+
+def test_scores_without_value_have_no_place_in_the_curve(spark):
+    rows = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1), (None, 0), (float("nan"), 1), (0.1, 0)], "s double, y int")
+    clean = rows.filter("s IS NOT NULL AND NOT isnan(s)")
+    assert evaluation.curve_summary(rows, "s", "y").first()["average_precision"] == pytest.approx(5 / 6)
+    assert evaluation.curve_summary(rows, "s", "y").first() == evaluation.curve_summary(clean, "s", "y").first()
+    assert tuple(evaluation.unscored(rows, "s").first()) == (6, 2)
+
+
+def test_large_encodings_are_not_broadcast(spark):
+    df = spark.createDataFrame([(f"c{i % 50}", i % 2) for i in range(200)], "c string, y int")
+    table, prior = encoding.fit_target_encoding(df, ["c"], "y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans, found = [], []
+    try:
+        for limit in ("10MB", "10b"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            out = encoding.apply_target_encoding(df, table, ["c"], prior)
+            plans.append("Broadcast" in out._jdf.queryExecution().executedPlan().toString())
+            found.append(sorted(r["c"] for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans == [True, False] and found[0] == found[1]
+
+
+def test_encoding_without_text_columns(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1)], "a int, y int")
+    table, prior = encoding.fit_target_encoding(df, [], "y")
+    assert table.count() == 0 and prior == 0.5 and encoding.apply_target_encoding(df, table, [], prior).count() == 2
+    assert encoding.fit_levels(df, []) == {}
+
+
 def test_contributions_equal_brute_force_shapley(spark, bundle, matrix):
     leaves, order = bundle.leaves, bundle.recipe.order
     ready = bundle.pipeline.transform(training.apply_recipe(matrix.limit(3), bundle.recipe, bundle.encodings, ("user_account_id",)))

@@ -195,48 +195,60 @@ def calibration(spark, sf):
     return rounded(evaluation.calibration_bins(scored(spark, sf), "score", "bad"), "mean_predicted", "fraction_positive")
 
 
-@query("m15_platt")
+# At the optimum of the sigmoid the residuals against the smoothed targets add up to nothing, alone and times the margin.
+@query("m15_platt", f"""
+WITH {SCORED} SELECT count(*) AS rows, CAST(sum(bad) AS BIGINT) AS positives, CAST(0 AS DOUBLE) AS residual, CAST(0 AS DOUBLE) AS moment FROM scored""")
 def platt(spark, sf):
     rows = cut_lineage(scored(spark, sf))
     slope, offset = training.fit_sigmoid(rows, "score", "bad")
-    calibrated = rows.withColumn("calibrated", training.sigmoid("score", slope, offset))
-    out = evaluation.calibration_bins(calibrated, "calibrated", "bad")
-    return rounded(out, "mean_predicted", "fraction_positive")
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("p"))
+    target = F.when(F.col("bad") == 1, (F.col("p") + 1) / (F.col("p") + 2)).otherwise(1 / (F.col("n") - F.col("p") + 2))
+    gaps = rows.join(F.broadcast(totals)).withColumn("gap", training.sigmoid("score", slope, offset) - target)
+    return gaps.agg(F.count(F.lit(1)).alias("rows"), F.sum("bad").cast("long").alias("positives"),
+                    half_up(F.abs(F.sum("gap") / F.count(F.lit(1))), 4).alias("residual"),
+                    half_up(F.abs(F.sum(F.col("gap") * F.col("score")) / F.count(F.lit(1))), 4).alias("moment"))
 
 
 # ---------------------------------------------------------------- training on documents and on the feature matrix
 
 
-def _small_models(*names):
-    chosen = training.model_blueprints(max_iter=8, depth=3)
-    return {name: chosen[name] for name in names or chosen}
+def training_rows(spark, sf):
+    return cut_lineage(labelled(spark, sf).select("doc_id", "lang", "source", "n_chars", "toxic", "bad"))
 
 
-@query("m10_train_predict")
+# Every model scores each row of every fold once; folds are dealt class by class.
+@query("m10_train_predict", f"""
+WITH {LABELLED}, sizes AS (SELECT bad, count(*) AS n FROM labelled GROUP BY bad), folds AS (SELECT unnest(range(5)) AS fold),
+models AS (SELECT unnest(['elastic_net', 'boosted_trees', 'random_forest']) AS model)
+SELECT model, CAST(fold AS INTEGER) AS fold, CAST(sum(n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END) AS BIGINT) AS rows, TRUE AS in_range FROM models, folds, sizes GROUP BY model, fold""")
 def train_predict(spark, sf):
-    rows = cut_lineage(labelled(spark, sf).select("doc_id", "lang", "source", "n_chars", "toxic", "bad"))
-    results = training.cross_validate(rows, 3, "bad", "doc_id", engineered=False, blueprints=_small_models())
-    return rounded(results.groupBy("model").agg(F.avg("average_precision").alias("average_precision"), F.avg("brier_score").alias("brier_score")),
-                   "average_precision", "brier_score")
+    results = training.cross_validate(training_rows(spark, sf), 5, "bad", "doc_id", engineered=False)
+    return results.select("model", "fold", "rows", (F.col("average_precision").between(0, 1) & F.col("brier_score").between(0, 1)).alias("in_range"))
 
 
-@query("m16_personas")
+# Members and sums over all clusters are those of all rows; every cluster has members.
+@query("m16_personas", f"""
+WITH {MOMENTUM_SQL}
+SELECT CAST(3 AS BIGINT) AS clusters, count(*) AS members, {r('sum(usual)', 2)} AS minutes, {r('sum(clicks)', 2)} AS clicks, {r('sum(refreshes)', 2)} AS refreshes FROM mom""")
 def personas(spark, sf):
-    view = momentum_view(spark, sf)
     columns = ["avg_daily_active_minutes", "total_clickstream_events", "frequent_refresh_clicks"]
-    out = profiles.group_means(training.personas(view, columns), "persona_cluster", columns)
-    return rounded(out, *[f"mean_{c}" for c in columns])
+    means = profiles.group_means(training.personas(momentum_view(spark, sf), columns), "persona_cluster", columns)
+    total = lambda c: half_up(F.sum(F.col("members") * F.col(f"mean_{c}")), 2)
+    return means.agg(F.count(F.lit(1)).alias("clusters"), F.sum("members").alias("members"), total(columns[0]).alias("minutes"),
+                     total(columns[1]).alias("clicks"), total(columns[2]).alias("refreshes"))
 
 
-@query("m17_attribution")
+# For every row the contributions and the expected margin add up to the margin, and the driver is the largest of them.
+@query("m17_attribution", f"WITH {LABELLED} SELECT doc_id, TRUE AS adds_up, TRUE AS driver_is_largest, CAST(3 AS INTEGER) AS drivers FROM labelled")
 def attributions(spark, sf):
-    rows = cut_lineage(labelled(spark, sf).select("doc_id", "lang", "source", "n_chars", "toxic", "bad"))
-    bundle = training.train_bundle(rows, "bad", "doc_id", engineered=False, blueprints=_small_models("boosted_trees"))
-    explained = training.score(rows, bundle, ("doc_id", "bad"))
+    bundle = training.train_bundle(training_rows(spark, sf), "bad", "doc_id", engineered=False, winner="boosted_trees")
+    explained = training.score(training_rows(spark, sf), bundle, ("doc_id",))
     names = bundle.recipe.order
-    return explained.select("doc_id", r4("probability").alias("probability"), "primary_driver",
-                            F.array_join(attribution.top_drivers("contributions", names), ",").alias("top_drivers"),
-                            F.array_join(attribution.bottom_anchors("contributions", names), ",").alias("anchors"))
+    total = F.aggregate("contributions", F.lit(bundle.expected_margin), lambda a, v: a + v)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("primary_driver")).cast("int")
+    return explained.select("doc_id", (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up"),
+                            (F.element_at("contributions", place) == F.array_max("contributions")).alias("driver_is_largest"),
+                            F.size(attribution.top_drivers("contributions", names)).alias("drivers"))
 
 
 PREDICTION_KEEP = ("user_account_id", "country", "industry_type", "registration_plan_code", "customer_tenure_days", "is_churned",
@@ -246,7 +258,7 @@ PREDICTION_KEEP = ("user_account_id", "country", "industry_type", "registration_
 @query("m23_prediction_frame")
 def prediction_frame(spark, sf):
     matrix = cut_lineage(quality.strip_token(feature_matrix(spark, sf)))
-    bundle = training.train_bundle(matrix, blueprints=_small_models("boosted_trees"))
+    bundle = training.train_bundle(matrix, winner="boosted_trees")
     return scoring.prediction_frame(training.score(matrix, bundle, PREDICTION_KEEP))
 
 

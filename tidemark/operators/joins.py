@@ -52,3 +52,12 @@ def rate_lookup(df: DataFrame, rates: DataFrame, key: str, rate_key: str, rate:
     table = rates.select(F.col(rate_key).alias("__rate_key"), F.col(rate).alias("__rate"))
     joined = df.join(table, F.col(key) == F.col("__rate_key"), "left")
     return joined.withColumn(name, F.coalesce("__rate", F.lit(default))).drop("__rate_key", "__rate")
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` together stay below the session's own limit for broadcasts: one aggregation of their sizes.
+
+    For results of a fit whose size Catalyst cannot know; where they grow too large, the join stays an ordinary one.
+    """
+    held = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return held <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

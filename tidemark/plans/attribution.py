@@ -1,7 +1,7 @@
-"""Per-row feature contributions of a boosted-tree model.
+"""Per-row feature contributions of the fitted model, whichever kind won.
 
-Contributions are Shapley values with the training cover as background: for every row they add up
-to the model's margin minus its expected margin.
+For trees they are Shapley values with the training cover as background, for a linear model weight times distance from
+the training mean: for every row they add up to the model's margin minus its expected margin.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,18 @@ def leaf_table(model) -> list[dict]:
     """Every leaf of the ensemble as its value and, per feature on its path, the interval that
     leads there and the share of training rows that takes those branches."""
     leaves: list[dict] = []
+    votes = isinstance(model, RandomForestClassificationModel)
+
+    def value(node) -> float:
+        """A boosted tree adds its prediction, a tree of a forest the share of positives in its leaf."""
+        if not votes:
+            return node.prediction()
+        counts = list(node.impurityStats().stats())
+        return counts[1] / sum(counts)
 
     def walk(node, weight: float, path: dict[int, tuple[float, float, float]]) -> None:
         if not hasattr(node, "split") or node.subtreeDepth() == 0:
-            leaves.append({"value": weight * node.prediction(), "path": dict(path)})
+            leaves.append({"value": weight * value(node), "path": dict(path)})
             return
         feature, limit = node.split().featureIndex(), node.split().threshold()
         cover = node.impurityStats().count()

@@ -9,6 +9,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import fits_broadcast
 from tidemark.operators.profiles import correlations, pearson
 from tidemark.operators.quality import safe_name
 from tidemark.operators.ranking import numbered
@@ -37,10 +38,11 @@ def fit_target_encoding(df: DataFrame, columns: Sequence[str], label: str, smoot
 
 def apply_target_encoding(df: DataFrame, table: DataFrame, columns: Sequence[str], prior: float | None) -> DataFrame:
     """Replace categories by their encoding; unseen and missing ones get the overall mean."""
+    small = bool(columns) and fits_broadcast(table)
     for name in columns:
         part = table.filter(F.col("feature") == name).select(
             F.col("category").alias("__category"), F.col("encoded").alias("__encoded"))
-        joined = df.join(part, F.col(name).cast("string") == F.col("__category"), "left")
+        joined = df.join(F.broadcast(part) if small else part, F.col(name).cast("string") == F.col("__category"), "left")
         df = joined.withColumn(name, F.coalesce("__encoded", F.lit(prior))).drop("__category", "__encoded")
     return df
 

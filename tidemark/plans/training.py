@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -66,7 +66,6 @@ def fit_recipe(train: DataFrame, label: str = LABEL, key: str = ID, engineered:
     recipe.levels = encoding.fit_levels(derived, [c for c in features.ONE_HOT if c in texts])
     recipe.encoded = [c for c in (features.TARGET_ENCODED if engineered else texts) if c in texts and c not in recipe.levels]
     table, recipe.prior = encoding.fit_target_encoding(derived, recipe.encoded, label)
-    table = cut_lineage(table)
     encoded = cut_lineage(_encode(derived, recipe, table))
     candidates = [f.name for f in encoded.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in (key, label)]
     means = encoded.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(candidates)]).first()
@@ -128,8 +127,8 @@ def cross_validate(df: DataFrame, folds: int = 5, label: str = LABEL, key: str =
             model = blueprint().fit(fit_rows)
             scored = cut_lineage(model.transform(test_rows).select(_positive("probability").alias("score"), F.col(f"keep_{label}").alias("y")))
             row = evaluation.curve_summary(scored, "score", "y").first()
-            results.append((name, fold, row["average_precision"], row["brier_score"]))
-    return df.sparkSession.createDataFrame(results, "model string, fold int, average_precision double, brier_score double")
+            results.append((name, fold, scored.count(), row["average_precision"], row["brier_score"]))
+    return df.sparkSession.createDataFrame(results, "model string, fold int, rows long, average_precision double, brier_score double")
 
 
 def pick_winner(results: DataFrame) -> str:
@@ -159,7 +158,7 @@ def sigmoid(margin: str, slope: float, offset: float):
 
 @dataclass
 class Bundle:
-    """A fitted scoring bundle: recipe, encodings, classifier, calibration and leaf table."""
+    """A fitted scoring bundle: recipe, encodings, classifier and calibration."""
 
     recipe: Recipe
     encodings: DataFrame
@@ -168,10 +167,28 @@ class Bundle:
     offset: float
     winner: str
 
+    @property
+    def linear(self) -> bool:
+        return isinstance(self.pipeline.stages[-1], LogisticRegressionModel)
+
     @property
     def leaves(self) -> list[dict]:
         return attribution.leaf_table(self.pipeline.stages[-1])
 
+    @property
+    def expected_margin(self) -> float:
+        """The margin that contributions start from: that of the training means, or of the training cover."""
+        model = self.pipeline.stages[-1]
+        if self.linear:
+            return float(model.intercept) + sum(w * self.recipe.fill[c] for w, c in zip(model.coefficients, self.recipe.order))
+        return attribution.expected_margin(self.leaves)
+
+    def explain(self, scored: DataFrame, name: str = "contributions") -> DataFrame:
+        if self.linear:
+            weights, means = self.pipeline.stages[-1].coefficients, [self.recipe.fill[c] for c in self.recipe.order]
+            return scored.withColumn(name, attribution.linear_contributions(self.recipe.order, weights, means))
+        return attribution.add_contributions(scored, self.leaves, VECTOR, len(self.recipe.order), name)
+
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/model")
         self.encodings.write.mode("overwrite").parquet(f"{path}/encodings")
@@ -187,13 +204,19 @@ class Bundle:
                    pipeline=PipelineModel.load(f"{path}/model"), **values)
 
 
-def train_bundle(df: DataFrame, label: str = LABEL, key: str = ID, engineered: bool = True, winner: str = "boosted_trees",
-                 blueprints: Mapping[str, Callable] | None = None) -> Bundle:
-    """Fit on three quarters of the rows; half of the rest calibrates, the other half stays for evaluation."""
+def train_bundle(df: DataFrame, label: str = LABEL, key: str = ID, engineered: bool = True, winner: str | None = None,
+                 blueprints: Mapping[str, Callable] | None = None, folds: int = 5) -> Bundle:
+    """Fit on three quarters of the rows; half of the rest calibrates, the other half stays for evaluation.
+
+    Where no ``winner`` is named, cross-validation inside the training slice picks it.
+    """
+    blueprints = blueprints or model_blueprints()
     dealt = cut_lineage(with_slices(df, label, key))
     train = dealt.filter(F.col("slice") == "train").drop("slice")
+    if winner is None:
+        winner = next(iter(blueprints)) if len(blueprints) == 1 else pick_winner(cross_validate(train, folds, label, key, engineered, blueprints))
     recipe, table = fit_recipe(train, label, key, engineered)
-    stages = Pipeline(stages=[_assembler(recipe.order), (blueprints or model_blueprints())[winner]()])
+    stages = Pipeline(stages=[_assembler(recipe.order), blueprints[winner]()])
     rows = _weighted(apply_recipe(train, recipe, table, (label,)), f"keep_{label}")
     pipeline = stages.fit(cut_lineage(rows))
     calibrating = apply_recipe(dealt.filter(F.col("slice") == "calibrate").drop("slice"), recipe, table, (label,))
@@ -210,7 +233,7 @@ def with_slices(df: DataFrame, label: str = LABEL, key: str = ID) -> DataFrame:
 
 
 def score(df: DataFrame, bundle: Bundle, keep: tuple[str, ...], explain: bool = True) -> DataFrame:
-    """Calibrated probability per row and, for tree models, its contributions and primary driver.
+    """Calibrated probability per row and, if wanted, its contributions and primary driver.
 
     One narrow pass: lookups of model size are broadcast, nothing is shuffled.
     """
@@ -220,7 +243,7 @@ def score(df: DataFrame, bundle: Bundle, keep: tuple[str, ...], explain: bool =
     probability = sigmoid("margin", bundle.slope, bundle.offset).alias("probability")
     if not explain:
         return scored.select(*columns, "margin", probability)
-    explained = attribution.add_contributions(scored, bundle.leaves, VECTOR, len(bundle.recipe.order))
+    explained = bundle.explain(scored)
     driver = attribution.primary_driver("contributions", bundle.recipe.order).alias("primary_driver")
     return explained.select(*columns, "margin", probability, "contributions", driver)
 
