@@ -75,3 +75,13 @@ def test_outbox_lines(spark, tmp_path):
     for _ in range(2):
         sinks.write_outbox(spark.createDataFrame([('{"a": 1}',), ('{"a": 2}',)], "payload string"), path, "r1")
     assert sorted(r["a"] for r in spark.read.json(path).collect()) == [1, 2]
+
+
+def test_an_unreadable_pointer_is_no_new_table(spark, tmp_path):
+    table = str(tmp_path / "held")
+    sinks.write_versioned(spark.range(3), table)
+    spark.range(1).write.parquet(f"{table}/v00000002")           # left by a writer that died
+    assert sinks.write_versioned(spark.range(4), table) == 3 and sinks.read_versioned(spark, table).count() == 4
+    (tmp_path / "odd" / "_pointer").mkdir(parents=True)
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        sinks.current_version(spark, str(tmp_path / "odd"))

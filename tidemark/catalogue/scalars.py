@@ -15,6 +15,7 @@ from tidemark.functions import (
 from tidemark.operators import filters, quality
 from tidemark.operators.intervals import date_spine
 from tidemark.plans.dispatch import json_records, unwrap_records, wrap_records
+from tidemark.sources.readers import parse_lines
 
 LOOSE = r"""regexp_replace(props, '"', '', 'g')"""
 
@@ -243,3 +244,42 @@ def indicators(spark, sf):
 SELECT doc_id, TRY_CAST(substr(source, 4) AS DOUBLE) AS source_number FROM documents""")
 def numbers_or_null(spark, sf):
     return table(spark, sf, "documents").select("doc_id", to_number(F.substring("source", 4, 10)).alias("source_number"))
+
+
+@query("o3_first_rows", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
+def first_rows(spark, sf):
+    return filters.first_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"])
+
+
+@query("p10_columns_with", "SELECT o_orderkey, o_orderstatus, o_orderdate, o_orderpriority, o_totalprice FROM orders")
+def columns_with(spark, sf):
+    orders = table(spark, sf, "orders")
+    return orders.select(*quality.columns_with(orders.columns, ["order", "price"]))
+
+
+@query("q_readability", r"""
+WITH e AS (SELECT CASE WHEN event_id % 7 = 0 THEN replace(props, '"', '') WHEN event_id % 11 <> 0 THEN props END AS props,
+                  CASE WHEN event_id % 5 = 0 THEN substr(md5(CAST(event_id AS VARCHAR)), 1, 8) ELSE '12345678-1234-1234-1234-' || substr(md5(CAST(event_id AS VARCHAR)), 1, 12) END AS uuid FROM events)
+SELECT 'uuid' AS column_name, count(uuid) AS filled, count(*) FILTER (WHERE length(uuid) = 8) AS unreadable FROM e
+UNION ALL SELECT 'props', count(props), count(*) FILTER (WHERE props IS NOT NULL AND NOT json_valid(props)) FROM e""")
+def readability(spark, sf):
+    number = F.md5(F.col("event_id").cast("string"))
+    events = table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 7 == 0, F.regexp_replace("props", '"', "")).when(F.col("event_id") % 11 != 0, F.col("props")).alias("props"),
+        F.when(F.col("event_id") % 5 == 0, F.substring(number, 1, 8)).otherwise(F.concat(F.lit("12345678-1234-1234-1234-"), F.substring(number, 1, 12))).alias("uuid"))
+    return quality.readability(events, ["uuid"], ["props"])
+
+
+@query("q_fan_out", """
+SELECT count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows, max(n) AS most, count(*) FILTER (WHERE n > 1) AS repeated FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
+def fan_out(spark, sf):
+    return quality.fan_out(table(spark, sf, "lineitem"), "l_orderkey")
+
+
+@query("s1_csv_lines", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def csv_lines(spark, sf):
+    """Customers written as CSV lines and read with the reader's options."""
+    customers = table(spark, sf, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")))
+    columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    lines = customers.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("line"))
+    return parse_lines(lines, "line", customers.select(*columns).schema)

@@ -109,5 +109,10 @@ def recent(df: DataFrame, order: str, tie_break: str, count: int = 200) -> DataF
     return df.orderBy(F.desc(order), F.desc(tie_break)).limit(count)
 
 
+def first_rows(df: DataFrame, order: Sequence[str], count: int = 5) -> DataFrame:
+    """A preview: the first rows in a stated order; each task sends on at most ``count`` rows."""
+    return df.orderBy(*order).limit(count)
+
+
 def tier_counts(df: DataFrame, column: str = "allocated_operational_tier") -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))

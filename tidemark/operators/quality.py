@@ -113,3 +113,21 @@ def status_violations(df: DataFrame, column: str = "audit_action_status",
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Report key values that occur more than once (fan-out risk of a join)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+# Fixed value: the text form of a uuid.
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
+def readability(df: DataFrame, uuids: Sequence[str] = (), jsons: Sequence[str] = ()) -> DataFrame:
+    """Values, and values that are no uuid or no JSON, per column: one pass, long form; NULLs are neither."""
+    checks = {**{c: F.col(c).rlike(UUID) for c in uuids}, **{c: F.get_json_object(c, "$").isNotNull() for c in jsons}}
+    one_row = df.agg(*[part for i, (c, good) in enumerate(checks.items()) for part in (
+        F.count(c).alias(f"{i}_filled"), F.count_if(F.col(c).isNotNull() & ~good).alias(f"{i}_unreadable"))])
+    return _long(one_row, list(checks), ["filled", "unreadable"])
+
+
+def fan_out(df: DataFrame, key: str) -> DataFrame:
+    """Keys, rows and the most rows of one key: more than one row per key multiplies what is joined to it."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("repeated"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.sources.schemas import RAW_SCHEMAS
@@ -18,6 +19,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt:
             .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", False).csv(path))
 
 
+def parse_lines(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+    """The same reading for CSV lines that are already in a table."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return df.select(F.from_csv(column, schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
+
+
 def read_raw(spark: SparkSession, folder: str, suffix: str = ".csv") -> dict[str, DataFrame]:
     """All raw tables of a folder, lazily."""
     return {name: read_csv(spark, f"{folder}/{name}{suffix}", schema) for name, schema in RAW_SCHEMAS.items()}

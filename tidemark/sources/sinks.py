@@ -59,10 +59,17 @@ def write_csv(tables: Mapping[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
 
 
+def _unless_absent(error: AnalysisException) -> None:
+    """Only a path that does not exist counts as no table; a folder that cannot be read is a fault."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 def current_version(spark: SparkSession, table: str) -> int | None:
     try:
         return spark.read.parquet(f"{table}/_pointer").agg(F.max("version")).first()[0]
-    except AnalysisException:
+    except AnalysisException as error:
+        _unless_absent(error)
         return None
 
 
@@ -77,7 +84,14 @@ def write_versioned(df: DataFrame, table: str) -> int:
     """Write the next version of a table and make it current; returns its number."""
     spark = df.sparkSession
     version = (current_version(spark, table) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{table}/v{version:08d}")
+    while True:      # a number that another writer, or one that died, has taken is passed over
+        try:
+            df.write.mode("errorifexists").parquet(f"{table}/v{version:08d}")
+            break
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            version += 1
     pointer = spark.range(1).select(F.lit(version).alias("version"))
     # Appending never removes the earlier pointer, so readers always find a committed version.
     pointer.coalesce(1).write.mode("append").parquet(f"{table}/_pointer")
@@ -98,8 +112,8 @@ def append_audit_log(df: DataFrame, path: str) -> int:
         raise ValueError(f"{bad} audit rows lack a required value")
     try:
         df = df.join(df.sparkSession.read.schema(AUDIT_LOG).parquet(path).select("audit_id"), "audit_id", "left_anti")
-    except AnalysisException:
-        pass  # no log yet
+    except AnalysisException as error:
+        _unless_absent(error)
     total = df.count()
     if not total:
         return 0
