@@ -347,3 +347,18 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     names = docs.columns
     found = jaccard_components(docs, doc_id, text).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(found, docs[doc_id] == found["__gone"], "left_anti").select(*names)
+
+
+ORACLE = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + {SHINGLE - 1}], ' ')) AS k FROM (
+  SELECT doc_id, w, unnest(range(1, CAST(greatest(len(w) - {SHINGLE} + 2, 2) AS BIGINT))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sets a JOIN sets b ON a.k = b.k WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * o >= {PERCENT} * (x.n + y.n - o)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS doc, doc_id AS c FROM docs UNION SELECT sides.b AS doc, reach.c FROM reach JOIN sides ON reach.doc = sides.a)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN (SELECT doc, min(c) AS c FROM reach GROUP BY doc) m ON d.doc_id = m.doc
+"""

@@ -41,7 +41,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.remove_repeated_chunks(read_table(spark, folder, "documents").select("doc_id", "text"))
 
 
-@query("op3_substring_windows")
+@query("op3_substring_windows", substring.ORACLE)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = substring.remove_repeated_windows(read_table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,13 +62,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quotation.thread_messages(read_table(spark, folder, "conversations"))
 
 
-@query("op8_winnowing")
+@query("op8_winnowing", winnowing.ORACLE)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = winnowing.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-@query("op9_overlap_join")
+@query("op9_overlap_join", overlap_join.ORACLE)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_join.jaccard_components(read_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 

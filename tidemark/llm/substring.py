@@ -167,3 +167,18 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     gone = _intervals(repeated.unionByName(alone))
     return _cut(packed.join(gone, ["doc_id", "row"], "left").select("doc_id", "packed", "row", "runs"), span)
+
+
+ORACLE = rf"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+places AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {SPAN - 1}], ' ')) AS k FROM (
+  SELECT doc_id, w, unnest(range(1, CAST(len(w) - {SPAN} + 2 AS BIGINT))) AS i FROM docs WHERE len(w) >= {SPAN})),
+firsts AS (SELECT k, min(doc_id) AS before FROM places GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {SPAN})) AS p FROM (SELECT doc_id, i FROM places JOIN firsts ON places.k = firsts.k WHERE before < doc_id)),
+listed AS (SELECT doc_id, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS p, unnest(w) AS word FROM docs),
+kept AS (SELECT listed.doc_id, string_agg(word, ' ' ORDER BY listed.p) AS text FROM listed LEFT JOIN gone ON listed.doc_id = gone.doc_id AND listed.p = gone.p
+  WHERE gone.p IS NULL GROUP BY listed.doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN removed r ON d.doc_id = r.doc_id
+"""

@@ -165,3 +165,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id")
     """The documents without the contaminated ones; rows with a null id stay."""
     bad = contamination(docs, items, doc_id=doc_id).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs[doc_id] == bad["__bad"], "left_anti")
+
+
+_WORDS_SQL = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+items AS (SELECT item_id, w, least({SPAN}, len(w)) AS n FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark)),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items WHERE n > 0)),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (
+  SELECT doc_id, n, w, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM docs, (SELECT DISTINCT n FROM windows) AS sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, places.n AS n, item_id FROM places JOIN windows ON places.n = windows.n AND places.k = windows.k),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
+"""
