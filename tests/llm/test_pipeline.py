@@ -42,6 +42,13 @@ def test_lines_equal_brute_force(stages):
     assert rows_of(after) == sorted(expected, key=repr)
 
 
+def test_lines_are_split_once(spark):
+    """The filter and the new length read the cut text; they must not compute it again."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    plan = cp.line_stage(spark, docs, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(line.count("split(") <= 1 and line.count("array_join(") <= 1 for line in plan.splitlines())
+
+
 def test_copies_equal_brute_force(stages):
     before, after = stages["near copies"]
     components = brute.jaccard_components([r[:2] for r in before])

@@ -83,10 +83,14 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     kept = F.when(F.col("__gone").isNull(), F.col("__chunks")).otherwise(
         F.filter("__chunks", lambda c, i: ~F.array_contains("__gone", i)))
     cut = left.withColumn("__kept", F.flatten(kept))
-    columns = [F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(_joined(F.col("__kept"))).alias(c) if c == text else F.col(f"__c_{c}").alias(c) for c in names]
     n_lines = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    return cut.select(*columns, F.when(F.col("__text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
-                      F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n_lines - F.size("__kept")).cast("long").alias("n_removed"))
+    whole = F.col("__gone").isNull()
+    row = F.struct(F.when(whole, F.col("__text")).otherwise(_joined(F.col("__kept"))).alias("__new"),
+                   F.when(F.col("__text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
+                   F.when(whole, F.lit(0)).otherwise(n_lines - F.size("__kept")).cast("long").alias("n_removed"))
+    # a row generated from an array of one: what reads the new columns cannot pull their expressions into itself and repeat them
+    done = cut.select(*[f"__c_{c}" for c in names if c != text], F.inline(F.array(row)))
+    return done.select(*[(F.col("__new") if c == text else F.col(f"__c_{c}")).alias(c) for c in names], "n_lines", "n_removed")
 
 
 ORACLE = f"""
