@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,26 +25,32 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Zero-copy slices of Arrow batches with their texts, about ``limit`` characters each or one long text; never empty."""
+    """Zero-copy slices of Arrow batches with their texts, about ``limit`` bytes each or one long text; never empty."""
     for batch in batches:
-        texts = batch.column(batch.schema.names.index(text)).to_pylist()
+        column = batch.column(batch.schema.names.index(text))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start, size = 0, 0
-        for i, value in enumerate(texts):
-            size += len(value or "")
-            if size >= limit or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), texts[start:i + 1]
+        for i, own in enumerate(sizes):
+            size += own
+            if size >= limit or i + 1 == len(sizes):
+                part = batch.slice(start, i + 1 - start)
+                yield part, part.column(batch.schema.names.index(text)).to_pylist()
                 start, size = i + 1, 0
 
 
 class WordHashes(dict):
     """64-bit hashes of words; a bounded number of words is remembered."""
 
+    def __init__(self, remembered: int = KNOWN_WORDS) -> None:
+        super().__init__()
+        self.remembered = remembered
+
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > KNOWN_WORDS:
+        if len(self) > self.remembered:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
