@@ -32,6 +32,25 @@ def test_edges(spark, make_docs, prose):
     assert substring.remove_repeated_windows(wide).count() == 5
 
 
+def test_section_repeated_inside_a_later_document(spark, make_docs, prose):
+    docs = []
+    for i in range(20):
+        passage, head, tail = prose(f"p{i}", 51 + 2 * i, 5000), prose(f"h{i}", 40, 5000), prose(f"t{i}", 40, 5000)
+        docs.append((2 * i, f"{prose(f'a{i}', 45, 5000)} {passage} {prose(f'b{i}', 45, 5000)}"))
+        docs.append((2 * i + 1, f"{head} {passage} {tail} " * 2))
+    assert digest(substring.remove_repeated_windows(make_docs(docs))) == brute.repeated_windows(docs)
+
+
+def test_section_in_two_rows_of_one_id(spark, make_docs, prose):
+    docs, section = [], {}
+    for i in range(20):
+        passage, head, tail = prose(f"p{i}", 51 + 2 * i, 5000), prose(f"h{i}", 40, 5000), prose(f"t{i}", 40, 5000)
+        docs += [(2 * i, f"{prose(f'a{i}', 45, 5000)} {passage}")] + [(2 * i + 1, f"{n} {head} {passage} {tail}") for n in ("x", "y", "y")]
+        section[2 * i + 1] = 51 + 2 * i
+    found = [(r.doc_id, r.n_removed) for r in substring.remove_repeated_windows(make_docs(docs)).collect() if r.doc_id % 2]
+    assert sorted(found) == sorted((d, n) for d, n in section.items() for _ in range(3))
+
+
 def test_query_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op3_substring_windows"](spark, FOLDER).collect()}

@@ -4,9 +4,11 @@ Windows in a row that share one anchor (the least hash of a shorter word sequenc
 windows have equal anchors, so they always meet under one anchor:
 
 1. runs are counted by the hash of all their words; a run that begins in a smaller document goes as a whole;
-2. where one anchor has several different runs, the windows of the first document of each run are counted one by one.
+2. where one anchor has several different runs, the windows of all copies of a run in its first document (a section may
+   be repeated there, and several rows may share the id) are counted one by one.
 
-Nothing is skipped: all other copies of a run were settled in step 1, and a window alone under its anchor has no equal.
+Nothing is skipped: copies of a run in later documents were settled in step 1, and under an anchor with one run no
+window of its first document stands in an earlier one.
 Counts keep the least document id of each hash, so a frequent passage is combined before it is shuffled. Repeated
 windows are merged into maximal intervals, which meet the texts in a join by document; texts are compressed before such
 a join deals them out. Runs and windows are written once to the checkpoint folder, since several counts read them.
@@ -116,7 +118,7 @@ def _windows(docs: DataFrame, span: int) -> DataFrame:
 
 
 def _intervals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return rows.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
 def _cut(docs: DataFrame, span: int) -> DataFrame:
@@ -156,11 +158,15 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     packed = _compressed(keyed)
     # equal runs have equal anchors, so a run's hash alone is its key
     firsts = runs.groupBy("run").agg(F.min(F.struct("doc_id", "row", "start", "n", "anchor")).alias("first")).select("run", "first.*")
-    repeated = (runs.select("run", "doc_id", "row", "start", "n").join(firsts.select("run", F.col("doc_id").alias("before")), "run")
-                .where("before < doc_id").select("doc_id", "row", "start", "n"))
+    keys = firsts.select("run", "anchor", F.col("doc_id").alias("before"), F.col("row").alias("first_row"), F.col("start").alias("first_start"))
+    # written once: both steps read these copies, the first those in later documents, the second those in the first one
+    copies = cut_lineage(runs.select("run", "doc_id", "row", "start", "n").join(keys, "run")
+                         .where("before < doc_id OR row <> first_row OR start <> first_start")
+                         .select("anchor", "doc_id", "row", "start", "n", F.expr("before < doc_id").alias("later")))
+    repeated = copies.where("later").select("doc_id", "row", "start", "n")
 
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("anchor")
-    unsettled = firsts.drop("run").join(several, "anchor").drop("anchor")
+    unsettled = firsts.drop("run").unionByName(copies.where("NOT later").drop("later")).join(several, "anchor").drop("anchor")
     windows = cut_lineage(_windows(packed.join(_intervals(unsettled), ["doc_id", "row"]).select("doc_id", "packed", "row", "runs"), span))
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("before"))
     alone = windows.join(least, "hash").where("before < doc_id").select("doc_id", "row", "start", F.lit(1).alias("n"))
