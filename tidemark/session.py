@@ -49,6 +49,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder below the checkpoint folder that belongs to this application and that all executors can read and write."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written copy.
 
