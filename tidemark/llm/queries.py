@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, mincut_html, overlap_join, perplexity, quotation, substring, winnowing
+from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, mincut_html, overlap_join, perplexity, quotation, substring, wavelet, winnowing
 from tidemark.llm.common import is_held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     labels = read_table(spark, folder, "labels").select("doc_id", "toxic").where(~is_held_out(F.col("doc_id")))
     model = compression_toxicity.fit_toxicity_model(docs.where("NOT held_out"), labels)
     return compression_toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"])
+
+
+@query("op12_wavelet_tokens")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return wavelet.encode_and_read_back(read_table(spark, folder, "documents"))
