@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
+
 SLICE_CHARS = 1_000_000
 KNOWN_WORDS = 300_000
 
@@ -19,6 +22,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared checkpoint folder and go on from the files; reads take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     """True where crc32 of the id as text is divisible by ``folds``."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))

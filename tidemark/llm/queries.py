@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression_toxicity, curve_packing, language, line_chunks, mincut_html, overlap_join, perplexity, quotation, substring, wavelet, winnowing
+from tidemark.llm import bag_search, box_negatives, compression_toxicity, curve_packing, language, line_chunks, mincut_html, overlap_join, perplexity, quotation, substring, wavelet, winnowing
 from tidemark.llm.common import is_held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return compression_toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"])
 
 
+@query("op11_bag_search", bag_search.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return bag_search.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 @query("op12_wavelet_tokens")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.encode_and_read_back(read_table(spark, folder, "documents"))
+
+
+@query("op13_box_negatives", box_negatives.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    moved = read_table(spark, folder, "embeddings").withColumn("label", F.expr(box_negatives.MOVED_LABEL))
+    return box_negatives.mine(moved, F.expr(box_negatives.ANCHOR))
