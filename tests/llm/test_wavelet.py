@@ -102,4 +102,4 @@ def test_chunks_equal_whole_texts(tokenizer):
     chars = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2030), 0x20AC, 0x301]]
     texts = ["".join(rng.choice(chars if rng.random() < 0.4 else "abC 'sTt.1\n") for _ in range(200)) for _ in range(600)]
     known = w.chunk_ids(w.TOKENIZER)
-    assert [known.of(t).tolist() for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in known.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]

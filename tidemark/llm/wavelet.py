@@ -14,6 +14,7 @@ rows are documents of their own; other columns of the input are not read; an emp
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -23,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -37,36 +39,73 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
 MAGIC = b"TWM1"
-KNOWN_CHUNKS = 200_000
+KNOWN = 600_000
+SLICE_BYTES = 4_000_000
+#: How the tokenizer file cuts lower-cased texts into words, and what the last token of a word ends in (fixed values of the file).
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}++|\p{N}|[^\s\p{L}\p{N}]++")
+WORD_END = "</w>"
 #: Characters whose case, normal form and white space the standard string methods and the tokenizer file see alike.
 PLAIN = regex.compile("[\x00-\x1b\x20-įı-ɏ‐-‧€]*+")
 
 
-class ChunkIds(dict):
-    """Ids of texts without white space, as bytes of 32-bit values; a bounded number is remembered."""
+class ChunkIds:
+    """Ids of texts by a tokenizer file whose words end in a token of their own kind.
 
-    def __init__(self, name: str, remembered: int = KNOWN_CHUNKS) -> None:
-        super().__init__()
+    No word of the file crosses white space, so a text is its chunks between white space. Ids of chunks and of the words
+    they consist of are remembered, a bounded number of each; unknown words go through the library together, each once.
+    """
+
+    def __init__(self, name: str) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.remembered = remembered
-
-    def __missing__(self, chunk: str) -> bytes:
-        value = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = value
-        return value
-
-    def of(self, text: str) -> np.ndarray:
-        """The library's ids of a whole text: no token crosses white space, so chunks between it are encoded once each."""
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        if len(self) > self.remembered:
-            self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        found = {c: WORDS.findall(c) for c in chunks}
+        known = self.words
+        fresh = list(set().union(*found.values()).difference(known))
+        if fresh:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(fresh):
+                raise ValueError("a word of the tokenizer does not end in a closing token")
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(fresh, (4 * ends).tolist()):
+                known[word] = raw[at:end]
+                at = end
+        for chunk, words in found.items():
+            self.chunks[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+
+    def _of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        if len(self.chunks) > KNOWN:
+            self.chunks = {}
+        if len(self.words) > KNOWN:
+            self.words = {}
+        self._learn([c for c in chunks if c not in self.chunks])
+        return list(map(self.chunks.__getitem__, chunks))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of whole texts; texts with other characters or with a special token go through it whole."""
+        plain = np.array([PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special) for text in texts], bool)
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t, p in zip(texts, plain) if p], pa.large_string()))
+        chunks = split.flatten().dictionary_encode()
+        number, ids = chunks.indices.to_numpy(), self._of(chunks.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        # the ids of chunk after chunk, and where each text's first chunk begins among them
+        ends = np.append(0, np.cumsum(sizes[number]))
+        flat = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], sizes[number]) + np.arange(ends[-1])]
+        bounds = iter(itertools.pairwise(ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()))
+        return [flat[slice(*next(bounds))] if p else np.array(next(whole).ids, "<u4") for p in plain.tolist()]
 
 
 @lru_cache(maxsize=2)
@@ -222,10 +261,10 @@ def _writer(tokenizer: str, end_id: int, shard_tokens: int):
                 (part, pa.int64()), (number, pa.int64()), (before, pa.int64()), (len(docs), pa.int64()), (size, pa.int64()), (write_file(docs, ids), pa.binary()))],
                 names=["part", "number", "before", "n_docs", "n_tokens", "file"])
 
-        for batch, texts in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), texts):
+        for batch, texts in slices(batches, limit=SLICE_BYTES):
+            for doc, found in zip(batch.column(0).to_pylist(), known.encode([t or "" for t in texts])):
                 docs.append(doc)
-                ids.append(np.append(known.of(text or ""), np.uint32(end_id)))
+                ids.append(np.append(found, np.uint32(end_id)))
                 size += len(ids[-1])
                 if size >= shard_tokens:
                     yield shard()
