@@ -214,8 +214,8 @@ def _search_block(docs: DataFrame, entries, doc_id: str, text: str, top: int, k1
     best = _ranked(best_classes(classes, model, top), ["item"], [F.desc("score"), F.asc_nulls_last("first")], top, "place")
     best = written(best.drop("place", "first"))    # at most ``top`` classes an item
     key = ["digest", "m", "bag"]
-    # a class may hold any share of the documents: its least ids are picked per task first
-    members = _ranked(held.select("doc_id", *key).join(best.select(*key).distinct(), key, "left_semi"), key, [F.asc_nulls_last("doc_id")], top, "place")
+    # a class may hold any share of the documents: its least ids are picked per task first, before the join and its shuffle
+    members = _ranked(held.select("doc_id", *key), key, [F.asc_nulls_last("doc_id")], top, "place")
     found = _ranked(members.drop("place").join(best, key), ["item"], [F.desc("score"), F.asc_nulls_last("doc_id")], top, "rank")
     names = spark.createDataFrame(list(enumerate(ids)), "item long, item_id long")
     return found.join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
