@@ -102,8 +102,10 @@ class ChunkIds:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         # the ids of chunk after chunk, and where each text's first chunk begins among them
-        ends = np.append(0, np.cumsum(sizes[number]))
-        flat = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], sizes[number]) + np.arange(ends[-1])]
+        own = sizes[number]
+        ends = np.append(0, np.cumsum(own))
+        shift = ((np.cumsum(sizes) - sizes)[number] - ends[:-1]).astype(np.int32)
+        flat = flat.take(np.repeat(shift, own) + np.arange(ends[-1], dtype=np.int32))
         bounds = iter(itertools.pairwise(ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()))
         return [flat[slice(*next(bounds))] if p else np.array(next(whole).ids, "<u4") for p in plain.tolist()]
 
@@ -131,9 +133,9 @@ class WaveletMatrix:
         codes[symbols] = np.arange(len(symbols), dtype=codes.dtype)
         x, planes = codes[ids], []
         for level in reversed(range(max(1, (len(symbols) - 1).bit_length()) if len(symbols) else 0)):
-            bit = (x >> codes.dtype.type(level)) & codes.dtype.type(1) != 0
+            bit = (x & codes.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            x = np.concatenate([x[~bit], x[bit]])
+            x = np.concatenate([x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))])
         return symbols, planes
 
     @staticmethod
@@ -215,7 +217,7 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
             here = np.zeros(self.size, np.uint32)
             if below is not None:
-                here[~bit], here[bit] = below[:self.zeros[level]], below[self.zeros[level]:]
+                here[np.flatnonzero(~bit)], here[np.flatnonzero(bit)] = below[:self.zeros[level]], below[self.zeros[level]:]
             here |= bit.astype(np.uint32) << np.uint32(len(self.planes) - 1 - level)
             below = here
         return self.symbols[below] if below is not None else np.zeros(0, "<u4")
