@@ -10,7 +10,8 @@ from tidemark.catalogue.standin import AS_OF, raw_tables
 from tidemark.operators.filters import recent
 from tidemark.plans import jobs, training, warehouse
 from tidemark.operators.quality import strip_token
-from tidemark.sources.sinks import read_versioned
+from tidemark.sources import keyed
+from tidemark.sources.sinks import read_audit_log
 
 T = dt.datetime
 
@@ -32,9 +33,9 @@ def test_score_review_dispatch(spark, written, tmp_path):
     table, outbox, log = (str(tmp_path / name) for name in ("predictions", "outbox", "log"))
     matrix = written["churn_feature_matrix"]
     bundle = training.train_bundle(strip_token(matrix), blueprints=training.model_blueprints(max_iter=3, depth=2))
-    assert jobs.refresh_predictions(matrix, bundle, table, T(2024, 2, 1)) == 1
+    assert jobs.refresh_predictions(matrix, bundle, table, T(2024, 2, 1), buckets=8) == 1
     users = matrix.select("user_account_id").distinct().count()
-    first = read_versioned(spark, table)
+    first = keyed.read(spark, table)
     assert first.count() == users == first.select("user_account_id").distinct().count()
 
     chosen = first.select("user_account_id").orderBy("user_account_id").limit(5)
@@ -47,7 +48,7 @@ def test_score_review_dispatch(spark, written, tmp_path):
     assert jobs.record_reviews(spark, edits.limit(0), table, "me", T(2024, 2, 2), "no") == {"submitted": 0, "matched": 0}
 
     assert jobs.refresh_predictions(matrix, bundle, table, T(2024, 3, 1)) == 3
-    again = read_versioned(spark, table)
+    again = keyed.read(spark, table)
     assert again.filter("audit_action_status = 'APPROVED' AND audit_override_by = 'me'").count() == 5
     assert again.filter(F.col("prediction_timestamp") == F.lit(T(2024, 2, 1))).count() == users
 
@@ -59,4 +60,4 @@ def test_score_review_dispatch(spark, written, tmp_path):
     if expected:
         sent = [json.loads(r["value"]) for r in spark.read.text(outbox).collect()]
         assert sum(p["customers"] for p in sent if p["kind"] == "envelope") == sum(p["kind"] == "customer" for p in sent) == expected
-        assert recent(spark.read.parquet(log), "event_timestamp", "audit_id").count() == min(expected, 200)
+        assert recent(read_audit_log(spark, log), "event_timestamp", "audit_id").count() == min(expected, 200)

@@ -49,12 +49,30 @@ def test_audit_log_checks_required_values_and_skips_empty_input(spark, tmp_path)
     row = ("a1", "7", "SENT", "SUCCESS", dt.datetime(2024, 1, 1))
     schema = "audit_id string, user_account_id string, action_taken string, status string, event_timestamp timestamp_ntz"
     good = spark.createDataFrame([row], schema)
-    assert sinks.append_audit_log(good.limit(0), path) == 0 and not (tmp_path / "log").exists()
-    assert sinks.append_audit_log(good, path) == 1 and sinks.append_audit_log(good, path) == 0
-    assert sinks.append_audit_log(good.withColumn("audit_id", F.lit("a2")), path) == 1
-    assert spark.read.parquet(path).count() == 2 and len(spark.read.parquet(path).columns) == 13
-    with pytest.raises(ValueError, match="required"):
-        sinks.append_audit_log(good.withColumn("status", F.lit(None).cast("string")), path)
+    assert sinks.append_audit_log(good.limit(0), path, "r0") == 0 and sinks.read_audit_log(spark, path).count() == 0
+    assert sinks.append_audit_log(good, path, "r1") == 1 and sinks.append_audit_log(good, path, "r1") == 0
+    assert sinks.append_audit_log(good.withColumn("audit_id", F.lit("a2")), path, "r2") == 1
+    assert sinks.read_audit_log(spark, path).count() == 2 and len(sinks.read_audit_log(spark, path).columns) == 13
+    with pytest.raises(Exception, match="required"):
+        sinks.append_audit_log(good.withColumn("status", F.lit(None).cast("string")), path, "r3")
+    with pytest.raises(ValueError, match="folder"):
+        sinks.append_audit_log(good, path, "a/b")
+
+
+def test_a_retried_run_replaces_its_own_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "audit_id string, user_account_id string, action_taken string, status string, event_timestamp timestamp_ntz"
+    rows = lambda run, days: spark.createDataFrame([(f"{run}-{d}-{i}", "7", "SENT", "SUCCESS", dt.datetime(2024, 1, d)) for d in days for i in range(3)], schema)
+    for run in ("a", "b", "c"):
+        assert sinks.append_audit_log(rows(run, (1, 2)), path, run) == 6
+    others = {f: f.stat().st_mtime_ns for f in (tmp_path / "log").rglob("*.parquet") if "run=b" not in str(f)}
+    assert others and sinks.append_audit_log(rows("b", (1, 2)), path, "b") == 0
+    assert {f: f.stat().st_mtime_ns for f in others} == others
+    # a retry that has rows on one day less takes back the other day's
+    assert sinks.append_audit_log(rows("b", (2,)), path, "b") == -3 and sinks.read_audit_log(spark, path).count() == 15
+    # a run that died before its marker does not count
+    rows("d", (1,)).withColumns({"event_day": F.to_date("event_timestamp"), "run": F.lit("d")}).write.mode("append").partitionBy("event_day", "run").parquet(path)
+    assert sinks.read_audit_log(spark, path).count() == 15 and sinks.committed_run(spark, path, "b") == {"2024-01-02": 3}
 
 
 def test_catalog_tables(spark, tmp_path):

@@ -129,3 +129,20 @@ def test_timeline_can_stop_at_the_cancellation(raw):
     assert days.agg(F.max("activity_date")).first()[0] == D(2024, 2, 5) and days.count() == 36
     one = full["churn_feature_matrix"].filter("user_account_id = 1").first()
     assert (one["is_churned"], one["lifetime_total_active_days_observed"], one["trailing_7d_total_logins"]) == (1, 36, 2)
+
+
+def test_many_subscriptions_do_not_multiply_rows(spark):
+    """10 000 subscriptions of one user over one year: the stream has a row per day, and equals counting every pair."""
+    import random
+    rng = random.Random(3)
+    spans = [(i, 1, D(2024, 1, 1) + dt.timedelta(rng.randrange(300)), rng.randrange(60)) for i in range(10_000)]
+    df = spark.createDataFrame([(s, u, a, a + dt.timedelta(n), 0) for s, u, a, n in spans], "subscription_id long, user_account_id long, span_from date, span_to date, cancelled int")
+    days = [D(2023, 12, 1) + dt.timedelta(n) for n in range(0, 450, 3)]
+    facts = spark.createDataFrame([(1, d, 2) for d in days], "user_account_id long, activity_date date, clicks int")
+    stream = wh.user_timeline(wh.span_changes(df), facts)
+    rows = stream.collect()
+    assert len(rows) <= 2 * 450 and stream.agg(F.sum("lasting")).first()[0] == (max(r["activity_date"] for r in rows) - min(r["activity_date"] for r in rows)).days
+    got = {r["activity_date"]: r["open"] for r in rows if r["clicks"]}
+    assert got == {d: sum(a <= d <= a + dt.timedelta(n) for _, _, a, n in spans) for d in days}
+    plan = wh.user_timeline(wh.span_changes(df), facts)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ENSURE_REQUIREMENTS") == 2    # the changes by user and day, the stream by user

@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from tidemark.operators import filters, mutation, quality
 from tidemark.plans import dispatch, features, scoring, training
 from tidemark.session import cut_lineage
+from tidemark.sources import keyed
 from tidemark.sources.schemas import AUDIT_COLUMNS, PREDICTIONS
-from tidemark.sources.sinks import append_audit_log, current_version, read_versioned, write_outbox, write_versioned
+from tidemark.sources.sinks import append_audit_log, write_outbox
 
 KEEP = ("user_account_id", "country", "industry_type", "registration_plan_code", "customer_tenure_days", "is_churned",
         "currency", "total_revenue_contributed")
 MAPPED = [f.name for f in PREDICTIONS.fields if f.name != "prediction_timestamp"]
 
 
+#: A bucket with this many commits of changes is rewritten by the job that added the last one.
+COMPACT_AFTER = 8
+
+
 def refresh_predictions(matrix: DataFrame, bundle: training.Bundle, table: str, loaded_at: dt.datetime,
-                        touch_timestamp: bool = False) -> int:
-    """Score a whole feature matrix and upsert it into the prediction table; returns the new version.
+                        touch_timestamp: bool = False, buckets: int = keyed.BUCKETS) -> int:
+    """Score a whole feature matrix and upsert it into the prediction table; returns the number of the commit.
 
     A matrix may repeat a user that has several subscriptions; the table holds the row of the
     riskiest one.
@@ -30,11 +35,14 @@ def refresh_predictions(matrix: DataFrame, bundle: training.Bundle, table: str,
     frame = scoring.prediction_frame(training.score(source, bundle, KEEP))
     batch = mutation.latest_per_key(frame.withColumn("__order", F.struct(
         "calibrated_churn_probability", "projected_ltv", "registration_plan_code")), "user_account_id", "__order").drop("__order")
-    base = (read_versioned(spark, table) if current_version(spark, table) is not None
-            else spark.createDataFrame([], PREDICTIONS))
-    base = mutation.add_columns(base, AUDIT_COLUMNS.fields)
-    merged = mutation.upsert(base, batch, "user_account_id", MAPPED, F.lit(loaded_at), "prediction_timestamp", touch_timestamp)
-    return write_versioned(merged, table)
+    if keyed.state_of(spark, table) is None:
+        fields = [*PREDICTIONS.fields, *AUDIT_COLUMNS.fields]
+        first = mutation.add_columns(batch.drop("prediction_timestamp"), fields)
+        rows = first.select(*[(F.lit(loaded_at) if f.name == "prediction_timestamp" else F.col(f.name)).cast(f.dataType).alias(f.name) for f in fields])
+        return keyed.create(rows, table, "user_account_id", buckets)
+    commit = keyed.commit_upsert(batch, table, MAPPED, F.lit(loaded_at), "prediction_timestamp", touch_timestamp)
+    keyed.compact(spark, table, COMPACT_AFTER)
+    return commit
 
 
 def record_reviews(spark: SparkSession, edits: DataFrame, table: str, user: str, at: dt.datetime, order: str) -> dict[str, int]:
@@ -45,10 +53,8 @@ def record_reviews(spark: SparkSession, edits: DataFrame, table: str, user: str,
     bad = quality.status_violations(checked).count()
     if bad:
         raise ValueError(f"{bad} edits carry a missing or unknown status")
-    base = read_versioned(spark, table)
-    counts = mutation.update_counts(base, checked, "user_account_id").first().asDict()
-    columns = [f.name for f in AUDIT_COLUMNS.fields]
-    write_versioned(mutation.keyed_update(base, checked, "user_account_id", columns, order), table)
+    counts = keyed.commit_update(checked, table, [f.name for f in AUDIT_COLUMNS.fields], order)
+    keyed.compact(spark, table, COMPACT_AFTER)
     return counts
 
 
@@ -58,11 +64,11 @@ def dispatch_approved(spark: SparkSession, table: str, outbox: str, log: str, ru
 
     Both steps can be repeated under one ``run_id`` without sending or logging anyone twice.
     """
-    reviewed = filters.with_audit_columns(read_versioned(spark, table))
+    reviewed = filters.with_audit_columns(keyed.read(spark, table))
     payloads = cut_lineage(dispatch.dispatch_payloads(reviewed, run_id, user, at, notes))
     count = payloads.count()
     if count:
         write_outbox(payloads, outbox, run_id)
     rows = append_audit_log(dispatch.audit_rows(reviewed, run_id, user, at, outbox, "{}", notes).withColumn(
-        "created_at", F.lit(at)), log)
+        "created_at", F.lit(at)), log, run_id)
     return {"payloads": count, "customers": rows}

@@ -255,15 +255,16 @@ def product_daily(sessions: DataFrame, speed: DataFrame, clicks: DataFrame) -> D
 
 
 def logins_daily(logins: DataFrame) -> DataFrame:
+    """Logins per user-day. A day on one known device keeps its fingerprint, which is all that the device table can be asked for."""
     agent, fingerprint = "user_agent_string", F.col("device_fingerprint_hash")
     known = [(needle, fingerprint) for needle, _ in AGENT_PLATFORMS]
+    device = contains_rules(agent, known, "")        # no text for an agent that no rule knows: it makes the day's list one that no device has
     result = F.col("authentication_result")
     return logins.groupBy(USER, F.to_date("created_at").alias(DAY)).agg(
         _rows("login_event_id", "total_login_attempts"),
         count_where(result == "SUCCESS").alias("successful_logins_count"),
         count_where(result == "FAILURE").alias("failed_logins_count"), F.max("geo_city").alias("login_geo_city"),
-        distinct_list(contains_rules(agent, known, "UNKNOWN_DEVICE")).alias("login_device_models"),
-        distinct_list(contains_rules(agent, known, "UNKNOWN_BROWSER")).alias("login_browsers_used"),
+        F.when((F.min(device) == F.max(device)) & (F.min(device) != ""), F.min(device)).alias("login_device"),
         distinct_list(contains_rules(agent, AGENT_PLATFORMS, "UNKNOWN_PLATFORM")).alias("login_platform_types"))
 
 
@@ -286,9 +287,8 @@ def user_activity_daily(raw: Mapping[str, DataFrame]) -> DataFrame:
     product = product_daily(raw["product_sessions"], raw["frontend_performance_events"], raw["clickstream_events"])
     joined = full_outer_daily(full_outer_daily(product, logins_daily(raw["auth_login_events"]), [USER, DAY]),
                               tokens_daily(raw["auth_session_tokens"]), [USER, DAY])
-    devices = raw["user_device_profiles"]
-    joined = scalar_lookup(joined, devices, "login_device_models", "device_id", {"looked_up_model": "device_model"})
-    joined = scalar_lookup(joined, devices, "login_browsers_used", "device_id", {"looked_up_browser": "browser_name"})
+    joined = scalar_lookup(joined, raw["user_device_profiles"], "login_device", "device_id",
+                           {"looked_up_model": "device_model", "looked_up_browser": "browser_name"})
     fallback = {"device_models": "looked_up_model", "browsers_used": "looked_up_browser",
                 "platform_types": "login_platform_types", "geo_city": "login_geo_city"}
     joined = joined.withColumns({name: F.coalesce(name, other) for name, other in fallback.items()})
@@ -515,83 +515,108 @@ def behaviour_features(snapshot: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def subscription_spans(intervals: DataFrame, as_of: dt.date) -> DataFrame:
-    """First and last day per user and how many subscriptions share them.
+    """First and last day of each subscription and whether any of its days is cancelled.
 
     The intervals of one subscription follow each other without a gap, so its days are one span.
     """
     last = F.least("valid_to", F.lit(as_of))
-    spans = intervals.filter(F.col("valid_from") <= last).groupBy(USER, SUBSCRIPTION).agg(
-        F.min("valid_from").alias("span_from"), F.max(last).alias("span_to"))
-    return spans.groupBy(USER, "span_from", "span_to").agg(F.count(F.lit(1)).alias("subscriptions"))
+    return intervals.filter(F.col("valid_from") <= last).groupBy(SUBSCRIPTION, USER).agg(
+        F.min("valid_from").alias("span_from"), F.max(last).alias("span_to"),
+        F.max(flag(F.col("subscription_status") == "CANCELLED")).alias("cancelled"))
 
 
-def behaviour_from_facts(intervals: DataFrame, activity: DataFrame, support: DataFrame, billing: DataFrame,
-                         as_of: dt.date) -> DataFrame:
-    """The measures of ``behaviour_features`` without a row per quiet day.
+def span_changes(spans: DataFrame) -> DataFrame:
+    """Per user and day by how much the number of open subscriptions changes; starts carry what the anchors need.
 
-    Sums need only the days on which something happened, weighted by the subscriptions that cover
-    the day; averages divide by the number of subscription-days, which is interval arithmetic. The
-    cost follows the facts, not users times days.
+    However many subscriptions a user has, no more rows come out than there are days.
     """
-    spans = subscription_spans(intervals, as_of)
-    before = Window.partitionBy(USER).orderBy("span_from").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = {"span_from": "date", "span_to": "date", "cancelled": "int"}
+    start = F.struct(F.col("span_from").alias(DAY), F.lit(1).alias("change"), "span_from", "span_to", "cancelled")
+    end = F.struct(F.date_add("span_to", 1).alias(DAY), F.lit(-1).alias("change"), *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()])
+    return spans.select(USER, F.inline(F.array(start, end))).groupBy(USER, DAY).agg(
+        F.sum("change").alias("change"), F.min("span_from").alias("first_active_date"),
+        F.max("span_to").alias("final_active_date"), F.max("cancelled").alias("is_churned"))
+
+
+def user_timeline(changes: DataFrame, *facts: DataFrame) -> DataFrame:
+    """One ordered stream per user of span starts, span ends and daily facts, with the subscriptions open on each day.
+
+    ``open`` is the running sum of the changes up to and including the day, ``lasting`` the days until the user's next
+    row, over which it does not change (0 between rows of one day). Each input has one row per user and day, so a user
+    has as many rows as the calendar has days, times the inputs: nobody is hot, and one exchange serves all.
+    """
+    stream = changes
+    for fact in facts:
+        stream = stream.unionByName(fact, allowMissingColumns=True)
+    user, order = Window.partitionBy(USER), Window.partitionBy(USER).orderBy(DAY)
+    return stream.withColumns({
+        "open": F.coalesce(F.sum("change").over(order), F.lit(0)).cast("long"),     # rows of the same day count together
+        "lasting": F.coalesce(F.datediff(F.lead(DAY).over(order), DAY), F.lit(0)),
+        "final_active_date": F.max("final_active_date").over(user)})
 
-    def days(first, last):
-        return F.greatest(F.datediff(last, first) + 1, F.lit(0)).cast("long")
 
-    # Per user and start day only the latest end matters for the distinct days covered.
-    covered = (spans.groupBy(USER, "span_from").agg(F.max("span_to").alias("span_to"))
-               .withColumn("seen_to", F.max("span_to").over(before))
-               .groupBy(USER).agg(F.sum(days(F.greatest("span_from", F.date_add("seen_to", 1)), F.col("span_to")))
-                                  .alias("lifetime_total_active_days_observed")))
-    anchors = interval_anchors(intervals, as_of)
+def behaviour_from_facts(intervals: DataFrame, activity: DataFrame, support: DataFrame, billing: DataFrame,
+                         as_of: dt.date) -> DataFrame:
+    """The measures of ``behaviour_features`` and the timeline anchors, without a row per quiet day.
 
-    def spine_days(back: int | None):
-        start = F.col("span_from") if back is None else F.greatest("span_from", F.date_sub("final_active_date", back))
-        return F.sum(days(start, F.col("span_to")) * F.col("subscriptions"))
+    Sums need only the days on which something happened, weighted by the subscriptions open on the day; averages divide
+    by the number of subscription-days, which follows from how long each count of open subscriptions lasts. Both come
+    from one sweep over the user's stream: no fact meets a span in a join, and the cost follows the facts.
+    """
+    spans = subscription_spans(intervals, as_of)
+    used = {*LIFETIME_SUMS.values(), *LIFETIME_MEANS.values(), *[column for _, column in TRAILING_SUMS.values()], "daily_total_duration_sec", "daily_largest_contentful_paint_ms"}
 
-    lengths = spans.join(anchors.select(USER, "final_active_date"), USER).groupBy(USER).agg(
-        spine_days(None).alias("n_all"), spine_days(7).alias("n_7"), spine_days(30).alias("n_30"))
+    def by_day(facts: DataFrame, columns: Mapping[str, tuple]) -> DataFrame:
+        return facts.select(USER, DAY, F.lit(True).alias("busy"), *[F.coalesce(F.col(fact), F.lit(0)).alias(name) for name, (fact, _) in columns.items() if name in used])
 
-    dated_spans = spans.join(anchors.select(USER, "final_active_date"), USER)
-    on_span = F.col(DAY).between(F.col("span_from"), F.col("span_to"))
-    facts = {name: fact for name, (fact, default) in {**SNAPSHOT_ACTIVITY, **SNAPSHOT_SUPPORT}.items() if default == 0}
-    numbers = activity.drop(*ACTIVITY_TRAITS).join(support, [USER, DAY], "full")
-    by_day = numbers.select(USER, DAY, *[F.coalesce(F.col(fact), F.lit(0)).alias(name) for name, fact in facts.items()])
-    used = dated_spans.join(by_day, USER).filter(on_span)
+    # on a day with tickets only, every measure of use is 0
+    tickets = by_day(support, SNAPSHOT_SUPPORT).withColumn("daily_largest_contentful_paint_ms", F.lit(0.0))
+    billing_columns = {name: fact for name, (fact, _) in SNAPSHOT_BILLING.items()}
+    billed = {*LIFETIME_SUMS.values(), *[column for _, column in TRAILING_SUMS.values()]} & set(billing_columns)
+    timeline = user_timeline(span_changes(spans), by_day(activity, SNAPSHOT_ACTIVITY), tickets)
+    # the last day with facts that an earlier row has; of several rows of one day only one is the first
+    earlier = F.last(F.when(F.col("busy"), F.col(DAY)), ignorenulls=True).over(Window.partitionBy(USER).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1))
+    timeline = timeline.withColumn("first_busy", F.col("busy") & (earlier.isNull() | (earlier < F.col(DAY)))).filter(F.col("final_active_date").isNotNull())
 
     def within(back: int):
         return F.col(DAY) >= F.date_sub("final_active_date", back)
 
     def total(column: str):
-        return F.sum(F.col(column) * F.col("subscriptions"))
+        return F.sum(F.col(column) * F.col("open"))
 
     def recent_total(back: int, column: str):
-        return F.sum(F.when(within(back), F.col(column) * F.col("subscriptions")).otherwise(F.lit(0)))
-
-    billing_columns = {name: fact for name, (fact, _) in SNAPSHOT_BILLING.items()}
-    sums = {name: column for name, column in LIFETIME_SUMS.items() if column not in billing_columns}
-    trailing = {name: rule for name, rule in TRAILING_SUMS.items() if rule[1] not in billing_columns}
-    by_user = used.groupBy(USER).agg(
-        *[total(column).alias(name) for name, column in sums.items()],
+        return sum_where(within(back) & F.col(column).isNotNull(), F.col(column) * F.col("open"))
+
+    def spine_days(back: int):
+        start = F.greatest(F.lit(0), F.datediff(F.date_sub("final_active_date", back), DAY))
+        return F.sum(F.greatest(F.col("lasting") - start, F.lit(0)) * F.col("open"))
+
+    is_open = F.col("open") > 0
+    rolled = timeline.groupBy(USER).agg(
+        F.min("first_active_date").alias("first_active_date"), F.max("final_active_date").alias("final_active_date"), F.max("is_churned").alias("is_churned"),
+        F.sum(F.when(is_open, F.col("lasting")).otherwise(0)).alias("lifetime_total_active_days_observed"),
+        F.sum(F.col("lasting") * F.col("open")).alias("n_all"), spine_days(7).alias("n_7"), spine_days(30).alias("n_30"),
+        *[total(column).alias(name) for name, column in LIFETIME_SUMS.items() if column not in billed],
         *[total(column).alias(f"t_{name}") for name, column in {**LIFETIME_MEANS, "minutes": "daily_total_duration_sec"}.items()],
         recent_total(7, "daily_total_duration_sec").alias("t_minutes_7"), recent_total(30, "daily_avg_latency_ms").alias("t_latency_30"),
-        *[recent_total(*rule).alias(name) for name, rule in trailing.items()],
-        F.max("daily_largest_contentful_paint_ms").alias("largest"), F.sum("subscriptions").alias("busy_days"))
-    owners = intervals.filter(F.col("valid_from") <= F.least("valid_to", F.lit(as_of))).groupBy(SUBSCRIPTION, USER).agg(
-        F.min("valid_from").alias("span_from"), F.max(F.least("valid_to", F.lit(as_of))).alias("span_to"))
-    paid = (billing.select(SUBSCRIPTION, DAY, *[F.col(fact).alias(name) for name, fact in billing_columns.items()])
-            .join(owners, SUBSCRIPTION).filter(on_span).join(anchors.select(USER, "final_active_date"), USER).groupBy(USER).agg(
-        *[F.sum(column).alias(name) for name, column in LIFETIME_SUMS.items() if column in billing_columns],
-        *[sum_where(within(days_back), column).alias(name) for name, (days_back, column) in TRAILING_SUMS.items() if column in billing_columns]))
-    joined = covered.join(lengths, USER).join(by_user, USER, "left").join(paid, USER, "left")
+        *[recent_total(*rule).alias(name) for name, rule in TRAILING_SUMS.items() if rule[1] not in billed],
+        F.max(F.when(is_open, F.col("daily_largest_contentful_paint_ms"))).alias("largest"),
+        F.sum(F.when(F.col("first_busy"), F.col("open"))).alias("busy_days"))
 
     def mean(column: str, count: str):
         return F.coalesce(F.col(column), F.lit(0.0)) / F.nullif(F.col(count), F.lit(0))
 
+    # a bill counts on the days of its own subscription, once, so it needs no weight
+    final = spans.groupBy(USER).agg(F.max("span_to").alias("final_active_date"))
+    paid = (billing.select(SUBSCRIPTION, DAY, *[F.col(billing_columns[name]).alias(name) for name in sorted(billed)])
+            .join(spans.select(SUBSCRIPTION, USER, "span_from", "span_to").join(final, USER), SUBSCRIPTION)
+            .filter(F.col(DAY).between(F.col("span_from"), F.col("span_to"))).groupBy(USER).agg(
+        *[F.sum(column).alias(name) for name, column in LIFETIME_SUMS.items() if column in billed],
+        *[sum_where(within(back), column).alias(name) for name, (back, column) in TRAILING_SUMS.items() if column in billed]))
     quiet = F.coalesce("busy_days", F.lit(0)) < F.col("n_all")
-    return joined.select(
-        USER, "lifetime_total_active_days_observed", (mean("t_minutes", "n_all") / 60.0).alias("lifetime_avg_daily_active_minutes"),
+    return rolled.join(paid, USER, "left").select(
+        USER, "first_active_date", "final_active_date", "is_churned",
+        "lifetime_total_active_days_observed", (mean("t_minutes", "n_all") / 60.0).alias("lifetime_avg_daily_active_minutes"),
         *[F.coalesce(name, F.lit(0)).alias(name) for name in LIFETIME_SUMS],
         *[mean(f"t_{name}", "n_all").alias(name) for name in LIFETIME_MEANS],
         F.when(quiet, F.greatest("largest", F.lit(0.0))).otherwise(F.col("largest")).alias("lifetime_largest_contentful_paint_ms"),
@@ -603,11 +628,12 @@ def behaviour_from_facts(intervals: DataFrame, activity: DataFrame, support: Dat
 def churn_feature_matrix(snapshot: DataFrame, dimension: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """The matrix from a (written) snapshot: one row of 63 columns per dimension row with at least one subscription-day."""
     anchors = timeline_anchors(snapshot) if anchors is None else anchors
-    return assemble_matrix(dimension, anchors, behaviour_features(snapshot, anchors))
+    return assemble_matrix(dimension, anchors.join(behaviour_features(snapshot, anchors), USER))
 
 
-def assemble_matrix(dimension: DataFrame, anchors: DataFrame, behaviour: DataFrame) -> DataFrame:
-    joined = dimension.join(anchors, USER).join(behaviour, USER)
+def assemble_matrix(dimension: DataFrame, behaviour: DataFrame) -> DataFrame:
+    """Join each dimension row with its user's anchors and measures."""
+    joined = dimension.join(behaviour, USER)
     logins_per_day = guarded_ratio("lifetime_total_successful_logins", "lifetime_total_active_days_observed")
     computed = joined.withColumns({
         "currency": F.coalesce("currency", F.lit("UNKNOWN")),
@@ -632,8 +658,7 @@ def build_all(raw: Mapping[str, DataFrame], as_of: dt.date, stop_at_cancel: bool
     dimension = dim_users(profiles)
     snapshot = fct_daily_user_snapshot(spine, activity, support, billing)
     intervals = subscription_intervals(raw, as_of, stop_at_cancel)
-    matrix = assemble_matrix(dimension, interval_anchors(intervals, as_of),
-                             behaviour_from_facts(intervals, activity, support, billing, as_of))
+    matrix = assemble_matrix(dimension, behaviour_from_facts(intervals, activity, support, billing, as_of))
     return {
         "user_profiles": profiles, "subscription_lifecycle_daily": spine, "user_activity_daily": activity,
         "customer_support_daily": support, "billing_and_revenue_daily": billing, "dim_users": dimension,
@@ -659,7 +684,6 @@ def write_warehouse(raw: Mapping[str, DataFrame], as_of: dt.date, root: str, sto
     write_layer(mart, f"{root}/mart", daily, {"fct_daily_user_snapshot": [USER]})
     written = read_layer(spark, f"{root}/mart", list(mart))
     intervals = subscription_intervals(raw, as_of, stop_at_cancel)
-    matrix = assemble_matrix(written["dim_users"], interval_anchors(intervals, as_of),
-                             behaviour_from_facts(intervals, *[facts[name] for name in inner[2:]], as_of))
+    matrix = assemble_matrix(written["dim_users"], behaviour_from_facts(intervals, *[facts[name] for name in inner[2:]], as_of))
     write_layer({"churn_feature_matrix": matrix}, f"{root}/analytics")
     return {**facts, **written, **read_layer(spark, f"{root}/analytics", ["churn_feature_matrix"])}

@@ -7,14 +7,19 @@ between leaves the old version current, and no job overwrites the files it reads
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tidemark.session import cut_lineage
 from tidemark.sources.schemas import AUDIT_LOG, AUDIT_LOG_REQUIRED
 
+RUN_ID = re.compile(r"[A-Za-z0-9._-]+")
+
 
 def write_layer(tables: Mapping[str, DataFrame], layer: str, partition_by: Mapping[str, list[str]] | None = None,
                 sort_by: Mapping[str, list[str]] | None = None) -> None:
@@ -98,30 +103,63 @@ def write_versioned(df: DataFrame, table: str) -> int:
     return version
 
 
-def append_audit_log(df: DataFrame, path: str) -> int:
-    """Append log rows in the declared layout; required columns must be filled.
+def _log_marker(path: str, run_id: str) -> str:
+    return f"{path}/_commits/run={run_id}"
+
+
+def append_audit_log(df: DataFrame, path: str, run_id: str) -> int:
+    """Write one run's log rows in the declared layout below ``event_day=<day>/run=<run>`` and commit them; returns rows added.
+
+    The input is evaluated once: a row without a required value fails the write, and a run counts only once its marker
+    is there. A retry replaces its own run's partitions and nothing else is read or written, however long the log is.
+    Empty input commits nothing.
+    """
+    if not RUN_ID.fullmatch(run_id):
+        raise ValueError(f"run id {run_id!r} cannot name a folder")
+    spark = df.sparkSession
+
+    def value(field) -> Column:
+        filled = F.col(field.name).cast(field.dataType) if field.name in df.columns else F.lit(None).cast(field.dataType)
+        if field.name not in AUDIT_LOG_REQUIRED:
+            return filled.alias(field.name)
+        refusal = F.raise_error(F.lit(f"an audit row lacks the required value {field.name}")).cast(field.dataType)
+        return F.coalesce(filled, refusal).alias(field.name)
+
+    before = committed_run(spark, path, run_id)
+    rows = df.select(*[value(f) for f in AUDIT_LOG.fields]).withColumns({"event_day": F.to_date("event_timestamp"), "run": F.lit(run_id)})
+    ready = cut_lineage(rows)
+    days = ready.groupBy("event_day").agg(F.count(F.lit(1)).alias("rows")).collect()
+    if not days and not before:
+        return 0
+    ready.hint("rebalance", "event_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_day", "run").parquet(path)
+    marker = spark.createDataFrame([(str(r["event_day"]), r["rows"]) for r in days], "event_day string, rows long")
+    marker.coalesce(1).write.mode("overwrite").json(_log_marker(path, run_id))
+    return sum(r["rows"] for r in days) - sum(before.values())
+
+
+def committed_run(spark: SparkSession, path: str, run_id: str) -> dict[str, int]:
+    """Rows per event day of a committed run, from its marker alone; empty where there is none."""
+    try:
+        return {r["event_day"]: r["rows"] for r in spark.read.schema("event_day string, rows long").json(_log_marker(path, run_id)).collect()}
+    except AnalysisException as error:
+        _unless_absent(error)
+        return {}
+
 
-    Rows whose id the log already holds are left out, so a repeated job appends nothing twice.
-    Empty input writes nothing.
+def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of committed runs, in the declared layout; the event day prunes partitions.
+
+    A run's rows count on the days its marker lists: what a run that died has left, or an earlier try on another day, does not.
     """
-    missing = F.lit(False)
-    for name in AUDIT_LOG_REQUIRED:
-        missing = missing | F.col(name).isNull()
-    bad = df.filter(missing).count()
-    if bad:
-        raise ValueError(f"{bad} audit rows lack a required value")
+    layout = T.StructType([*AUDIT_LOG.fields, T.StructField("event_day", T.DateType()), T.StructField("run", T.StringType())])
     try:
-        df = df.join(df.sparkSession.read.schema(AUDIT_LOG).parquet(path).select("audit_id"), "audit_id", "left_anti")
+        markers = spark.read.schema("event_day string, rows long, run string").json(f"{path}/_commits")
     except AnalysisException as error:
         _unless_absent(error)
-    total = df.count()
-    if not total:
-        return 0
-    columns = [
-        F.col(field.name).cast(field.dataType) if field.name in df.columns else F.lit(None).cast(field.dataType).alias(field.name)
-        for field in AUDIT_LOG.fields]
-    df.select(*columns).write.mode("append").parquet(path)
-    return total
+        return spark.createDataFrame([], AUDIT_LOG)
+    committed = markers.select(F.to_date("event_day").alias("event_day"), "run")
+    rows = spark.read.schema(layout).option("basePath", path).parquet(path).join(committed, ["event_day", "run"], "left_semi")
+    return rows.select(*[f.name for f in AUDIT_LOG.fields])
 
 
 def write_outbox(payloads: DataFrame, path: str, run_id: str, column: str = "payload") -> None:
