@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalogue.aggregates import ANCHORS, DROP_RATIOS, TRAILING, USER_DAYS, day_anchors, drop_ratios, trailing, user_days
 from tidemark.catalogue.base import ORDERS_AS_OF, query, r4, rounded, sql_round as r, table
 from tidemark.functions import count_where, distinct_list, fill_defaults, flag, half_up, lookup, sum_where
-from tidemark.operators.intervals import interval_day_counts, interval_days, state_intervals
+from tidemark.operators.intervals import facts_by_state, interval_day_counts, interval_days, state_intervals
 from tidemark.operators.joins import full_outer_daily, left_join_many, rate_lookup, scalar_lookup
 from tidemark.plans.attribution import bottom_anchors, primary_driver, top_drivers
 from tidemark.plans.scoring import INR_RATES
@@ -147,15 +147,17 @@ SELECT k AS o_custkey, state, count(*) AS days, CAST(sum(orders) AS BIGINT) AS o
 def snapshot(spark, sf):
     keys = ["o_custkey", "activity_date"]
     orders = table(spark, sf, "orders")
-    spine = interval_days(order_intervals(spark, sf), ORDERS_AS_OF)
+    intervals = order_intervals(spark, sf)
     placed = orders.groupBy("o_custkey", F.to_date("o_orderdate").alias("activity_date")).agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("value"))
     per_order = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("activity_date")).agg(F.count(F.lit(1)).alias("n"))
     shipped = per_order.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").groupBy(keys).agg(F.sum("n").alias("shipped"))
-    joined = spine.join(placed, keys, "left").join(shipped, keys, "left")
-    filled = fill_defaults(joined, {"orders": 0, "value": 0.0, "shipped": 0})
-    return filled.groupBy("o_custkey", "state").agg(
-        F.count(F.lit(1)).alias("days"), F.sum("orders").alias("orders"), half_up(F.sum("value"), 2).alias("value"),
-        F.sum("shipped").alias("shipped"), r4(F.avg("shipped")).alias("shipped_per_day"))
+    facts = placed.unionByName(shipped, allowMissingColumns=True)
+    in_state = facts_by_state(intervals, facts, "o_custkey", "activity_date", "state", ORDERS_AS_OF).groupBy("o_custkey", "state").agg(
+        F.sum("orders").alias("orders"), F.sum("value").alias("value"), F.sum("shipped").alias("shipped"))
+    days = interval_day_counts(intervals, ["o_custkey", "state"], ORDERS_AS_OF)
+    joined = fill_defaults(days.join(in_state, ["o_custkey", "state"], "left"), {"orders": 0, "value": 0.0, "shipped": 0})
+    return joined.select("o_custkey", "state", "days", "orders", half_up("value", 2).alias("value"), "shipped",
+                         r4(F.col("shipped") / F.col("days")).alias("shipped_per_day"))
 
 
 @query("j10_matrix", f"""

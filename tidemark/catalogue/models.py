@@ -340,6 +340,23 @@ batch AS (SELECT CAST(c_custkey AS VARCHAR) AS user_account_id, max(o_orderprior
   FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_acctbal < 5000 GROUP BY c_custkey)"""
 
 
+def held_predictions(spark, sf):
+    """Customers that the table holds; those left out are keys that the batch brings anew."""
+    key = F.col("c_custkey").cast("string").alias("user_account_id")
+    held = table(spark, sf, "customer").filter("c_acctbal > 1000").select(
+        key, F.col("c_mktsegment").alias("industry_type"), F.col("c_acctbal").alias("projected_ltv"),
+        F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("prediction_timestamp"), F.lit("APPROVED").alias("audit_action_status"))
+    return mutation.add_columns(held, [*PREDICTIONS.fields, *AUDIT_COLUMNS.fields])
+
+
+def prediction_batch(spark, sf):
+    """A batch that overlaps the held customers: some of its keys are known, some are not."""
+    best = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.max("o_orderpriority").alias("industry_type"), F.max("o_totalprice").alias("projected_ltv"))
+    key = F.col("c_custkey").cast("string").alias("user_account_id")
+    return table(spark, sf, "customer").filter("c_acctbal < 5000").join(best, "c_custkey", "left").select(key, "industry_type", "projected_ltv")
+
+
 @query("s8_upsert", f"""
 WITH {UPSERT_SQL}
 SELECT coalesce(b.user_account_id, n.user_account_id) AS user_account_id, CASE WHEN n.user_account_id IS NULL THEN b.industry_type ELSE n.industry_type END AS industry_type,
@@ -347,17 +364,8 @@ SELECT coalesce(b.user_account_id, n.user_account_id) AS user_account_id, CASE W
        coalesce(prediction_timestamp, TIMESTAMP '2024-02-01') AS prediction_timestamp, audit_action_status
 FROM base b FULL JOIN batch n ON b.user_account_id = n.user_account_id""")
 def upsert(spark, sf):
-    customers = table(spark, sf, "customer")
-    key = F.col("c_custkey").cast("string").alias("user_account_id")
-    held = customers.filter("c_acctbal > 1000").select(
-        key, F.col("c_mktsegment").alias("industry_type"), F.col("c_acctbal").alias("projected_ltv"),
-        F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("prediction_timestamp"), F.lit("APPROVED").alias("audit_action_status"))
-    base = mutation.add_columns(held, [*PREDICTIONS.fields, *AUDIT_COLUMNS.fields])
-    best = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.max("o_orderpriority").alias("industry_type"), F.max("o_totalprice").alias("projected_ltv"))
-    batch = customers.filter("c_acctbal < 5000").join(best, "c_custkey", "left").select(key, "industry_type", "projected_ltv")
     loaded_at = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
-    merged = mutation.upsert(base, batch, "user_account_id", ["industry_type", "projected_ltv"], loaded_at, "prediction_timestamp")
+    merged = mutation.upsert(held_predictions(spark, sf), prediction_batch(spark, sf), "user_account_id", ["industry_type", "projected_ltv"], loaded_at, "prediction_timestamp")
     return merged.select("user_account_id", "industry_type", "projected_ltv", "prediction_timestamp", "audit_action_status")
 
 

@@ -39,6 +39,20 @@ def interval_day_counts(intervals: DataFrame, keys: Sequence[str], as_of: dt.dat
     return intervals.filter(F.col("valid_from") <= last).groupBy(*keys).agg(F.sum(length).alias("days"))
 
 
+def facts_by_state(intervals: DataFrame, facts: DataFrame, entity: str, day: str, state: str, as_of: dt.date) -> DataFrame:
+    """Daily facts with the state that holds on their day: no day is exploded and no fact meets an interval in a join.
+
+    State starts and facts form one ordered stream per entity, in which a fact takes the last state that began on its
+    day or before. Intervals follow each other without a gap and facts hold a row or two per entity and day, so no entity
+    is hot. Facts before the first state or after ``as_of`` have none and go.
+    """
+    starts = intervals.filter(F.col("valid_from") <= F.least("valid_to", F.lit(as_of))).select(entity, F.col("valid_from").alias(day), F.col(state).alias(state))
+    stream = starts.unionByName(facts.withColumn("__fact", F.lit(True)), allowMissingColumns=True)
+    so_far = Window.partitionBy(entity).orderBy(day)     # rows of the same day see its new state
+    held = stream.withColumn(state, F.last(state, ignorenulls=True).over(so_far))
+    return held.filter(F.col("__fact") & F.col(state).isNotNull() & (F.col(day) <= F.lit(as_of))).drop("__fact")
+
+
 def date_spine(df: DataFrame, column: str, as_of: dt.date, name: str = "date_day") -> DataFrame:
     """Every day from the earliest value of a column to ``as_of``."""
     bounds = df.agg(F.min(F.to_date(column)).alias("first"))

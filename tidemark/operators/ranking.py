@@ -1,20 +1,27 @@
 """Orderings over whole tables without a one-task window: running totals, exact quantiles, row numbers.
 
 A window over one huge group sorts that group in one task, and ``percentile`` keeps every distinct value of a group in
-one task's memory. Here rows are range-partitioned by group and value; a piece is what one partition has of a group.
-Counts per piece give each its exact starting rank, and the exact work happens inside pieces. Their number follows the
-number of partitions, so it grows with the data; the same path serves every size.
+one task's memory. For totals and numbers, rows are range-partitioned by group and value; a piece is what one partition
+has of a group. Counts per piece give each its exact starting rank, and the exact work happens inside pieces. Their number
+follows the number of partitions, so it grows with the data. Quantiles bracket the wanted ranks by a sketch and order the
+values inside the brackets alone. One path serves every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
+#: Rank sketches: 1 / ACCURACY bounds their error as a share of the group; brackets reach SLACK to either side.
+ACCURACY = 10_000
+SLACK = 2.5 / ACCURACY
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join that also matches NULL keys; keeps the left key columns."""
@@ -68,31 +75,45 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (group, feature), columns ``q0, q1, ...``; NULL and NaN count for nothing.
 
-    Distinct values are counted, cut into pieces in order, and only the pieces that hold a wanted rank are looked into.
+    The first pass merges a rank sketch per group and feature. Its rank error is at most 1 / ``ACCURACY`` of the group, so
+    the sketched values ``SLACK`` to either side of a wanted rank bracket it. The second pass counts what lies between
+    brackets, per task, and moves only the values inside them: at most 2 x ``SLACK`` of the rows per quantile, plus ties,
+    which are counted before they move. A rank outside its bracket would fail the job; it cannot be answered wrongly.
+    Nothing is written and nothing runs before the caller's action.
     """
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
     keys = [*by, "__feature"]
     pairs = F.array(*[F.struct(F.lit(j).alias("__feature"), F.col(c).cast("double").alias("__value")) for j, c in enumerate(columns)])
-    counts = (df.select(*by, F.inline(pairs)).filter(F.col("__value").isNotNull() & ~F.isnan("__value"))
-              .groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__n")))
-    pieces = _in_pieces(counts, *keys, "__value")
-
-    sizes = pieces.groupBy(*keys, "__piece").agg(F.sum("__n").alias("__size"))
-    # per group and feature one row per partition
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumns({"__before": F.coalesce(F.sum("__size").over(before), F.lit(0)), "__total": F.sum("__size").over(group)})
+    long = df.select(*by, F.inline(pairs)).filter(F.col("__value").isNotNull() & ~F.isnan("__value"))
+
+    order = sorted(range(len(probs)), key=probs.__getitem__)
+    marks = [max(0.0, probs[i] - SLACK) for i in order] + [min(1.0, probs[i] + SLACK) for i in order]
+    sketch = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"), F.percentile_approx("__value", marks, ACCURACY).alias("__marks"))
+    # in a group of few rows one rank is more than the slack: its brackets are open
+    few = F.col("__total") * SLACK < 10
+    open_low, open_high = F.lit(float("-inf")), F.lit(float("inf"))
+    lows = [F.when(few | F.lit(probs[i] <= SLACK), open_low).otherwise(F.col("__marks")[k]).alias(f"__low{k}") for k, i in enumerate(order)]
+    highs = [F.when(few | F.lit(probs[i] >= 1 - SLACK), open_high).otherwise(F.col("__marks")[len(probs) + k]).alias(f"__high{k}") for k, i in enumerate(order)]
+    brackets = sketch.select(*keys, "__total", *lows, *highs)
+    # without groups there is one row per column; with groups the join is planned by their number
+    joined = join_null_safe(long, brackets if by else F.broadcast(brackets), keys)
+    value = F.col("__value")
+    inside = reduce(or_, [(value >= F.col(f"__low{k}")) & (value <= F.col(f"__high{k}")) for k in range(len(probs))])
+    passed = reduce(add, [(value > F.col(f"__high{k}")).cast("int") for k in range(len(probs))])
+    # values between the same two brackets are one row; its greatest value keeps it in its place
+    counts = joined.select(*keys, "__total", "__value", inside.alias("__inside"), passed.alias("__passed")).groupBy(
+        *keys, "__total", F.when(F.col("__inside"), value).alias("__exact"), F.when(~F.col("__inside"), F.col("__passed")).alias("__gap")).agg(
+        F.count(F.lit(1)).alias("__n"), F.max("__value").alias("__place"))
+    inside_group = Window.partitionBy(*keys).orderBy("__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = counts.withColumn("__upto", F.sum("__n").over(inside_group))
+
     position = lambda p: (F.col("__total") - 1) * F.lit(p)
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(position(p)).alias("low"), F.ceil(position(p)).alias("high"),
                                (position(p) - F.floor(position(p))).alias("weight")) for i, p in enumerate(probs)])
-    here = lambda rank: (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__size"))
-    wanted = (offsets.withColumn("__ranks", F.filter(ranks, lambda r: here(r["low"]) | here(r["high"])))
-              .filter(F.size("__ranks") > 0).select(*keys, "__piece", "__before", "__ranks"))
-
-    inside = Window.partitionBy(*keys, "__piece").orderBy("__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = join_null_safe(pieces, wanted, [*keys, "__piece"]).withColumn("__upto", F.col("__before") + F.sum("__n").over(inside))
     hit = lambda rank: (rank >= F.col("__upto") - F.col("__n")) & (rank < F.col("__upto"))
-    picked = held.select(*keys, "__value", "__n", "__upto", F.explode(F.filter("__ranks", lambda r: hit(r["low"]) | hit(r["high"]))).alias("r"))
+    found = F.coalesce("__exact", F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double"))
+    picked = held.withColumn("__ranks", F.filter(ranks, lambda r: hit(r["low"]) | hit(r["high"]))).filter(F.size("__ranks") > 0)
+    picked = picked.select(*keys, found.alias("__value"), "__n", "__upto", F.explode("__ranks").alias("r"))
     answers = picked.groupBy(*keys, F.col("r.i").alias("__i")).agg(
         F.max(F.when(hit(F.col("r.low")), F.col("__value"))).alias("__low"),
         F.max(F.when(hit(F.col("r.high")), F.col("__value"))).alias("__high"), F.max("r.weight").alias("__weight"))
