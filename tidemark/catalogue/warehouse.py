@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.base import query, r4, sql_round as r
 from tidemark.catalogue.standin import AS_OF, RAW_SQL, raw_tables
+from tidemark.plans import incremental
 from tidemark.plans import warehouse as wh
 
 
@@ -248,3 +251,13 @@ def feature_matrix(spark, sf) -> DataFrame:
 @query("a14_churn_feature_matrix", f"{MATRIX_ALL}\nSELECT * FROM matrix")
 def churn_feature_matrix(spark, sf):
     return round_doubles(feature_matrix(spark, sf))
+
+
+@query("a13_incremental_matrix", f"{MATRIX_ALL}\nSELECT * FROM matrix")
+def incremental_matrix(spark, sf):
+    """The same matrix from mergeable states: all days but the last fifteen, then these."""
+    built = wh.build_all(raw_tables(spark, sf), AS_OF)
+    days = incremental.user_days(*[built[name] for name in incremental.DAILY_TABLES])
+    cut = F.lit(AS_OF - dt.timedelta(days=15))
+    state = incremental.merge(incremental.state_of(days.filter(F.col(wh.DAY) <= cut)), incremental.state_of(days.filter(F.col(wh.DAY) > cut)))
+    return round_doubles(wh.assemble_matrix(built["dim_users"], incremental.measures(state)))

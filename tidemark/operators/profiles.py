@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.moments import pairwise_correlations
 from tidemark.operators.quality import _long
 from tidemark.operators.ranking import exact_quantiles, quantile_values, unpivot_numeric
 
@@ -18,21 +19,9 @@ def upper_percentiles(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     return exact_quantiles(df, columns, probs, by)
 
 
-def pearson(a: str, b: str) -> Column:
-    """Correlation over rows that have both values; NULL for a constant column, where the built-in
-    aggregate fails with a division by zero."""
-    x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), spread)
-
-
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair in one aggregation pass, long form."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one_row = df.agg(*[pearson(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{k}").alias("corr"))
-                     for k, (a, b) in enumerate(pairs)])
-    return one_row.select(F.inline(rows))
+    """Pearson correlation of every pair in one pass, long form; missing values count for nothing in their own pairs."""
+    return pairwise_correlations(df, columns)
 
 
 def variation(df: DataFrame, columns: Sequence[str]) -> DataFrame:

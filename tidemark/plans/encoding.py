@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import fits_broadcast
-from tidemark.operators.profiles import correlations, pearson
+from tidemark.operators.profiles import correlations
 from tidemark.operators.quality import safe_name
 from tidemark.operators.ranking import numbered
 from tidemark.session import cut_lineage
@@ -63,34 +61,11 @@ def one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
     return (df.withColumns(columns) if columns else df).drop(*levels)
 
 
-def _gram_correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float]:
-    """Correlations of columns without NULL from one Gram-matrix pass."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(df.select(*[F.col(f"`{c}`") for c in columns]))
-    matrix = Correlation.corr(vectors, "__v").first()[0].toArray()
-    return {(a, b): float(matrix[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns)}
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float]:
-    """Pairwise-complete correlations as a small driver-side table.
-
-    Columns without NULL share one pass. A column with NULLs takes one more pass over the rows that
-    have it, and pairs of such columns one aggregation.
-    """
-    columns = list(columns)
-    row = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    gaps = [c for i, c in enumerate(columns) if row[f"n{i}"]]
-    filled = [c for c in columns if c not in gaps]
-    found = _gram_correlations(df, filled) if len(filled) > 1 else {}
-    for gap in gaps:
-        present = df.filter(F.col(f"`{gap}`").isNotNull())
-        if filled and present.limit(2).count() == 2:
-            part = _gram_correlations(present, [*filled, gap])
-            found.update({pair: value for pair, value in part.items() if gap in pair})
-    pairs = [(a, b) for i, a in enumerate(gaps) for b in gaps[i + 1:]]
-    if pairs:
-        row = df.agg(*[pearson(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).first()
-        for k, (a, b) in enumerate(pairs):
-            found[a, b] = found[b, a] = float("nan") if row[f"c{k}"] is None else row[f"c{k}"]
+    """Pairwise-complete correlations as a driver-side table of columns x columns numbers, from one pass over the rows."""
+    found = {}
+    for row in correlations(df, columns).collect():
+        found[row["feature_a"], row["feature_b"]] = found[row["feature_b"], row["feature_a"]] = float("nan") if row["corr"] is None else row["corr"]
     return found
 
 
