@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalogue.base import query, r4, rounded, sql_round as r, table
 from tidemark.functions import count_where, distinct_list, flag, guarded_ratio, half_up, seconds_between, sum_where
 from tidemark.operators import profiles, quality, survival
+from tidemark.operators.neighbours import NEIGHBOURS, neighbour_information
 from tidemark.operators.ranking import exact_quantiles
 from tidemark.plans.dispatch import joined_lines
 
@@ -354,6 +355,27 @@ def binned_mi_top(spark, sf):
     return rounded(profiles.strongest(found), "information")
 
 
+def information_sql(source: str, features: list[str], label: str, k: int = NEIGHBOURS) -> str:
+    """A plain SQL twin that compares all pairs of rows; CTE ``information`` holds feature and information."""
+    psi = lambda x: (f"(ln({x} + 6.0) - 0.5 / ({x} + 6.0) - (1 / 12.0 - (1 / 120.0 - (1 / 252.0 - 1 / (240.0 * power({x} + 6.0, 2))) / power({x} + 6.0, 2)) / power({x} + 6.0, 2)) / power({x} + 6.0, 2)"
+                     + "".join(f" - 1.0 / ({x} + {i})" for i in range(6)) + ")")
+    wide = " UNION ALL ".join(f"SELECT '{f}' AS feature, row_number() OVER () AS id, {label} AS y, CAST({f} AS DOUBLE) AS v FROM {source} WHERE {label} IS NOT NULL" for f in features)
+    return f"""
+kept AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS nx FROM ({wide}) QUALIFY nx > 1),
+near AS (SELECT a.feature, a.id, any_value(a.v) AS v, any_value(a.nx) AS nx, list_sort(list(abs(a.v - b.v)))[CAST(least({k}, any_value(a.nx) - 1) AS BIGINT)] AS r
+  FROM kept a JOIN kept b ON a.feature = b.feature AND a.y = b.y AND a.id <> b.id GROUP BY a.feature, a.id),
+inner_rows AS (SELECT n.feature, n.id, any_value(n.nx) AS nx, count(*) AS m
+  FROM near n JOIN kept b ON n.feature = b.feature AND (CASE WHEN r = 0 THEN b.v = n.v ELSE b.v > n.v - r AND b.v < n.v + r END) GROUP BY n.feature, n.id),
+information AS (SELECT feature, greatest(0.0, {psi('count(*)')} + avg({psi(f'least({k}, nx - 1)')}) - avg({psi('nx')}) - avg({psi('m')})) AS information FROM inner_rows GROUP BY feature)"""
+
+
+@query("a33_neighbour_information", f"""
+WITH {LABELLED}, {information_sql('labelled', ['n_chars', 'toxic', 'trouble'], 'bad')}
+SELECT feature, {r('information', 6)} AS information FROM information""")
+def neighbour_mutual_information(spark, sf):
+    return rounded(neighbour_information(labelled(spark, sf), ["n_chars", "toxic", "trouble"], "bad"), "information", places=6)
+
+
 @query("a35_joined_ids", """
 SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS position, CAST(c_custkey AS VARCHAR) AS id,
        CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE '' END AS note FROM customer""")
