@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-FITTED = {"m10_train_predict", "m15_platt", "m16_personas", "m17_attribution", "m23_prediction_frame"}
+FITTED = {"m10_train_predict", "m23_frame_rules", "m16_personas", "m17_attribution", "m23_prediction_frame"}
 
 
 def plan_of(df):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.aggregates import LABELLED, USER_DAYS, labelled, user_days
@@ -201,9 +203,9 @@ WITH {SCORED} SELECT count(*) AS rows, CAST(sum(bad) AS BIGINT) AS positives, CA
 def platt(spark, sf):
     rows = cut_lineage(scored(spark, sf))
     slope, offset = training.fit_sigmoid(rows, "score", "bad")
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("p"))
-    target = F.when(F.col("bad") == 1, (F.col("p") + 1) / (F.col("p") + 2)).otherwise(1 / (F.col("n") - F.col("p") + 2))
-    gaps = rows.join(F.broadcast(totals)).withColumn("gap", training.sigmoid("score", slope, offset) - target)
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("p")).first()
+    target = F.when(F.col("bad") == 1, F.lit((totals.p + 1) / (totals.p + 2))).otherwise(F.lit(1 / (totals.n - totals.p + 2)))
+    gaps = rows.withColumn("gap", training.sigmoid("score", slope, offset) - target)
     return gaps.agg(F.count(F.lit(1)).alias("rows"), F.sum("bad").cast("long").alias("positives"),
                     half_up(F.abs(F.sum("gap") / F.count(F.lit(1))), 4).alias("residual"),
                     half_up(F.abs(F.sum(F.col("gap") * F.col("score")) / F.count(F.lit(1))), 4).alias("moment"))
@@ -216,26 +218,48 @@ def training_rows(spark, sf):
     return cut_lineage(labelled(spark, sf).select("doc_id", "lang", "source", "n_chars", "toxic", "bad"))
 
 
-# Every model scores each row of every fold once; folds are dealt class by class.
+# Every model scores each row of every fold once; folds are dealt class by class. The metrics of each model and fold follow
+# from its scores by the plain definitions: precision summed over steps of recall, and the mean squared error.
 @query("m10_train_predict", f"""
 WITH {LABELLED}, sizes AS (SELECT bad, count(*) AS n FROM labelled GROUP BY bad), folds AS (SELECT unnest(range(5)) AS fold),
-models AS (SELECT unnest(['elastic_net', 'boosted_trees', 'random_forest']) AS model)
-SELECT model, CAST(fold AS INTEGER) AS fold, CAST(sum(n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END) AS BIGINT) AS rows, TRUE AS in_range FROM models, folds, sizes GROUP BY model, fold""")
+models AS (SELECT unnest(['elastic_net', 'boosted_trees', 'random_forest']) AS model), dealt AS (SELECT fold, bad, n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS n FROM folds, sizes)
+SELECT model, CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n) FILTER (WHERE bad = 1) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS documents, TRUE AS in_range,
+       TRUE AS average_precision_follows, TRUE AS brier_score_follows FROM models, dealt GROUP BY model, fold""")
 def train_predict(spark, sf):
-    results = training.cross_validate(training_rows(spark, sf), 5, "bad", "doc_id", engineered=False)
-    return results.select("model", "fold", "rows", (F.col("average_precision").between(0, 1) & F.col("brier_score").between(0, 1)).alias("in_range"))
-
-
-# Members and sums over all clusters are those of all rows; every cluster has members.
+    scores: list = []
+    results = training.cross_validate(training_rows(spark, sf), 5, "bad", "doc_id", engineered=False, scores=scores)
+    held = scores[0]
+    for more in scores[1:]:
+        held = held.unionByName(more)
+    steps = held.groupBy("model", "fold", "score").agg(F.sum("y").alias("hits"), F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy("model", "fold").orderBy(F.desc("score"))
+    upto = steps.withColumns({"true": F.sum("hits").over(down), "all": F.sum("n").over(down), "positives": F.sum("hits").over(Window.partitionBy("model", "fold"))})
+    precision = upto.groupBy("model", "fold").agg(F.sum(F.col("hits") / F.col("positives") * F.col("true") / F.col("all")).alias("plain"), F.max("positives").cast("long").alias("positives"))
+    errors = held.groupBy("model", "fold").agg(F.avg(F.pow(F.col("score") - F.col("y"), 2)).alias("error"), F.countDistinct("doc_id").alias("documents"))
+    joined = results.join(precision, ["model", "fold"]).join(errors, ["model", "fold"])
+    return joined.select("model", "fold", "rows", "positives", "documents", (F.col("average_precision").between(0, 1) & F.col("brier_score").between(0, 1)).alias("in_range"),
+                         (F.abs(F.col("average_precision") - F.col("plain")) < 1e-9).alias("average_precision_follows"),
+                         (F.abs(F.col("brier_score") - F.col("error")) < 1e-9).alias("brier_score_follows"))
+
+
+# Every user lies nearest to the centre of its own cluster, and each centre is the mean of its members.
 @query("m16_personas", f"""
 WITH {MOMENTUM_SQL}
-SELECT CAST(3 AS BIGINT) AS clusters, count(*) AS members, {r('sum(usual)', 2)} AS minutes, {r('sum(clicks)', 2)} AS clicks, {r('sum(refreshes)', 2)} AS refreshes FROM mom""")
+SELECT user_id, CAST(3 AS INTEGER) AS clusters, {r('usual', 2)} AS minutes, CAST(clicks AS BIGINT) AS clicks, CAST(refreshes AS BIGINT) AS refreshes,
+       TRUE AS nearest_centre, TRUE AS centre_is_mean FROM mom""")
 def personas(spark, sf):
     columns = ["avg_daily_active_minutes", "total_clickstream_events", "frequent_refresh_clicks"]
-    means = profiles.group_means(training.personas(momentum_view(spark, sf), columns), "persona_cluster", columns)
-    total = lambda c: half_up(F.sum(F.col("members") * F.col(f"mean_{c}")), 2)
-    return means.agg(F.count(F.lit(1)).alias("clusters"), F.sum("members").alias("members"), total(columns[0]).alias("minutes"),
-                     total(columns[1]).alias("clicks"), total(columns[2]).alias("refreshes"))
+    view = cut_lineage(momentum_view(spark, sf))
+    model = training.fit_personas(view, columns)
+    centres = [[float(v) for v in c] for c in model.stages[-1].clusterCenters()]
+    placed = model.transform(view).withColumns({f"x{i}": vector_to_array("__scaled")[i] for i in range(len(columns))})
+    far = F.array(*[sum(F.pow(F.col(f"x{i}") - F.lit(v), 2) for i, v in enumerate(c)) for c in centres])
+    means = profiles.group_means(placed, "persona_cluster", [f"x{i}" for i in range(len(columns))])      # one row per cluster
+    own = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("persona_cluster") + 1)
+    gap = sum(F.abs(F.col(f"mean_x{i}") - own[i]) for i in range(len(columns)))
+    return placed.join(means, "persona_cluster").select(
+        "user_id", F.lit(len(centres)).alias("clusters"), half_up(columns[0], 2).alias("minutes"), F.col(columns[1]).alias("clicks"), F.col(columns[2]).alias("refreshes"),
+        (F.element_at(far, F.col("persona_cluster") + 1) <= F.array_min(far) + 1e-9).alias("nearest_centre"), (gap < 1e-6).alias("centre_is_mean"))
 
 
 # For every row the contributions and the expected margin add up to the margin, and the driver is the largest of them.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidemark.catalogue.base import query, rounded, sql_round as r
+from tidemark.catalogue.models import PREDICTION_KEEP
 from tidemark.catalogue.warehouse import MATRIX_ALL, feature_matrix, round_doubles
 from tidemark.operators import profiles
 from tidemark.operators.quality import strip_token
-from tidemark.plans import features, report, warehouse
+from tidemark.plans import features, report, scoring, training, warehouse
 from tidemark.session import cut_lineage
 
 LABEL = report.LABEL
@@ -61,3 +64,27 @@ FROM risk WINDOW w AS (PARTITION BY cohort ORDER BY t)""")
 def invoice_survival(spark, sf):
     curve = report.cohort_survival(matrix_rows(spark, sf), "total_failed_invoices")
     return rounded(curve, "survival").drop("lower", "upper")
+
+
+# The published columns come from the matrix; the value columns follow from the published probability within its rounding.
+@query("m23_frame_rules", MATRIX + """
+SELECT CAST(user_account_id AS VARCHAR) AS user_account_id, country, industry_type, registration_plan_code, CAST(customer_tenure_days AS INTEGER) AS customer_tenure_days,
+       CAST(is_churned AS INTEGER) AS is_churned_historical, currency, TRUE AS probability_in_range, TRUE AS arpu_follows, TRUE AS ltv_follows, TRUE AS tier_follows FROM m""")
+def frame_rules(spark, sf):
+    """The scoring frame of the picked winner, with each derived column held against its rule."""
+    matrix = cut_lineage(strip_token(feature_matrix(spark, sf)))
+    bundle = training.train_bundle(matrix, blueprints=training.model_blueprints(max_iter=5, depth=3), folds=2)
+    scored = training.score(matrix, bundle, PREDICTION_KEEP)
+    frame = scoring.prediction_frame(scored, keep=["total_revenue_contributed"])
+    p, ltv = F.col("calibrated_churn_probability"), F.col("projected_ltv")
+    arpu = F.col("total_revenue_contributed") / F.greatest("customer_tenure_days", F.lit(1)) * 30
+    cent, rounding = 0.005 + 1e-6, 0.00005 + 1e-9
+    gain = arpu * scoring.GROSS_MARGIN
+    least, most = gain / (p + rounding + scoring.EPSILON) - cent, gain / (F.greatest(p - rounding, F.lit(0.0)) + scoring.EPSILON) + cent
+    limit = F.coalesce(*[F.when(F.col("currency") == c, F.lit(float(v))) for c, v in scoring.VIP_LTV_NATIVE.items()], F.lit(scoring.VIP_LTV_DEFAULT))
+    tier = F.when(p < scoring.RISK_LIMIT, scoring.STABLE).when(ltv > limit, scoring.VIP).otherwise(scoring.EMAIL)
+    on_edge = (F.abs(p - scoring.RISK_LIMIT) <= rounding) | (F.abs(ltv - limit) <= cent)
+    return frame.select(
+        "user_account_id", "country", "industry_type", "registration_plan_code", "customer_tenure_days", "is_churned_historical", "currency",
+        p.between(0, 1).alias("probability_in_range"), (F.abs(F.col("monthly_arpu") - arpu) <= cent).alias("arpu_follows"),
+        ltv.between(least, most).alias("ltv_follows"), ((F.col("allocated_operational_tier") == tier) | on_edge).alias("tier_follows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ def risk_band(probability: str) -> Column:
     return F.when(value < 0.30, "LOW").when(value < 0.70, "MEDIUM").when(value.isNotNull(), "HIGH")
 
 
-def prediction_frame(scored: DataFrame, probability: str = "probability", driver: str = "primary_driver") -> DataFrame:
-    """The 12 columns of the prediction table from a scored feature matrix."""
+def prediction_frame(scored: DataFrame, probability: str = "probability", driver: str = "primary_driver", keep: Sequence[str] = ()) -> DataFrame:
+    """The 12 columns of the prediction table from a scored feature matrix, and those of its columns named in ``keep``."""
     arpu = monthly_arpu(F.col("total_revenue_contributed").cast("double"), "customer_tenure_days")
     valued = scored.withColumn("__arpu", arpu)
     valued = valued.withColumn("__ltv", lifetime_value(F.col("__arpu"), probability))
@@ -69,7 +71,7 @@ def prediction_frame(scored: DataFrame, probability: str = "probability", driver
         half_even(probability, 4).alias("calibrated_churn_probability"), half_even("__arpu", 2).alias("monthly_arpu"),
         half_even("__ltv", 2).alias("projected_ltv"), "currency",
         native_currency_tier(probability, "__ltv", "currency").alias("allocated_operational_tier"),
-        F.col(driver).alias("primary_frustration_driver_vector"))
+        F.col(driver).alias("primary_frustration_driver_vector"), *keep)
 
 
 def value_matrix(df: DataFrame, probability: str, revenue: str, tenure_days: str, currency: str) -> DataFrame:

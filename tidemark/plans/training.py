@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,23 +111,32 @@ def _positive(column: str):
     return vector_to_array(F.col(column))[1]
 
 
-def cross_validate(df: DataFrame, folds: int = 5, label: str = LABEL, key: str = ID, engineered: bool = True,
-                   blueprints: Mapping[str, Callable] | None = None) -> DataFrame:
-    """Average precision and Brier score per model and fold; features are fitted inside each fold."""
+def fold_scores(df: DataFrame, folds: int = 5, label: str = LABEL, key: str = ID, engineered: bool = True,
+                blueprints: Mapping[str, Callable] | None = None) -> Iterator[tuple[str, int, DataFrame]]:
+    """Model, fold and the held-out scores (``key``, score, y) of each; features are fitted inside each fold."""
     blueprints = blueprints or model_blueprints()
     dealt = cut_lineage(encoding.stratified_parts(df, label, key, folds, name="fold"))
-    results = []
     for fold in range(folds):
         train, held = dealt.filter(F.col("fold") != fold).drop("fold"), dealt.filter(F.col("fold") == fold).drop("fold")
         recipe, table = fit_recipe(train, label, key, engineered)
         stage = _assembler(recipe.order)
         fit_rows = cut_lineage(stage.transform(_weighted(apply_recipe(train, recipe, table, (label,)), f"keep_{label}")))
-        test_rows = stage.transform(apply_recipe(held, recipe, table, (label,)))
+        test_rows = stage.transform(apply_recipe(held, recipe, table, (label, key)))
         for name, blueprint in blueprints.items():
             model = blueprint().fit(fit_rows)
-            scored = cut_lineage(model.transform(test_rows).select(_positive("probability").alias("score"), F.col(f"keep_{label}").alias("y")))
-            row = evaluation.curve_summary(scored, "score", "y").first()
-            results.append((name, fold, scored.count(), row["average_precision"], row["brier_score"]))
+            yield name, fold, cut_lineage(model.transform(test_rows).select(
+                F.col(f"keep_{key}").alias(key), _positive("probability").alias("score"), F.col(f"keep_{label}").alias("y")))
+
+
+def cross_validate(df: DataFrame, folds: int = 5, label: str = LABEL, key: str = ID, engineered: bool = True,
+                   blueprints: Mapping[str, Callable] | None = None, scores: list[DataFrame] | None = None) -> DataFrame:
+    """Average precision and Brier score per model and fold; ``scores``, if given, receives the held-out scores of each."""
+    results = []
+    for name, fold, scored in fold_scores(df, folds, label, key, engineered, blueprints):
+        row = evaluation.curve_summary(scored, "score", "y").first()
+        results.append((name, fold, scored.count(), row["average_precision"], row["brier_score"]))
+        if scores is not None:
+            scores.append(scored.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), key, "score", "y"))
     return df.sparkSession.createDataFrame(results, "model string, fold int, rows long, average_precision double, brier_score double")
 
 
@@ -248,13 +257,19 @@ def score(df: DataFrame, bundle: Bundle, keep: tuple[str, ...], explain: bool =
     return explained.select(*columns, "margin", probability, "contributions", driver)
 
 
-def personas(df: DataFrame, columns: list[str] | None = None, clusters: int = 3, seed: int = 42) -> DataFrame:
-    """Add ``persona_cluster``: k-means on standardised columns, missing values as 0."""
+def fit_personas(df: DataFrame, columns: list[str] | None = None, clusters: int = 3, seed: int = 42) -> PipelineModel:
+    """K-means on standardised columns, missing values as 0, run until no centre moves."""
     columns = columns or features.PERSONA_COLUMNS
     inputs = [f"__in_{c}" for c in columns]
-    filled = df.withColumns({i: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in zip(inputs, columns)})
+    zeros = SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(CAST(`{c}` AS DOUBLE), 0.0) AS `{i}`" for c, i in zip(columns, inputs)) + " FROM __THIS__")
     pipeline = Pipeline(stages=[
-        VectorAssembler(inputCols=inputs, outputCol="__raw"),
+        zeros, VectorAssembler(inputCols=inputs, outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
-        KMeans(featuresCol="__scaled", predictionCol="persona_cluster", k=clusters, seed=seed)])
-    return pipeline.fit(filled).transform(filled).drop("__raw", "__scaled", *inputs)
+        KMeans(featuresCol="__scaled", predictionCol="persona_cluster", k=clusters, seed=seed, maxIter=200, tol=1e-9)])
+    return pipeline.fit(df)
+
+
+def personas(df: DataFrame, columns: list[str] | None = None, clusters: int = 3, seed: int = 42) -> DataFrame:
+    """Add ``persona_cluster``."""
+    found = fit_personas(df, columns, clusters, seed).transform(df)
+    return found.drop(*[c for c in found.columns if c.startswith("__in_")], "__raw", "__scaled")
