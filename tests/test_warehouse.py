@@ -146,3 +146,23 @@ def test_many_subscriptions_do_not_multiply_rows(spark):
     assert got == {d: sum(a <= d <= a + dt.timedelta(n) for _, _, a, n in spans) for d in days}
     plan = wh.user_timeline(wh.span_changes(df), facts)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("ENSURE_REQUIREMENTS") == 2    # the changes by user and day, the stream by user
+
+
+def test_layers_in_equal_buckets_join_without_an_exchange(spark, raw, built):
+    tables = wh.write_bucketed_warehouse(raw, AS_OF, "tidemark_layers", 4)
+    try:
+        kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            snapshot = wh.fct_daily_user_snapshot(*[tables[name] for name in wh.BUCKETED[1:]])
+            matrix = wh.churn_feature_matrix(tables["fct_daily_user_snapshot"], tables["dim_users"])
+            for df in (snapshot, matrix):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan and "Exchange" not in plan
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        rows = lambda df: sorted([[round(v, 9) if isinstance(v, float) else v for v in r] for r in df.collect()], key=str)
+        for name in ("fct_daily_user_snapshot", "churn_feature_matrix"):
+            assert rows(tables[name].select(*built[name].columns)) == rows(built[name])
+    finally:
+        spark.sql("DROP DATABASE tidemark_layers CASCADE")

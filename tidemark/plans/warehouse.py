@@ -19,7 +19,7 @@ from tidemark.functions import (
 from tidemark.operators.intervals import interval_days, state_intervals
 from tidemark.operators.joins import full_outer_daily, left_join_many, scalar_lookup
 from tidemark.sources.readers import read_layer
-from tidemark.sources.sinks import write_layer
+from tidemark.sources.sinks import create_database, create_table_as, write_layer
 
 USER, DAY, SUBSCRIPTION = "user_account_id", "activity_date", "subscription_id"
 
@@ -394,15 +394,16 @@ SNAPSHOT_BILLING = {
 def fct_daily_user_snapshot(spine: DataFrame, activity: DataFrame, support: DataFrame, billing: DataFrame) -> DataFrame:
     """Every subscription-day with what happened on it; quiet days hold zeros."""
     columns = {**SNAPSHOT_ACTIVITY, **SNAPSHOT_SUPPORT, **SNAPSHOT_BILLING}
+    # Bills that carry their user can meet a spine that lies by user where it is.
+    billing_keys = [c for c in (USER, SUBSCRIPTION, DAY) if c in billing.columns]
     # Billing joins first: the spine comes partitioned by subscription, and its rows are still narrow
     # when they move to their users.
-    by_user = activity.select(USER, DAY, *[f for f, _ in SNAPSHOT_ACTIVITY.values()]).join(
-        support.select(USER, DAY, *[f for f, _ in SNAPSHOT_SUPPORT.values()]), [USER, DAY], "full")
     joined = (spine.select(DAY, USER, SUBSCRIPTION, F.col("subscription_status").alias("historical_subscription_status"),
                            F.col("subscription_plan_code").alias("historical_subscription_plan_code"),
                            F.col("billing_cycle").alias("historical_billing_cycle"))
-              .join(billing.select(SUBSCRIPTION, DAY, *[f for f, _ in SNAPSHOT_BILLING.values()]), [SUBSCRIPTION, DAY], "left")
-              .join(by_user, [USER, DAY], "left"))
+              .join(billing.select(*billing_keys, *[f for f, _ in SNAPSHOT_BILLING.values()]), billing_keys, "left")
+              .join(activity.select(USER, DAY, *[f for f, _ in SNAPSHOT_ACTIVITY.values()]), [USER, DAY], "left")
+              .join(support.select(USER, DAY, *[f for f, _ in SNAPSHOT_SUPPORT.values()]), [USER, DAY], "left"))
     filled = fill_defaults(joined, {fact: default for fact, default in columns.values()})
     return filled.select(DAY, USER, SUBSCRIPTION, "historical_subscription_status", "historical_subscription_plan_code",
                          "historical_billing_cycle", *[F.col(fact).alias(name) for name, (fact, _) in columns.items()])
@@ -687,3 +688,28 @@ def write_warehouse(raw: Mapping[str, DataFrame], as_of: dt.date, root: str, sto
     matrix = assemble_matrix(written["dim_users"], behaviour_from_facts(intervals, *[facts[name] for name in inner[2:]], as_of))
     write_layer({"churn_feature_matrix": matrix}, f"{root}/analytics")
     return {**facts, **written, **read_layer(spark, f"{root}/analytics", ["churn_feature_matrix"])}
+
+
+BUCKETED = ("dim_users", "subscription_lifecycle_daily", "user_activity_daily", "customer_support_daily", "billing_and_revenue_daily")
+
+
+def write_bucketed_warehouse(raw: Mapping[str, DataFrame], as_of: dt.date, database: str, buckets: int = 256) -> dict[str, DataFrame]:
+    """The layers as catalog tables in equal buckets by user, so that no later layer moves a row to join or roll up.
+
+    Each table is shuffled once, when it is written. Bills get their user then; the snapshot and the matrix are bucket by
+    bucket joins and aggregations of what lies there. A bucket holds whole users, whose rows the calendar bounds.
+    """
+    spark = next(iter(raw.values())).sparkSession
+    create_database(spark, database)
+    lazy = build_all(raw, as_of)
+    owners = raw["subscription_accounts"].select(SUBSCRIPTION, USER)
+    lazy["billing_and_revenue_daily"] = lazy["billing_and_revenue_daily"].join(owners, SUBSCRIPTION)
+    for name in BUCKETED:
+        create_table_as(lazy[name], f"{database}.{name}", bucket_by=(buckets, [USER]))
+    tables = {name: spark.table(f"{database}.{name}") for name in BUCKETED}
+    snapshot = fct_daily_user_snapshot(*[tables[name] for name in BUCKETED[1:]])
+    create_table_as(snapshot, f"{database}.fct_daily_user_snapshot", bucket_by=(buckets, [USER]))
+    tables["fct_daily_user_snapshot"] = spark.table(f"{database}.fct_daily_user_snapshot")
+    matrix = churn_feature_matrix(tables["fct_daily_user_snapshot"], tables["dim_users"])
+    create_table_as(matrix, f"{database}.churn_feature_matrix", bucket_by=(buckets, [USER]))
+    return {**tables, "churn_feature_matrix": spark.table(f"{database}.churn_feature_matrix")}
