@@ -18,7 +18,7 @@ def test_csv_round_trip_and_bad_fields(spark, tmp_path):
     back = readers.read_csv(spark, f"{folder}/user_master_profiles.csv", df.schema)
     assert sorted(tuple(r) for r in back.collect()) == [(1, "a", 1.5), (2, None, None)]
     (tmp_path / "bad.csv").write_text("a,b\n1,x\nnope,y\n")
-    rows = readers.read_csv(spark, f"{folder}/bad.csv", schemas.layout_schema("a:L b:S"), keep_corrupt=True).collect()
+    rows = readers.read_csv(spark, f"{folder}/bad.csv", schemas.layout_schema("a bigint, b string"), keep_corrupt=True).collect()
     assert [(r["a"], r["b"], r[readers.CORRUPT]) for r in rows] == [(1, "x", None), (None, "y", "nope,y")]
 
 

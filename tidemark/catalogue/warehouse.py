@@ -13,6 +13,51 @@ from tidemark.plans import incremental
 from tidemark.plans import warehouse as wh
 
 
+# The columns that the twins give, stated apart from the tables' own lists.
+PROFILE_COLUMNS = [
+    "user_account_id", "external_user_uuid", "user_name", "email", "phone_number", "country", "locale_code", "timezone",
+    "company_name", "job_title", "industry_type", "employee_count_range", "annual_revenue_range", "email_verification_flag",
+    "account_status", "registration_source", "marketing_opt_in_flag", "profile_theme", "onboarding_completed_flag",
+    "subscription_id", "subscription_plan_code", "subscription_status", "billing_cycle", "auto_renew_flag", "user_tier",
+    "currency", "total_assigned_experiments", "pdf_generation_variant", "advance_search_elastic_variant", "total_logins",
+    "successful_logins", "failed_logins", "avg_authentication_risk_score", "total_auth_sessions", "avg_auth_session_duration_sec",
+    "device_count", "device_models", "network_carrier", "total_tickets", "open_tickets", "closed_tickets", "total_feedbacks",
+    "avg_rating", "account_creation_date", "account_update_date", "last_successful_login_at", "trial_start_date",
+    "trial_end_date", "subscription_start_date", "subscription_end_date", "cancellation_request_date", "cancellation_reason_code",
+    "cancellation_comment", "account_deletion_date", "account_deletion_flag",
+]
+DIM_COLUMNS = [
+    "user_account_id", "external_user_uuid", "country", "locale_code", "timezone", "company_name", "job_title", "industry_type",
+    "employee_count_range", "annual_revenue_range", "account_status", "registration_source", "profile_theme",
+    "email_verification_flag", "marketing_opt_in_flag", "onboarding_completed_flag", "subscription_id", "user_tier", "currency",
+    "subscription_plan_code", "subscription_status", "billing_cycle", "auto_renew_flag", "pdf_generation_variant",
+    "advance_search_elastic_variant", "avg_authentication_risk_score", "device_models", "network_carrier", "avg_rating",
+    "account_creation_date", "account_update_date", "last_successful_login_at", "trial_start_date", "trial_end_date",
+    "subscription_start_date", "subscription_end_date", "cancellation_request_date", "cancellation_reason_code",
+    "cancellation_comment", "account_deletion_date", "account_deletion_flag",
+]
+MATRIX_COLUMNS = [
+    "user_account_id", "country", "industry_type", "employee_count_range", "annual_revenue_range", "registration_source",
+    "registration_plan_code", "registration_billing_cycle", "pdf_generation_variant", "advance_search_elastic_variant",
+    "network_carrier", "avg_authentication_risk_score", "avg_rating", "email_verification_flag", "marketing_opt_in_flag",
+    "onboarding_completed_flag", "customer_tenure_days", "lifetime_total_active_days_observed", "lifetime_total_login_attempts",
+    "lifetime_total_successful_logins", "lifetime_total_failed_logins", "lifetime_total_manual_logouts",
+    "lifetime_avg_daily_active_minutes", "lifetime_total_clickstream_events", "lifetime_apply_filter_clicks",
+    "lifetime_export_clicks", "lifetime_frequent_refresh_clicks", "lifetime_subscription_settings_clicks",
+    "lifetime_submit_form_clicks", "lifetime_update_payment_method_clicks", "lifetime_total_reports_run",
+    "lifetime_total_projects_saved", "lifetime_home_screen_views", "lifetime_billing_screen_views",
+    "lifetime_report_screen_views", "lifetime_workspace_screen_views", "lifetime_total_support_tickets",
+    "lifetime_high_priority_tickets", "lifetime_agent_replies_recieved", "lifetime_total_ticket_escalations",
+    "lifetime_total_invoices_generated", "lifetime_total_failed_invoices", "lifetime_total_revenue_contributed", "currency",
+    "lifetime_avg_latency_ms", "lifetime_avg_api_wait_time_ms", "lifetime_avg_cumulative_layout_shift",
+    "lifetime_avg_dom_load_time_ms", "lifetime_avg_first_contentful_paint_ms", "lifetime_largest_contentful_paint_ms",
+    "lifetime_avg_render_time", "lifetime_avg_time_to_interactive_ms", "trailing_7d_avg_active_minutes",
+    "trailing_7d_total_logins", "trailing_7d_total_clicks", "trailing_7d_support_tickets", "trailing_7d_active_open_tickets",
+    "trailing_30d_failed_payments_count", "trailing_30d_failed_logins_count", "trailing_30d_avg_latency_ms",
+    "active_minutes_drop_ratio_7d", "login_frequency_drop_ratio_7d", "is_churned",
+]
+
+
 def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
     doubles = [name for name, kind in df.dtypes if kind == "double"]
     return df.withColumns({name: r4(name) for name in doubles})
@@ -97,7 +142,7 @@ PROFILE_CTES = ",\n".join([
     f"plan AS (SELECT user_account_id, {_projection(PLAN_SQL)} FROM subscription_accounts)",
     "money AS (SELECT user_account_id, currency_code AS currency FROM user_master_profiles)",
     f"account AS (SELECT user_account_id, {_projection(ACCOUNT_SQL)} FROM app_user_accounts)",
-    "profiles AS (SELECT " + ", ".join(_profile_column(c) for c in wh.PROFILE_COLUMNS) + " FROM account "
+    "profiles AS (SELECT " + ", ".join(_profile_column(c) for c in PROFILE_COLUMNS) + " FROM account "
     + " ".join(f"LEFT JOIN {alias} USING (user_account_id)" for alias in ("person", "plan", "money", *BY_USER)) + ")",
 ])
 
@@ -161,7 +206,7 @@ paid AS (SELECT i.subscription_id, p.initiated_at::DATE AS activity_date, coales
   {_listed('failure_code')} AS payment_failure_codes_today FROM payment_transactions p JOIN billing_invoices i ON i.invoice_id = p.invoice_id GROUP BY i.subscription_id, p.initiated_at::DATE),
 billing AS (SELECT subscription_id, activity_date, {', '.join(f'coalesce({n}, {d!r}) AS {n}' for n, d in wh.BILLING_DEFAULTS.items())} FROM billed FULL JOIN paid USING (subscription_id, activity_date))"""
 
-_DIM = [*wh.DIM_FIRST, *[c for c in wh.PROFILE_COLUMNS if c not in wh.DIM_LEFT_OUT and c not in wh.DIM_FIRST]]
+_DIM = DIM_COLUMNS
 DIM_CTE = "dim AS (SELECT " + ", ".join({"subscription_id": "coalesce(subscription_id, 0) AS subscription_id", "auto_renew_flag": "coalesce(auto_renew_flag, -1) AS auto_renew_flag"}.get(c, c) for c in _DIM) + " FROM profiles)"
 _FACTS = {**wh.SNAPSHOT_ACTIVITY, **wh.SNAPSHOT_SUPPORT, **wh.SNAPSHOT_BILLING}
 SNAPSHOT_CTE = f"""snap AS (SELECT activity_date, user_account_id, subscription_id, subscription_status AS historical_subscription_status,
@@ -197,7 +242,7 @@ def _matrix_column(name: str) -> str:
 MATRIX_CTES = f"""
 ends AS (SELECT user_account_id, max(activity_date) AS last_day, CAST(max((historical_subscription_status = 'CANCELLED')::INTEGER) AS INTEGER) AS is_churned FROM snap GROUP BY user_account_id),
 behaviour AS (SELECT user_account_id, {_projection(_BEHAVIOUR)} FROM snap JOIN ends USING (user_account_id) GROUP BY user_account_id),
-matrix AS (SELECT {', '.join(_matrix_column(c) for c in wh.MATRIX_COLUMNS)} FROM dim JOIN ends USING (user_account_id) JOIN behaviour USING (user_account_id))"""
+matrix AS (SELECT {', '.join(_matrix_column(c) for c in MATRIX_COLUMNS)} FROM dim JOIN ends USING (user_account_id) JOIN behaviour USING (user_account_id))"""
 MATRIX_ALL = ",\n".join([SNAPSHOT_ALL, PROFILE_CTES, DIM_CTE, MATRIX_CTES])
 
 

@@ -142,17 +142,18 @@ def plan_attributes(subscriptions: DataFrame) -> DataFrame:
 
 
 # The profile's columns in order.
-PROFILE_COLUMNS = """
-user_account_id external_user_uuid user_name email phone_number country locale_code timezone company_name job_title
-industry_type employee_count_range annual_revenue_range email_verification_flag account_status registration_source
-marketing_opt_in_flag profile_theme onboarding_completed_flag subscription_id subscription_plan_code subscription_status
-billing_cycle auto_renew_flag user_tier currency total_assigned_experiments pdf_generation_variant
-advance_search_elastic_variant total_logins successful_logins failed_logins avg_authentication_risk_score
-total_auth_sessions avg_auth_session_duration_sec device_count device_models network_carrier total_tickets open_tickets
-closed_tickets total_feedbacks avg_rating account_creation_date account_update_date last_successful_login_at
-trial_start_date trial_end_date subscription_start_date subscription_end_date cancellation_request_date
-cancellation_reason_code cancellation_comment account_deletion_date account_deletion_flag
-""".split()
+PROFILE_COLUMNS = [
+    "user_account_id", "external_user_uuid", "user_name", "email", "phone_number", "country", "locale_code", "timezone",
+    "company_name", "job_title", "industry_type", "employee_count_range", "annual_revenue_range", "email_verification_flag",
+    "account_status", "registration_source", "marketing_opt_in_flag", "profile_theme", "onboarding_completed_flag",
+    "subscription_id", "subscription_plan_code", "subscription_status", "billing_cycle", "auto_renew_flag", "user_tier",
+    "currency", "total_assigned_experiments", "pdf_generation_variant", "advance_search_elastic_variant", "total_logins",
+    "successful_logins", "failed_logins", "avg_authentication_risk_score", "total_auth_sessions", "avg_auth_session_duration_sec",
+    "device_count", "device_models", "network_carrier", "total_tickets", "open_tickets", "closed_tickets", "total_feedbacks",
+    "avg_rating", "account_creation_date", "account_update_date", "last_successful_login_at", "trial_start_date",
+    "trial_end_date", "subscription_start_date", "subscription_end_date", "cancellation_request_date", "cancellation_reason_code",
+    "cancellation_comment", "account_deletion_date", "account_deletion_flag",
+]
 PROFILE_DEFAULTS = {
     "subscription_plan_code": "UNSUBSCRIBED", "subscription_status": "UNSUBSCRIBED", "billing_cycle": "NA",
     "network_carrier": "Unknown", "total_tickets": 0, "open_tickets": 0, "closed_tickets": 0, "total_feedbacks": 0,
@@ -344,21 +345,21 @@ def billing_and_revenue_daily(raw: Mapping[str, DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- mart
 
-DIM_LEFT_OUT = {
-    "user_name", "email", "phone_number", "total_assigned_experiments", "total_logins", "successful_logins",
-    "failed_logins", "total_auth_sessions", "avg_auth_session_duration_sec", "device_count", "total_tickets",
-    "open_tickets", "closed_tickets", "total_feedbacks",
-}
-DIM_FIRST = """
-user_account_id external_user_uuid country locale_code timezone company_name job_title industry_type employee_count_range
-annual_revenue_range account_status registration_source profile_theme email_verification_flag marketing_opt_in_flag
-onboarding_completed_flag subscription_id user_tier currency
-""".split()
+# The dimension's columns in order.
+DIM_COLUMNS = [
+    "user_account_id", "external_user_uuid", "country", "locale_code", "timezone", "company_name", "job_title", "industry_type",
+    "employee_count_range", "annual_revenue_range", "account_status", "registration_source", "profile_theme",
+    "email_verification_flag", "marketing_opt_in_flag", "onboarding_completed_flag", "subscription_id", "user_tier", "currency",
+    "subscription_plan_code", "subscription_status", "billing_cycle", "auto_renew_flag", "pdf_generation_variant",
+    "advance_search_elastic_variant", "avg_authentication_risk_score", "device_models", "network_carrier", "avg_rating",
+    "account_creation_date", "account_update_date", "last_successful_login_at", "trial_start_date", "trial_end_date",
+    "subscription_start_date", "subscription_end_date", "cancellation_request_date", "cancellation_reason_code",
+    "cancellation_comment", "account_deletion_date", "account_deletion_flag",
+]
 
 
 def dim_users(profiles: DataFrame) -> DataFrame:
-    rest = [c for c in PROFILE_COLUMNS if c not in DIM_LEFT_OUT and c not in DIM_FIRST]
-    return fill_defaults(profiles.select(*DIM_FIRST, *rest), {SUBSCRIPTION: 0, "auto_renew_flag": -1})
+    return fill_defaults(profiles.select(*DIM_COLUMNS), {SUBSCRIPTION: 0, "auto_renew_flag": -1})
 
 
 # Snapshot column: (fact column, default). Fixed values.
@@ -481,11 +482,25 @@ MATRIX_ATTRIBUTES = {
     "email_verification_flag": "email_verification_flag", "marketing_opt_in_flag": "marketing_opt_in_flag",
     "onboarding_completed_flag": "onboarding_completed_flag",
 }
+# The matrix's columns in order.
 MATRIX_COLUMNS = [
-    USER, *MATRIX_ATTRIBUTES, "customer_tenure_days", "lifetime_total_active_days_observed",
-    *list(LIFETIME_SUMS)[:4], "lifetime_avg_daily_active_minutes", *list(LIFETIME_SUMS)[4:], "currency",
-    *list(LIFETIME_MEANS)[:5], "lifetime_largest_contentful_paint_ms", *list(LIFETIME_MEANS)[5:],
-    "trailing_7d_avg_active_minutes", *TRAILING_SUMS, "trailing_30d_avg_latency_ms",
+    "user_account_id", "country", "industry_type", "employee_count_range", "annual_revenue_range", "registration_source",
+    "registration_plan_code", "registration_billing_cycle", "pdf_generation_variant", "advance_search_elastic_variant",
+    "network_carrier", "avg_authentication_risk_score", "avg_rating", "email_verification_flag", "marketing_opt_in_flag",
+    "onboarding_completed_flag", "customer_tenure_days", "lifetime_total_active_days_observed", "lifetime_total_login_attempts",
+    "lifetime_total_successful_logins", "lifetime_total_failed_logins", "lifetime_total_manual_logouts",
+    "lifetime_avg_daily_active_minutes", "lifetime_total_clickstream_events", "lifetime_apply_filter_clicks",
+    "lifetime_export_clicks", "lifetime_frequent_refresh_clicks", "lifetime_subscription_settings_clicks",
+    "lifetime_submit_form_clicks", "lifetime_update_payment_method_clicks", "lifetime_total_reports_run",
+    "lifetime_total_projects_saved", "lifetime_home_screen_views", "lifetime_billing_screen_views",
+    "lifetime_report_screen_views", "lifetime_workspace_screen_views", "lifetime_total_support_tickets",
+    "lifetime_high_priority_tickets", "lifetime_agent_replies_recieved", "lifetime_total_ticket_escalations",
+    "lifetime_total_invoices_generated", "lifetime_total_failed_invoices", "lifetime_total_revenue_contributed", "currency",
+    "lifetime_avg_latency_ms", "lifetime_avg_api_wait_time_ms", "lifetime_avg_cumulative_layout_shift",
+    "lifetime_avg_dom_load_time_ms", "lifetime_avg_first_contentful_paint_ms", "lifetime_largest_contentful_paint_ms",
+    "lifetime_avg_render_time", "lifetime_avg_time_to_interactive_ms", "trailing_7d_avg_active_minutes",
+    "trailing_7d_total_logins", "trailing_7d_total_clicks", "trailing_7d_support_tickets", "trailing_7d_active_open_tickets",
+    "trailing_30d_failed_payments_count", "trailing_30d_failed_logins_count", "trailing_30d_avg_latency_ms",
     "active_minutes_drop_ratio_7d", "login_frequency_drop_ratio_7d", "is_churned",
 ]
 

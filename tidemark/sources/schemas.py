@@ -1,51 +1,112 @@
-"""Column layouts of the raw, prediction and audit tables.
-
-Each layout is one line of ``name:type`` pairs; the short types are spelled out in ``TYPES``.
-"""
+"""Column layouts of the raw, prediction and audit tables: column names with their Spark types."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
 TYPES = {
-    "L": T.LongType(), "I": T.IntegerType(), "D": T.DoubleType(), "S": T.StringType(),
-    "B": T.BooleanType(), "T": T.TimestampNTZType(),
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
+    "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(),
 }
 
 # Raw tables in file order.
 RAW_LAYOUTS = {
-    "app_user_accounts": "user_account_id:L external_user_uuid:S email_address:S email_normalized:S email_verified_at:T password_hash:S password_algorithm:S account_status_enum:S registration_source:S locale_code:S timezone_name:S marketing_opt_in_flag:B gdpr_consent_version:S last_successful_login_at:T created_at:T updated_at:T deleted_at:T row_version_id:I is_deleted:B",
-    "app_user_profiles": "profile_id:L user_account_id:L first_name:S last_name:S display_name:S company_name:S job_title:S industry_code:S employee_count_range:S annual_revenue_range:S phone_number:S country_code:S profile_attributes_json:S created_at:T updated_at:T",
-    "user_master_profiles": "user_account_id:L country_code:S city:S region:S currency_code:S tax_rate:D activity_tier:S registration_source:S carrier_provider:S account_end_at:T",
-    "user_device_profiles": "user_account_id:L device_rank:I device_id:S platform_type:S operating_system:S device_model:S browser_name:S browser_version:S user_agent_string:S country_code:S geo_city:S",
-    "subscription_accounts": "subscription_id:L user_account_id:L external_billing_customer_id:S subscription_plan_code:S subscription_status:S billing_cycle:S trial_started_at:T trial_ends_at:T subscription_started_at:T subscription_ended_at:T auto_renew_enabled:B cancellation_requested_at:T cancellation_reason_code:S cancellation_comment:S created_at:T updated_at:T",
-    "subscription_state_history": "subscription_state_id:L subscription_id:L previous_state:S new_state:S transition_trigger:S actor_user_id:L raw_transition_payload:S effective_at:T created_at:T",
-    "auth_login_events": "login_event_id:L user_account_id:L login_method:S authentication_result:S client_ip_address:S user_agent_string:S device_fingerprint_hash:S geo_country:S geo_city:S failure_reason_code:S risk_score_raw:D created_at:T",
-    "auth_session_tokens": "session_id:S user_account_id:L access_token_hash:S refresh_token_hash:S device_id:S client_ip_address:S user_agent_string:S session_started_at:T session_expires_at:T session_terminated_at:T termination_reason:S created_at:T",
-    "product_sessions": "product_session_id:S user_account_id:L anonymous_device_id:S platform_type:S app_version:S operating_system:S device_model:S browser_name:S browser_version:S session_started_at:T session_ended_at:T termination_reason:S created_at:T",
-    "frontend_performance_events": "performance_event_id:L product_session_id:S page_route:S first_contentful_paint_ms:I largest_contentful_paint_ms:I cumulative_layout_shift:D time_to_interactive_ms:I dom_load_time_ms:I api_wait_time_ms:I render_time_ms:I network_type:S captured_at:T",
-    "clickstream_events": "event_id:L product_session_id:S event_uuid:S event_name:S event_category:S page_screen_name:S ui_component_name:S interaction_type:S event_timestamp:T ingestion_timestamp:T event_sequence_number:I latency_ms:I client_ip_address:S geo_country:S geo_city:S sdk_version:S event_payload_json:S created_at:T",
-    "application_error_logs": "error_log_id:L service_name:S service_version:S environment_name:S trace_id:S span_id:S exception_class:S error_message:S stack_trace:S http_status_code:I endpoint_path:S raw_error_payload:S occurred_at:T",
-    "mobile_application_events": "mobile_event_id:L user_account_id:L application_event:S occurred_at:T device_id:S app_version:S os_version:S push_token:S event_payload:S",
-    "feature_flag_exposures": "exposure_id:L user_account_id:L feature_flag_key:S variant_key:S evaluation_reason:S rule_set_version:S exposure_context_json:S exposed_at:T",
-    "experiment_assignments": "assignment_id:L user_account_id:L experiment_key:S treatment_group:S assignment_hash:S allocation_algorithm:S assigned_at:T",
-    "notification_delivery_events": "notification_event_id:L user_account_id:L notification_channel:S template_id:S provider_name:S provider_message_id:S delivery_status:S provider_response:S created_at:T",
-    "support_tickets": "ticket_id:L user_account_id:L external_ticket_id:S ticket_status:S ticket_priority:S category_code:S subcategory_code:S subject:S description:S assigned_agent_id:I first_response_at:T resolved_at:T created_at:T",
-    "support_ticket_events": "ticket_event_id:L ticket_id:L event_type:S actor_type:S actor_id:I event_payload:S created_at:T",
-    "user_feedback_submissions": "feedback_id:L user_account_id:L feedback_type:S rating_value:I free_text_feedback:S source_screen:S session_id:S metadata_json:S submitted_at:T",
-    "billing_invoices": "invoice_id:L subscription_id:L external_invoice_id:S invoice_status:S currency_code:S subtotal_amount:D tax_amount:D discount_amount:D total_amount:D due_date:T paid_at:T created_at:T",
-    "payment_transactions": "payment_transaction_id:L invoice_id:L external_payment_id:S payment_provider:S payment_method_type:S transaction_status:S failure_code:S failure_message:S processor_response_code:S amount:D currency_code:S provider_response_payload:S initiated_at:T completed_at:T",
+    "app_user_accounts": (
+        "user_account_id bigint, external_user_uuid string, email_address string, email_normalized string, email_verified_at timestamp_ntz, "
+        "password_hash string, password_algorithm string, account_status_enum string, registration_source string, locale_code string, "
+        "timezone_name string, marketing_opt_in_flag boolean, gdpr_consent_version string, last_successful_login_at timestamp_ntz, "
+        "created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz, row_version_id int, is_deleted boolean"),
+    "app_user_profiles": (
+        "profile_id bigint, user_account_id bigint, first_name string, last_name string, display_name string, company_name string, "
+        "job_title string, industry_code string, employee_count_range string, annual_revenue_range string, phone_number string, "
+        "country_code string, profile_attributes_json string, created_at timestamp_ntz, updated_at timestamp_ntz"),
+    "user_master_profiles": (
+        "user_account_id bigint, country_code string, city string, region string, currency_code string, tax_rate double, activity_tier "
+        "string, registration_source string, carrier_provider string, account_end_at timestamp_ntz"),
+    "user_device_profiles": (
+        "user_account_id bigint, device_rank int, device_id string, platform_type string, operating_system string, device_model string, "
+        "browser_name string, browser_version string, user_agent_string string, country_code string, geo_city string"),
+    "subscription_accounts": (
+        "subscription_id bigint, user_account_id bigint, external_billing_customer_id string, subscription_plan_code string, "
+        "subscription_status string, billing_cycle string, trial_started_at timestamp_ntz, trial_ends_at timestamp_ntz, "
+        "subscription_started_at timestamp_ntz, subscription_ended_at timestamp_ntz, auto_renew_enabled boolean, cancellation_requested_at "
+        "timestamp_ntz, cancellation_reason_code string, cancellation_comment string, created_at timestamp_ntz, updated_at timestamp_ntz"),
+    "subscription_state_history": (
+        "subscription_state_id bigint, subscription_id bigint, previous_state string, new_state string, transition_trigger string, "
+        "actor_user_id bigint, raw_transition_payload string, effective_at timestamp_ntz, created_at timestamp_ntz"),
+    "auth_login_events": (
+        "login_event_id bigint, user_account_id bigint, login_method string, authentication_result string, client_ip_address string, "
+        "user_agent_string string, device_fingerprint_hash string, geo_country string, geo_city string, failure_reason_code string, "
+        "risk_score_raw double, created_at timestamp_ntz"),
+    "auth_session_tokens": (
+        "session_id string, user_account_id bigint, access_token_hash string, refresh_token_hash string, device_id string, "
+        "client_ip_address string, user_agent_string string, session_started_at timestamp_ntz, session_expires_at timestamp_ntz, "
+        "session_terminated_at timestamp_ntz, termination_reason string, created_at timestamp_ntz"),
+    "product_sessions": (
+        "product_session_id string, user_account_id bigint, anonymous_device_id string, platform_type string, app_version string, "
+        "operating_system string, device_model string, browser_name string, browser_version string, session_started_at timestamp_ntz, "
+        "session_ended_at timestamp_ntz, termination_reason string, created_at timestamp_ntz"),
+    "frontend_performance_events": (
+        "performance_event_id bigint, product_session_id string, page_route string, first_contentful_paint_ms int, "
+        "largest_contentful_paint_ms int, cumulative_layout_shift double, time_to_interactive_ms int, dom_load_time_ms int, "
+        "api_wait_time_ms int, render_time_ms int, network_type string, captured_at timestamp_ntz"),
+    "clickstream_events": (
+        "event_id bigint, product_session_id string, event_uuid string, event_name string, event_category string, page_screen_name string, "
+        "ui_component_name string, interaction_type string, event_timestamp timestamp_ntz, ingestion_timestamp timestamp_ntz, "
+        "event_sequence_number int, latency_ms int, client_ip_address string, geo_country string, geo_city string, sdk_version string, "
+        "event_payload_json string, created_at timestamp_ntz"),
+    "application_error_logs": (
+        "error_log_id bigint, service_name string, service_version string, environment_name string, trace_id string, span_id string, "
+        "exception_class string, error_message string, stack_trace string, http_status_code int, endpoint_path string, raw_error_payload "
+        "string, occurred_at timestamp_ntz"),
+    "mobile_application_events": (
+        "mobile_event_id bigint, user_account_id bigint, application_event string, occurred_at timestamp_ntz, device_id string, app_version "
+        "string, os_version string, push_token string, event_payload string"),
+    "feature_flag_exposures": (
+        "exposure_id bigint, user_account_id bigint, feature_flag_key string, variant_key string, evaluation_reason string, "
+        "rule_set_version string, exposure_context_json string, exposed_at timestamp_ntz"),
+    "experiment_assignments": (
+        "assignment_id bigint, user_account_id bigint, experiment_key string, treatment_group string, assignment_hash string, "
+        "allocation_algorithm string, assigned_at timestamp_ntz"),
+    "notification_delivery_events": (
+        "notification_event_id bigint, user_account_id bigint, notification_channel string, template_id string, provider_name string, "
+        "provider_message_id string, delivery_status string, provider_response string, created_at timestamp_ntz"),
+    "support_tickets": (
+        "ticket_id bigint, user_account_id bigint, external_ticket_id string, ticket_status string, ticket_priority string, category_code "
+        "string, subcategory_code string, subject string, description string, assigned_agent_id int, first_response_at timestamp_ntz, "
+        "resolved_at timestamp_ntz, created_at timestamp_ntz"),
+    "support_ticket_events": (
+        "ticket_event_id bigint, ticket_id bigint, event_type string, actor_type string, actor_id int, event_payload string, created_at "
+        "timestamp_ntz"),
+    "user_feedback_submissions": (
+        "feedback_id bigint, user_account_id bigint, feedback_type string, rating_value int, free_text_feedback string, source_screen "
+        "string, session_id string, metadata_json string, submitted_at timestamp_ntz"),
+    "billing_invoices": (
+        "invoice_id bigint, subscription_id bigint, external_invoice_id string, invoice_status string, currency_code string, "
+        "subtotal_amount double, tax_amount double, discount_amount double, total_amount double, due_date timestamp_ntz, paid_at "
+        "timestamp_ntz, created_at timestamp_ntz"),
+    "payment_transactions": (
+        "payment_transaction_id bigint, invoice_id bigint, external_payment_id string, payment_provider string, payment_method_type string, "
+        "transaction_status string, failure_code string, failure_message string, processor_response_code string, amount double, "
+        "currency_code string, provider_response_payload string, initiated_at timestamp_ntz, completed_at timestamp_ntz"),
 }
 
 # Declared tables.
-PREDICTION_LAYOUT = "user_account_id:S country:S industry_type:S registration_plan_code:S customer_tenure_days:I is_churned_historical:I calibrated_churn_probability:D monthly_arpu:D projected_ltv:D currency:S allocated_operational_tier:S primary_frustration_driver_vector:S prediction_timestamp:T"
-AUDIT_COLUMNS_LAYOUT = "audit_action_status:S audit_notes:S audit_override_by:S audit_override_at:T"
-AUDIT_LOG_LAYOUT = "audit_id:S user_account_id:S allocated_operational_tier:S action_status:S action_taken:S action_notes:S triggered_by:S request_id:S automation_target:S automation_response:S status:S event_timestamp:T created_at:T"
+PREDICTION_LAYOUT = (
+    "user_account_id string, country string, industry_type string, registration_plan_code string, customer_tenure_days int, "
+    "is_churned_historical int, calibrated_churn_probability double, monthly_arpu double, projected_ltv double, currency string, "
+    "allocated_operational_tier string, primary_frustration_driver_vector string, prediction_timestamp timestamp_ntz")
+AUDIT_COLUMNS_LAYOUT = (
+    "audit_action_status string, audit_notes string, audit_override_by string, audit_override_at timestamp_ntz")
+AUDIT_LOG_LAYOUT = (
+    "audit_id string, user_account_id string, allocated_operational_tier string, action_status string, action_taken string, "
+    "action_notes string, triggered_by string, request_id string, automation_target string, automation_response string, status string, "
+    "event_timestamp timestamp_ntz, created_at timestamp_ntz")
 AUDIT_LOG_REQUIRED = ("audit_id", "user_account_id", "action_taken", "status", "event_timestamp")
 
 
 def layout_schema(layout: str) -> T.StructType:
-    fields = [pair.split(":") for pair in layout.split()]
+    fields = [pair.split(" ") for pair in layout.split(", ")]
     return T.StructType([T.StructField(name, TYPES[kind], True) for name, kind in fields])
 
 
