@@ -29,7 +29,7 @@ def test_scans_read_only_used_columns(spark, name, absent):
     assert schemas and all(absent not in schema for schema in schemas)
 
 
-@pytest.mark.parametrize("name, column", [("f11_filters_combo", "c_acctbal"), ("s9_update_counts", "c_acctbal"), ("f1_flags_and_defaults", "o_totalprice")])
+@pytest.mark.parametrize("name, column", [("f11_filters_combo", "c_acctbal"), ("s9_update_counts", "c_acctbal"), ("s8_upsert", "c_acctbal")])
 def test_filters_reach_the_scan(spark, name, column):
     plan = plan_of(entry.queries()[name](spark, FOLDER))
     assert any(column in pushed for pushed in re.findall(r"PushedFilters: \[([^\]]*)", plan))

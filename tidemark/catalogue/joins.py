@@ -43,10 +43,10 @@ def star_left_join(spark, sf):
 
 
 @query("j1_left_join_many", """
-SELECT c_custkey, c_mktsegment, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) ON c_custkey = o_custkey""")
+SELECT c_custkey, c_mktsegment, o_orderkey, o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey""")
 def many_orders(spark, sf):
-    large = table(spark, sf, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
-    return left_join_many(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), large, ["c_custkey"])
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    return left_join_many(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), orders, ["c_custkey"])
 
 
 @query("j2_fanout_inner", f"""
@@ -179,11 +179,10 @@ def matrix(spark, sf):
 
 
 @query("j11_scalar_lookup", """
-SELECT l_orderkey, l_partkey, (SELECT p_name FROM part WHERE p_partkey = l_partkey AND p_size > 10) AS part_name,
-       (SELECT p_brand FROM part WHERE p_partkey = l_partkey AND p_size > 10) AS brand FROM lineitem""")
+SELECT l_orderkey, l_partkey, (SELECT p_name FROM part WHERE p_partkey = l_partkey) AS part_name,
+       (SELECT p_brand FROM part WHERE p_partkey = l_partkey) AS brand FROM lineitem""")
 def lookup_part(spark, sf):
-    parts = table(spark, sf, "part").filter("p_size > 10")
-    return scalar_lookup(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), parts, "l_partkey", "p_partkey",
+    return scalar_lookup(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf, "part"), "l_partkey", "p_partkey",
                          {"part_name": "p_name", "brand": "p_brand"})
 
 

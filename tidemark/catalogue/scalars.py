@@ -99,14 +99,14 @@ def event_component(spark, sf):
 
 
 @query("f1_flags_and_defaults", """
-WITH o AS (SELECT o_custkey, count(*) AS n, max(o_orderpriority) AS p FROM orders WHERE o_totalprice > 400000 GROUP BY o_custkey)
+WITH o AS (SELECT o_custkey, count(*) AS n, max(o_orderpriority) AS p FROM orders GROUP BY o_custkey)
 SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS positive, CASE WHEN p IS NOT NULL THEN 1 ELSE 0 END AS has_orders,
        coalesce(n, 0) AS orders, coalesce(p, 'NONE') AS priority, coalesce(p, c_mktsegment, 'Unknown') AS label
 FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def flags_and_defaults(spark, sf):
-    large = table(spark, sf, "orders").filter("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    placed = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).alias("orders"), F.max("o_orderpriority").alias("priority"))
-    joined = table(spark, sf, "customer").join(large, "c_custkey", "left").select(
+    joined = table(spark, sf, "customer").join(placed, "c_custkey", "left").select(
         "c_custkey", flag(F.col("c_acctbal") > 0).alias("positive"), present_flag("priority").alias("has_orders"), "orders", "priority",
         F.coalesce("priority", "c_mktsegment", F.lit("Unknown")).alias("label"))
     return fill_defaults(joined, {"orders": 0, "priority": "NONE"})
