@@ -89,4 +89,4 @@ def test_odd_rows(spark):
 
 def test_registered():
     import __spark_entry__ as entry
-    assert entry.queries()["pipeline"] is cp.run and len([n for n in entry.queries() if n.startswith("op")]) == 10 and len(QUERIES) == 10
+    assert entry.queries()["pipeline"] is cp.run and len([n for n in entry.queries() if n.startswith("op")]) == 13 and len(QUERIES) == 13
