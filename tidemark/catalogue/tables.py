@@ -11,7 +11,7 @@ from tidemark.catalogue.base import query, table
 from tidemark.catalogue.models import APPROVED_SQL, AT, RUN, UPSERT_SQL, USER, held_predictions, prediction_batch, reviewed
 from tidemark.plans.dispatch import audit_rows
 from tidemark.session import shared_folder
-from tidemark.sources import keyed, readers, sinks
+from tidemark.sources import keyed, readers, signatures, sinks
 
 
 def folder(spark) -> str:
@@ -81,3 +81,14 @@ def layer_round_trip(spark, sf):
         part = df.select(F.lit(name).alias("name"), day.alias("activity_date"), "id", "label")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("f10_indexed_search", """
+SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE CAST(c_custkey AS VARCHAR) ILIKE '%123%' OR c_name ILIKE '%123%' OR c_mktsegment ILIKE '%123%'""")
+def indexed_search(spark, sf):
+    """The customers written in order of their key, their files' signatures, and a search that opens the files that can match."""
+    path = folder(spark)
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    customers.repartitionByRange(8, "c_custkey").write.parquet(f"{path}/customer")
+    signatures.write_signatures(spark, f"{path}/customer", f"{path}/customer_index")
+    return signatures.search_indexed(spark, f"{path}/customer", f"{path}/customer_index", "123")
