@@ -39,8 +39,8 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
 MAGIC = b"TWM1"
-KNOWN = 400_000
-SLICE_BYTES = 12_000_000
+KNOWN = 600_000
+SLICE_BYTES = 16_000_000
 #: How the tokenizer file cuts lower-cased texts into words, and what the last token of a word ends in (fixed values of the file).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}++|\p{N}|[^\s\p{L}\p{N}]++")
 WORD_END = "</w>"
