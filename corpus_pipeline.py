@@ -23,8 +23,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated chunks of lines; a document of which nothing but white space is left goes."""
-    cut = line_chunks.remove_repeated_chunks(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
+    cut = line_chunks.remove_repeated_chunks(docs, counts=("__all", "__removed"))
+    emptied = (F.col("__removed") > 0) & ~F.col("text").rlike(r"\S")
     return cut.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
