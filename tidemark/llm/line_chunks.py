@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.llm.common import written
 
 BASES = (31, 1_000_003, 69_069, 1_664_525)
 PRIME = 2_147_483_647
@@ -92,22 +92,25 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
                   F.xxhash64(F.slice("__lines", c["first"] + 1, c["last"] - c["first"] + 1)).alias("hash"), c["first"].alias("first"),
                   c["last"].alias("last"), c["until"].alias("until")))).alias("no", "chunk"))
               .select("__id", "__digest", "no", "chunk.*"))
-    sources = (places.groupBy("hash").agg(F.min(F.struct("__id", "__digest", "first")).alias("source"), F.count(F.lit(1)).alias("copies"))
+    sources = (places.groupBy("hash").agg(F.min(F.struct("__id", "__digest", "first", "last")).alias("source"), F.count(F.lit(1)).alias("copies"))
                .where("copies > 1").drop("copies"))
-    marked = (places.join(sources, "hash").withColumn("is_source", F.col("source") == F.struct("__id", "__digest", "first"))
-              .drop("source").repartition("__id", "__digest"))
-    # of the copies that cover a line, the one with the least number; every source may be asked for
-    of_line = Window.partitionBy("__id", "__digest", "is_source", "line")
-    needed = (marked.withColumn("line", F.explode(F.when(F.col("is_source"), F.array("first")).otherwise(F.sequence("first", "last"))))
-              .withColumn("least", F.min("no").over(of_line)).where("is_source OR no = least"))
-    marks = (needed.groupBy("__id", "__digest", "is_source", "no", "hash", "first", "last", "until").agg(F.lit(1).alias("one"))
-             .groupBy("__id", "__digest").agg(F.collect_list(F.struct("hash", "first", "last", "until", "is_source")).alias("__marks")))
+    copies = (places.join(sources, "hash")
+              .where(F.struct("__id", "__digest", "first") != F.struct("source.__id", "source.__digest", "source.first"))
+              .select("__id", "__digest", "no", "hash", "first", "last", "until", "source").repartition("__id", "__digest"))
+    # of the copies that cover a line, the one with the least number
+    of_line = Window.partitionBy("__id", "__digest", "line")
+    needed = written(copies.withColumn("line", F.explode(F.sequence("first", "last"))).withColumn("least", F.min("no").over(of_line)).where("no = least")
+                     .groupBy("__id", "__digest", "hash", "first", "last", "until", "source").agg(F.lit(False).alias("is_source")))
+    asked = needed.select("hash", "source.*").distinct().select("__id", "__digest", F.struct(
+        "hash", "first", "last", F.col("last").alias("until"), F.lit(True).alias("is_source")).alias("mark"))
+    marks = (needed.select("__id", "__digest", F.struct("hash", "first", "last", "until", "is_source").alias("mark")).unionByName(asked)
+             .groupBy("__id", "__digest").agg(F.collect_list("mark").alias("__marks")))
 
     # the texts of repeated chunks, compared with the source of their hash
     keyed = own.repartition("__id", "__digest")
     held = keyed.select("__id", "__digest", "__text").join(marks, ["__id", "__digest"]).withColumn("__lines", F.split("__text", "\n", -1))
     # written once: both sides of the comparison read these few texts instead of dealing out all texts twice
-    pieces = cut_lineage(held.select("__id", "__digest", F.explode(F.transform("__marks", lambda m: F.struct(
+    pieces = written(held.select("__id", "__digest", F.explode(F.transform("__marks", lambda m: F.struct(
         m["hash"].alias("hash"), m["first"].alias("first"), m["until"].alias("until"), m["is_source"].alias("is_source"),
         F.array_join(F.slice("__lines", m["first"] + 1, m["last"] - m["first"] + 1), "\n").alias("chunk")))).alias("p")).select("__id", "__digest", "p.*"))
     originals = pieces.where("is_source").select("hash", F.col("chunk").alias("original")).distinct()
