@@ -11,7 +11,8 @@ Nothing is skipped: copies of a run in later documents were settled in step 1, a
 window of its first document stands in an earlier one.
 Counts keep the least document id of each hash, so a frequent passage is combined before it is shuffled. Repeated
 windows are merged into maximal intervals, which meet the texts in a join by document; texts are compressed before such
-a join deals them out. Runs and windows are written once to the checkpoint folder, since several counts read them.
+a join deals them out. Runs, copies and windows are written once as Parquet below the checkpoint folder, since several
+counts read them; each reads only the columns it needs.
 
 Defined results: words are runs of characters other than ASCII white space; a null or empty text has none; ``kept`` is
 the words left, joined by one space. Rows of one id never remove each other; a row with a null id is neither source nor
@@ -28,8 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, WordHashes, flat, mixed, signed, sliding_min, slices
-from tidemark.session import cut_lineage
+from tidemark.llm.common import RollingHash, WordHashes, flat, mixed, signed, sliding_min, slices, written
 
 SPAN = 50
 ANCHOR = 16
@@ -154,20 +154,20 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """doc_id, n_words, n_removed, ``removed`` (maximal word intervals) and ``kept`` (the rest of the text)."""
     anchor = min(anchor, span)
     keyed = _keyed(docs, doc_id, text)
-    runs = cut_lineage(_runs(keyed, span, anchor))
+    runs = written(_runs(keyed, span, anchor))
     packed = _compressed(keyed)
     # equal runs have equal anchors, so a run's hash alone is its key
     firsts = runs.groupBy("run").agg(F.min(F.struct("doc_id", "row", "start", "n", "anchor")).alias("first")).select("run", "first.*")
     keys = firsts.select("run", "anchor", F.col("doc_id").alias("before"), F.col("row").alias("first_row"), F.col("start").alias("first_start"))
     # written once: both steps read these copies, the first those in later documents, the second those in the first one
-    copies = cut_lineage(runs.select("run", "doc_id", "row", "start", "n").join(keys, "run")
+    copies = written(runs.select("run", "doc_id", "row", "start", "n").join(keys, "run")
                          .where("before < doc_id OR row <> first_row OR start <> first_start")
                          .select("anchor", "doc_id", "row", "start", "n", F.expr("before < doc_id").alias("later")))
     repeated = copies.where("later").select("doc_id", "row", "start", "n")
 
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("anchor")
     unsettled = firsts.drop("run").unionByName(copies.where("NOT later").drop("later")).join(several, "anchor").drop("anchor")
-    windows = cut_lineage(_windows(packed.join(_intervals(unsettled), ["doc_id", "row"]).select("doc_id", "packed", "row", "runs"), span))
+    windows = written(_windows(packed.join(_intervals(unsettled), ["doc_id", "row"]).select("doc_id", "packed", "row", "runs"), span))
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("before"))
     alone = windows.join(least, "hash").where("before < doc_id").select("doc_id", "row", "start", F.lit(1).alias("n"))
 
