@@ -49,3 +49,13 @@ def test_empty_tables(spark):
     assert language.identify_language(empty, model).count() == 0
     one = spark.createDataFrame([(1, "abc", "en"), (1, "abc", "en"), (None, "abc", None)], empty.schema)
     assert [r.lang_pred for r in language.identify_language(one, model).collect()] == ["und"] * 3
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the words of a line", "en"), (2, "die Wörter einer Zeile", "de")], "doc_id long, text string, lang string")
+    model = language.fit_language_model(docs)
+    wide = docs.selectExpr("*", "7 AS score", "8 AS lang_pred", "9 AS __text")
+    found = language.identify_language(wide, model)
+    assert found.columns == ["doc_id", "text", "lang", "__text", "lang_pred", "score"]
+    assert {(r.lang_pred == r.lang, 0 < r.score <= 1, r["__text"]) for r in found.collect()} == {(True, True, 9)}
+    assert {(r.score, r.lang_pred, r.a == r.lang) for r in language.identify_language(wide, model, results=("a", "b")).collect()} == {(7, 8, True)}

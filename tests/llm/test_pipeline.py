@@ -79,7 +79,7 @@ def test_odd_rows(spark):
     rows = [(None, "eine Zeile\nund noch eine", None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "some words in a line", "en", "s", 5),
             (3, "some words in a line", "en", "s", 5), (4, "other words " * 3000, "en", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(
-        {c: F.lit(1) for c in ("hash", "row", "class", "key", "span", "label")})
+        {c: F.lit(1) for c in ("hash", "row", "class", "key", "span", "label", "score", "lang_pred", "n_lines", "n_removed", "__text")})
     for name, stage in cp.STAGES:
         for table in (docs, docs.limit(0)):
             out = stage(spark, table, FOLDER)

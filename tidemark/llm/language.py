@@ -113,18 +113,22 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)], np.where(has_letter, share, 0.0)
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) with ``lang_pred`` and ``score``; no shuffle."""
-    names = list(docs.columns if keep is None else keep)
+def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None,
+                      results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (all by default) with the two ``results``, which take the place of columns of those names; no shuffle."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    read = "__text"
+    while read in names:
+        read += "_"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "__text"):
+        for batch, texts in slices(batches, read):
             predicted, share = score_texts(shared.value, texts)
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(predicted, pa.string()), pa.array(share)],
-                                             names=[*batch.schema.names[:len(names)], "lang_pred", "score"])
+                                             names=[*names, *results])
 
-    rows = docs.select(*names, F.col(text).alias("__text"))
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    rows = docs.select(*names, F.col(text).alias(read))
+    schema = docs.select(*names).schema.add(results[0], "string").add(results[1], "double")
     return rows.mapInArrow(score, schema)
