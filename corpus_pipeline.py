@@ -17,8 +17,8 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled documents at hand; drop those without a letter or without a language that is likelier than not."""
-    scored = language.identify_language(docs, language.fit_language_model(docs))
-    return scored.where((scored.lang_pred != language.UNKNOWN) & (scored.score >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    scored = language.identify_language(docs, language.fit_language_model(docs), results=("__lang", "__score"))
+    return scored.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
