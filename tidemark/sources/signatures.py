@@ -16,6 +16,7 @@ from tidemark.operators.filters import search_any
 
 BUCKET = 32_768     # positions of one Spark bitmap
 BUCKETS = 8         # bitmaps per file: 32 KB
+WORD = 64           # places that are set together
 
 
 def _positions(text: Column) -> Column:
@@ -24,15 +25,29 @@ def _positions(text: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(3))), F.lit(BUCKET * BUCKETS))))
 
 
-def write_signatures(spark: SparkSession, table: str, index: str) -> None:
-    """Index all files of a Parquet table: file, bucket, bitmap. Bits are set per task first, so at most 32 KB a file move."""
+def signatures(spark: SparkSession, table: str) -> DataFrame:
+    """file, bucket, bitmap of all files of a Parquet table.
+
+    Bits are set per task first, in words of 64 places: numbers, whose aggregation is hashed and holds at most 4,096 of
+    them per file however many rows it has. Binary bitmaps as the first step would have every place sorted in memory.
+    """
     df = spark.read.parquet(table)
     texts = [F.lower(F.col(f"`{c}`").cast("string")) for c in df.columns]
     places = F.flatten(F.array(*[F.coalesce(_positions(t), F.array().cast("array<bigint>")) for t in texts]))
     bits = df.select(F.col("_metadata.file_path").alias("file"), F.explode_outer(places).alias("place"))
-    bitmaps = bits.groupBy("file", F.coalesce((F.col("place") / BUCKET).cast("int"), F.lit(0)).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.col("place") % BUCKET).alias("bitmap"))
-    bitmaps.write.mode("overwrite").parquet(index)
+    # the lowest byte of places comes first in the word's hexadecimal form, as it does in the bitmap
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.expr("cast(56 - 8 * (place % 64 div 8) + place % 8 AS int)"))
+    words = bits.groupBy("file", F.expr(f"cast(place div {WORD} AS int)").alias("word")).agg(F.bit_or(bit).alias("set"))
+    per_bucket = BUCKET // WORD
+    held = F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct(F.col("word") % per_bucket, F.col("set")))))
+    bitmaps = words.groupBy("file", F.coalesce(F.expr(f"cast(word div {per_bucket} AS int)"), F.lit(0)).alias("bucket")).agg(held.alias("held"))
+    text = F.transform(F.sequence(F.lit(0), F.lit(per_bucket - 1)), lambda w: F.lpad(F.hex(F.coalesce(F.col("held")[w], F.lit(0).cast("bigint"))), WORD // 4, "0"))
+    return bitmaps.select("file", "bucket", F.unhex(F.array_join(text, "")).alias("bitmap"))
+
+
+def write_signatures(spark: SparkSession, table: str, index: str) -> None:
+    """Index all files of a Parquet table: file, bucket, bitmap."""
+    signatures(spark, table).write.mode("overwrite").parquet(index)
 
 
 def _has(place: int) -> Column:
