@@ -62,3 +62,14 @@ def test_a_day_reads_its_own_partitions(spark, layer):
     plan = inc._one_day(spark, path, AS_OF)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert len(scans) >= 4 and all(f"({wh.DAY}#" in s and "PartitionFilters: []" not in s for s in scans)
+
+
+def test_days_lie_in_partitions_that_follow_the_subscriptions(layer):
+    """Wide rows of quiet days shuffle to little: their partitions are as many as the subscriptions ask for, and are not merged."""
+    _, facts, full = layer
+    assert inc.partitions_for(0) == 1 and inc.partitions_for(100 * inc.SUBSCRIPTIONS_PER_PARTITION) == 101
+    days = inc.user_days(*facts.values(), 9)
+    assert days.rdd.getNumPartitions() == 9
+    state = inc.state_of(days, 9)
+    assert state.rdd.getNumPartitions() == 9 and inc.merge(state, state).rdd.getNumPartitions() == 9
+    assert rows(inc.measures(state), full.columns) == rows(full, full.columns)

@@ -301,8 +301,10 @@ def churn_feature_matrix(spark, sf):
 @query("a13_incremental_matrix", f"{MATRIX_ALL}\nSELECT * FROM matrix")
 def incremental_matrix(spark, sf):
     """The same matrix from mergeable states: all days but the last fifteen, then these."""
-    built = wh.build_all(raw_tables(spark, sf), AS_OF)
-    days = incremental.user_days(*[built[name] for name in incremental.DAILY_TABLES])
+    raw = raw_tables(spark, sf)
+    built = wh.build_all(raw, AS_OF)
+    partitions = incremental.partitions_for(raw["subscription_accounts"].count())
+    days = incremental.user_days(*[built[name] for name in incremental.DAILY_TABLES], partitions)
     cut = F.lit(AS_OF - dt.timedelta(days=15))
-    state = incremental.merge(incremental.state_of(days.filter(F.col(wh.DAY) <= cut)), incremental.state_of(days.filter(F.col(wh.DAY) > cut)))
+    state = incremental.merge(*[incremental.state_of(days.filter(part), partitions) for part in (F.col(wh.DAY) <= cut, F.col(wh.DAY) > cut)])
     return round_doubles(wh.assemble_matrix(built["dim_users"], incremental.measures(state)))

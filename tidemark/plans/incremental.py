@@ -21,6 +21,9 @@ from tidemark.plans.warehouse import (
 )
 
 LONGEST = 30
+#: Subscriptions whose days share a partition. Quiet days are wide rows of zeros, which shuffle to next to nothing and are
+#: large in memory, so partitions sized by their shuffled bytes hold too many of them.
+SUBSCRIPTIONS_PER_PARTITION = 5_000
 MINUTES, LATENCY, LARGEST = "daily_total_duration_sec", "daily_avg_latency_ms", "daily_largest_contentful_paint_ms"
 #: Daily columns that add up over days, and those that the trailing windows need day by day.
 SUMMED = list(dict.fromkeys([*LIFETIME_SUMS.values(), *LIFETIME_MEANS.values(), MINUTES]))
@@ -29,12 +32,23 @@ FACTS = {name: fact for name, (fact, _) in {**SNAPSHOT_ACTIVITY, **SNAPSHOT_SUPP
 DAILY_TABLES = ("subscription_lifecycle_daily", "user_activity_daily", "customer_support_daily", "billing_and_revenue_daily")
 
 
-def user_days(spine: DataFrame, activity: DataFrame, support: DataFrame, billing: DataFrame) -> DataFrame:
-    """One row per user and day with an open subscription; activity and support count once per subscription, bills once."""
-    opened = spine.groupBy(USER, DAY).agg(F.count(F.lit(1)).alias("open"), F.max(flag(F.col("subscription_status") == "CANCELLED")).alias("cancelled"))
+def partitions_for(subscriptions: int) -> int:
+    """In how many partitions the days of so many subscriptions lie, so that a task's memory does not grow with the input."""
+    return subscriptions // SUBSCRIPTIONS_PER_PARTITION + 1
+
+
+def user_days(spine: DataFrame, activity: DataFrame, support: DataFrame, billing: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One row per user and day with an open subscription; activity and support count once per subscription, bills once.
+
+    ``partitions`` (see ``partitions_for``) fixes how many the spine is dealt to; without it the session decides.
+    """
+    def dealt(*keys: str) -> DataFrame:
+        return spine.repartition(partitions, *keys) if partitions else spine
+
+    opened = dealt(USER, DAY).groupBy(USER, DAY).agg(F.count(F.lit(1)).alias("open"), F.max(flag(F.col("subscription_status") == "CANCELLED")).alias("cancelled"))
     bills = [name for name in FACTS if name in SNAPSHOT_BILLING]
     billed = (billing.select(SUBSCRIPTION, DAY, *[F.col(FACTS[name]).alias(name) for name in bills])
-              .join(spine.select(SUBSCRIPTION, DAY, USER), [SUBSCRIPTION, DAY]).groupBy(USER, DAY).agg(*[F.sum(name).alias(name) for name in bills]))
+              .join(dealt(SUBSCRIPTION, DAY).select(SUBSCRIPTION, DAY, USER), [SUBSCRIPTION, DAY]).groupBy(USER, DAY).agg(*[F.sum(name).alias(name) for name in bills]))
     joined = opened
     for table, columns in ((activity, SNAPSHOT_ACTIVITY), (support, SNAPSHOT_SUPPORT)):
         joined = joined.join(table.select(USER, DAY, *[F.col(fact).alias(name) for name, fact in FACTS.items() if name in columns]), [USER, DAY], "left")
@@ -44,8 +58,10 @@ def user_days(spine: DataFrame, activity: DataFrame, support: DataFrame, billing
     return joined.select(USER, DAY, "open", "cancelled", *[(filled[n] if n in once else filled[n] * F.col("open")).alias(n) for n in FACTS])
 
 
-def state_of(days: DataFrame) -> DataFrame:
+def state_of(days: DataFrame, partitions: int | None = None) -> DataFrame:
     """The state of some user-days: a partial state if they are one day, the whole state if they are all."""
+    if partitions:
+        days = days.repartition(partitions, USER)
     final = days.groupBy(USER).agg(F.max(DAY).alias("__final"))
     recent = F.col(DAY) >= F.date_sub("__final", LONGEST)
     entry = F.struct(F.col(DAY).alias("day"), F.col("open"), *RECENT)
@@ -109,7 +125,8 @@ def _one_day(spark: SparkSession, layer: str, day: dt.date) -> DataFrame:
 def build_state(spark: SparkSession, layer: str, root: str, day: dt.date) -> None:
     """The state as of ``day`` from all days of the daily tables of ``layer``."""
     tables = [spark.read.parquet(f"{layer}/{name}").filter(F.col(DAY) <= F.lit(day)) for name in DAILY_TABLES]
-    state_of(user_days(*tables)).write.mode("overwrite").parquet(f"{root}/as_of={day}")
+    partitions = partitions_for(tables[0].filter(F.col(DAY) == F.lit(day)).count())
+    state_of(user_days(*tables, partitions), partitions).write.mode("overwrite").parquet(f"{root}/as_of={day}")
 
 
 def advance_state(spark: SparkSession, layer: str, root: str, day: dt.date) -> None:
