@@ -166,3 +166,14 @@ def test_layers_in_equal_buckets_join_without_an_exchange(spark, raw, built):
             assert rows(tables[name].select(*built[name].columns)) == rows(built[name])
     finally:
         spark.sql("DROP DATABASE tidemark_layers CASCADE")
+
+
+def test_zeros_are_rounded_without_a_decimal(spark):
+    """Quiet days are zeros: their rounding is decided before the exact one, whose result all other values keep."""
+    from tidemark.catalogue.base import r4
+    from tidemark.catalogue.warehouse import round_doubles
+    df = spark.createDataFrame([(v,) for v in (0.0, -0.0, None, float("nan"), float("inf"), 1e300, 1.00005, -2.34565, 1e-12, -1e-6)], "v double")
+    got, exact = [[str(r.v) for r in d.collect()] for d in (round_doubles(df), df.select(r4("v").alias("v")))]
+    assert got == exact
+    plan = round_doubles(df)._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN (v" in plan and "THEN 0.0" in plan

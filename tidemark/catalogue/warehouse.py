@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.catalogue.base import query, r4, sql_round as r
+from tidemark.catalogue.base import query, sql_round as r
 from tidemark.catalogue.standin import AS_OF, RAW_SQL, raw_tables
+from tidemark.functions import half_up
 from tidemark.plans import incremental
 from tidemark.plans import warehouse as wh
 
@@ -59,8 +60,9 @@ MATRIX_COLUMNS = [
 
 
 def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles rounded half up. Most days are quiet: their zeros need no exact decimal, which is the dear part of a wide table."""
     doubles = [name for name, kind in df.dtypes if kind == "double"]
-    return df.withColumns({name: r4(name) for name in doubles})
+    return df.withColumns({name: F.when(F.col(name) == 0, F.lit(0.0)).otherwise(half_up(name, places)) for name in doubles})
 
 
 def _json(column: str, field: str, pattern: str, replacement: str) -> str:
