@@ -83,3 +83,12 @@ def test_copies_are_neighbours():
     same = [np.arange(50), np.arange(500, 900), np.arange(50)]
     keys = cp.curve_keys(same)
     assert keys[0] == keys[2] != keys[1]
+
+
+def test_long_pieces_are_found_without_a_search_of_plain_texts(monkeypatch):
+    n = cp.LONG
+    for text in ("", "a b " * 2000, "a" * (n - 1), "a" * n, " " * n, "x " * 700 + "a" * n, "x " * 701 + "a" * (n - 1) + " b", "a b" + "\n" * n,
+                 "y" * 999 + " " + "\t" * (n - 1) + "z", "\u00a0" * n, "a\n" * n, "\x1c" * n, "ab " + "\x1c" * (n - 1), "a" * 1500 + "\u2003" + "b" * 1999):
+        assert cp.has_long_piece(text) == (cp.LONG_PIECE.search(text) is not None), (len(text), text[:5])
+    monkeypatch.setattr(cp, "LONG_PIECE", None)      # ordinary prose must not need the dear pattern
+    assert not cp.has_long_piece("some ordinary words of a text " * 500)

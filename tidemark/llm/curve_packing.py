@@ -36,7 +36,18 @@ BUCKETS = 512
 SEED = 20_240_229
 #: Beyond these characters the two libraries may class letters by different Unicode versions.
 LATIN_ONLY = regex.compile(r"[\x00-ɏ‐-‧€]*+")
-LONG_PIECE = regex.compile(r"\S{2000}|\s{2000}")
+LONG = 2000
+LONG_PIECE = regex.compile(rf"\S{{{LONG}}}|\s{{{LONG}}}")
+
+
+def has_long_piece(text: str) -> bool:
+    """Whether ``LONG_PIECE`` is found: such a piece covers a whole aligned half of its length, so only texts with a half that has no blank, or nothing else, are searched."""
+    half = LONG // 2
+    for start in range(0, len(text) - half + 1, half):
+        part = text[start:start + half]
+        if " " not in part or part.isspace():
+            return LONG_PIECE.search(text) is not None
+    return False
 
 
 @lru_cache(maxsize=2)
@@ -58,7 +69,7 @@ def token_encoder(name: str) -> Callable[[list[str]], list[list[int]]]:
     def encode(texts: list[str]) -> list[list[int]]:
         out = []
         for text in texts:
-            if fast and LATIN_ONLY.fullmatch(text) and not LONG_PIECE.search(text) and not any(s in text for s in special):
+            if fast and (text.isascii() or LATIN_ONLY.fullmatch(text)) and not has_long_piece(text) and not any(s in text for s in special):
                 out.append(fast.encode_ordinary(text))
             else:
                 out.append(slow.encode(text, add_special_tokens=False).ids)
