@@ -90,3 +90,16 @@ def test_query_equals_brute_force(spark):
     got = found(QUERIES["op9_overlap_join"](spark, FOLDER))
     assert got == brute.jaccard_components(docs)
     assert len({c for _, c in got.values()}) < len(got)
+
+
+def test_keys_come_with_the_classes_from_one_scan(spark):
+    """Texts are cut into shingles once for sizes, classes and keys; a null id and a copy in the same task give no keys."""
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words, 0), (2, words, 0), (None, words + " more", 1), (3, None, 2), (4, "a b", 3)], "doc_id long, text string, row int").coalesce(1)
+    found = {r.doc_id: r for r in oj._classes(docs, 4, 85).collect()}
+    tokens = oj.Shingler(4).sets([oj.words_of(words)])[0]
+    assert found[1].keys == oj.part_keys(tokens, 85).tolist() and found[1]["class"] == found[2]["class"] == oj.class_of(tokens)
+    assert [found[d].n for d in (1, 2, None, 3, 4)] == [57, 57, 58, 0, 1] and all(found[d].keys == [] for d in (2, None, 3, 4))
+    keys = oj._keys(oj.written(oj._classes(docs, 4, 85)))
+    assert "MapInArrow" not in keys._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.key for r in keys.collect()) == sorted(found[1].keys) and {r["class"] for r in keys.collect()} == {found[1]["class"]}

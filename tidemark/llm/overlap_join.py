@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, WordHashes, flat, mixed, slices
+from tidemark.llm.common import RollingHash, WordHashes, flat, mixed, slices, written
 from tidemark.session import cut_lineage
 
 SHINGLE = 4
@@ -190,32 +190,31 @@ def search_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None
     return out
 
 
-def _classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row, n, class: size and hash of each text's set."""
+def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, row, n, class, keys: size and hash of each text's set, and the keys of its parts, all from one look at the text."""
+    none = np.zeros(0, np.int64)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(shingle)
+        shingler, sent = Shingler(shingle), set()
         for batch, texts in slices(batches):
             sets = shingler.sets([words_of(t) for t in texts])
+            names, keys = [class_of(s) for s in sets], []
+            for doc, name, tokens in zip(batch.column(0).to_pylist(), names, sets):
+                fresh = doc is not None and name not in sent          # a copy in the same task has the same keys
+                if fresh:
+                    sent.add(name)
+                keys.append(part_keys(tokens, percent) if fresh else none)
+            bounds = np.zeros(len(keys) + 1, np.int32)
+            np.cumsum([len(k) for k in keys], out=bounds[1:])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())],
-                names=["doc_id", "row", "n", "class"])
-    return docs.mapInArrow(scan, "doc_id long, row int, n long, class long")
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys)))],
+                names=["doc_id", "row", "n", "class", "keys"])
+    return docs.mapInArrow(scan, "doc_id long, row int, n long, class long, keys array<long>")
 
 
-def _keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sent = Shingler(shingle), set()
-        for batch, texts in slices(batches):
-            keys, classes = [], []
-            for tokens in shingler.sets([words_of(t) for t in texts]):
-                name = class_of(tokens)
-                if name not in sent:                     # a copy in the same task has the same keys
-                    sent.add(name)
-                    keys.append(part_keys(tokens, percent))
-                    classes.append(np.full(len(keys[-1]), name))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(classes))], names=["key", "class"])
-    return docs.mapInArrow(scan, "key long, class long")
+def _keys(classes: DataFrame) -> DataFrame:
+    return classes.select(F.explode("keys").alias("key"), "class")
 
 
 def _routes(keys: DataFrame) -> DataFrame:
@@ -328,11 +327,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """doc_id, n_shingles, component_id (least id reachable by links), class."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                        F.hash(F.col(text).cast("string")).alias("row"))
-    known = cut_lineage(_classes(rows, shingle))
+    known = written(_classes(rows, shingle, percent))
     first = (known.where("doc_id IS NOT NULL AND n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.max("n").alias("n"))
              .select("class", "first.*", "n"))
     full = rows.where("doc_id IS NOT NULL")
-    routes = cut_lineage(_routes(_keys(full, shingle, percent)))
+    routes = cut_lineage(_routes(_keys(known)))
     roots = connected_components(_links(full, _blocks(routes, first, block_shingles), shingle, percent))
     named = first.join(roots, first["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
