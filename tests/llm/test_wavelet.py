@@ -103,3 +103,21 @@ def test_chunks_equal_whole_texts(tokenizer):
     texts = ["".join(rng.choice(chars if rng.random() < 0.4 else "abC 'sTt.1\n") for _ in range(200)) for _ in range(600)]
     known = w.chunk_ids(w.TOKENIZER)
     assert [i.tolist() for i in known.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_of_letters_need_no_pattern(monkeypatch):
+    """Ids are the library's, and a chunk of letters alone is taken as the word that it is."""
+    class Seen:
+        def __init__(self, pattern):
+            self.pattern, self.chunks = pattern, []
+
+        def findall(self, chunk):
+            self.chunks.append(chunk)
+            return self.pattern.findall(chunk)
+
+    seen = Seen(w.WORDS)
+    monkeypatch.setattr(w, "WORDS", seen)
+    texts = ["Ein l\u00e4ngerer Text, it's x2 \u00bd a\u00aab \u0130 \u0131 \u00b5 \u01c5 \u1e9e", "plain words only", "", "\x1c a\x1db", "'s s' ''ll we'll"]
+    encoder = w.ChunkIds(w.TOKENIZER)
+    assert [e.tolist() for e in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert seen.chunks and not any(c.isalpha() for c in seen.chunks)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -40,12 +41,12 @@ SHARD_TOKENS = 1 << 20
 BLOCK = 512
 MAGIC = b"TWM1"
 KNOWN = 600_000
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 #: How the tokenizer file cuts lower-cased texts into words, and what the last token of a word ends in (fixed values of the file).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}++|\p{N}|[^\s\p{L}\p{N}]++")
 WORD_END = "</w>"
 #: Characters whose case, normal form and white space the standard string methods and the tokenizer file see alike.
-PLAIN = regex.compile("[\x00-\x1b\x20-įı-ɏ‐-‧€]*+")
+OTHER = re.compile("[^\x00-\x1b\x20-įı-ɏ‐-‧€]")
 
 
 class ChunkIds:
@@ -68,7 +69,7 @@ class ChunkIds:
         self.words: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        found = {c: WORDS.findall(c) for c in chunks}
+        found = {c: [c] if c.isalpha() else WORDS.findall(c) for c in chunks}      # letters alone are one word
         known = self.words
         fresh = list(set().union(*found.values()).difference(known))
         if fresh:
@@ -94,11 +95,11 @@ class ChunkIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of whole texts; texts with other characters or with a special token go through it whole."""
-        plain = np.array([PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special) for text in texts], bool)
+        plain = np.array([OTHER.search(text) is None and not any(s in text for s in self.special) for text in texts], bool)
         whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
         split = pc.utf8_split_whitespace(pa.array([t.lower() for t, p in zip(texts, plain) if p], pa.large_string()))
         chunks = split.flatten().dictionary_encode()
-        number, ids = chunks.indices.to_numpy(), self._of(chunks.dictionary.to_pylist())
+        number, ids = chunks.indices.to_numpy(), self._of(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         # the ids of chunk after chunk, and where each text's first chunk begins among them
