@@ -121,3 +121,37 @@ def test_words_of_letters_need_no_pattern(monkeypatch):
     encoder = w.ChunkIds(w.TOKENIZER)
     assert [e.tolist() for e in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert seen.chunks and not any(c.isalpha() for c in seen.chunks)
+
+
+def test_words_are_kept_in_arrays_and_cut_at_once(monkeypatch):
+    """One search cuts all chunks of a call, words are no objects of their own, known ones are not encoded again."""
+    class Seen:
+        def __init__(self, target, name):
+            self.target, self.calls = getattr(target, name), []
+            monkeypatch.setattr(target, name, self)
+
+        def findall(self, text):
+            self.calls.append(text)
+            return self.target.findall(text)
+
+        def encode_batch_fast(self, texts, **options):
+            self.calls.append([t for t in texts if t])
+            return self.target.encode_batch_fast(texts, **options)
+
+    encoder = w.ChunkIds(w.TOKENIZER)
+    library, pattern = Seen(encoder, "tokenizer"), Seen(w, "WORDS")
+    every = [chr(c) for c in range(0x2100) if not w.OTHER.search(chr(c))]
+    texts = [" ".join(f"n{i}, {i}-x it's" for i in range(300)), "", "".join(every), " ".join(f"a{c}'ll{c}{c}1" for c in every), " ".join(f"b{c} {c}" for c in every), "n1, y n1,z"]
+    expected = [library.target.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [e.tolist() for e in encoder.encode(texts)] == expected
+    assert len(pattern.calls) == 1
+    assert len(encoder.words.unique()) == len(encoder.words) == len(encoder.ends) - 1 and encoder.ends[-1] == len(encoder.ids)
+    library.calls.clear()
+    assert [e.tolist() for e in encoder.encode(texts[::-1])] == expected[::-1]
+    assert not any(library.calls)
+    monkeypatch.setattr(w, "KNOWN", 10)        # more are known by now: all are forgotten
+    assert encoder.encode(["n2, new"])[0].tolist() == library.target.encode("n2, new", add_special_tokens=False).ids
+    assert encoder.words.to_pylist() == ["new", "n", "2", ","]
+    for text in ("xq" * 400, "few"):           # one word of more ids than are kept
+        assert encoder.encode([text])[0].tolist() == library.target.encode(text, add_special_tokens=False).ids
+    assert encoder.words.to_pylist() == ["few"]

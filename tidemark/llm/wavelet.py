@@ -18,6 +18,7 @@ import itertools
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,18 +42,29 @@ BLOCK = 512
 MAGIC = b"TWM1"
 KNOWN = 600_000
 SLICE_BYTES = 8_000_000
-#: How the tokenizer file cuts lower-cased texts into words, and what the last token of a word ends in (fixed values of the file).
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}++|\p{N}|[^\s\p{L}\p{N}]++")
+#: What the last token of a word ends in (a fixed value of the tokenizer file).
 WORD_END = "</w>"
 #: Characters whose case, normal form and white space the standard string methods and the tokenizer file see alike.
 OTHER = re.compile("[^\x00-\x1b\x20-įı-ɏ‐-‧€]")
+#: How the file cuts texts of all other characters, lower-cased, into words: classes of few characters are searched faster than properties.
+LOWERED = sorted({c for char in map(chr, range(0x2100)) if not OTHER.search(char) for c in char.lower()})
+LETTERS, NUMBERS = ("".join(c for c in LOWERED if unicodedata.category(c)[0] == kind) for kind in "LN")
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]++|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]++")
+
+
+def spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` of span after span, and where each span begins and the last one ends among them."""
+    ends = np.append(0, np.cumsum(sizes))
+    places = np.repeat((starts - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)
+    return values.take(places), ends
 
 
 class ChunkIds:
     """Ids of texts by a tokenizer file whose words end in a token of their own kind.
 
-    No word of the file crosses white space, so a text is its chunks between white space. Ids of chunks and of the words
-    they consist of are remembered, a bounded number of each; unknown words go through the library together, each once.
+    No word of the file crosses white space, so a text is its chunks between white space. Each distinct chunk of a call is
+    cut into words once; a bounded number of words is remembered with their ids, in arrays rather than one object a word;
+    unknown words go through the library together, each once.
     """
 
     def __init__(self, name: str) -> None:
@@ -65,33 +76,43 @@ class ChunkIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = {c: [c] if c.isalpha() else WORDS.findall(c) for c in chunks}      # letters alone are one word
-        known = self.words
-        fresh = list(set().union(*found.values()).difference(known))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)      # ids of word after word, and where each begins
+
+    def _numbers(self, words: list[pa.Array]) -> np.ndarray:
+        """Numbers of words among the remembered ones; unknown ones are learned."""
+        if len(self.words) > KNOWN or len(self.ids) > 16 * KNOWN:       # few words can be long
+            self._forget()
+        known = len(self.words)
+        every = pa.concat_arrays([self.words, *words]).dictionary_encode()       # keeps the numbers of those remembered
+        fresh = every.dictionary[known:].to_pylist()
         if fresh:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(fresh):
                 raise ValueError("a word of the tokenizer does not end in a closing token")
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(fresh, (4 * ends).tolist()):
-                known[word] = raw[at:end]
-                at = end
-        for chunk, words in found.items():
-            self.chunks[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-
-    def _of(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks."""
-        if len(self.chunks) > KNOWN:
-            self.chunks = {}
-        if len(self.words) > KNOWN:
-            self.words = {}
-        self._learn([c for c in chunks if c not in self.chunks])
-        return list(map(self.chunks.__getitem__, chunks))
+            self.words = every.dictionary
+            self.ids, self.ends = np.append(self.ids, ids), np.append(self.ends, len(self.ids) + ends)
+        return every.indices.to_numpy()[known:]
+
+    def _of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after another, and where each chunk begins and the last one ends among them."""
+        letters = pc.utf8_is_alpha(chunks).to_numpy(zero_copy_only=False)       # letters alone are one word
+        mixed = chunks.filter(pa.array(~letters))
+        found = pa.array(WORDS.findall(" ".join(mixed.to_pylist())), pa.large_string())
+        # the words of a chunk cover it, so its last one ends where the chunk does; an empty chunk has none
+        upto = np.searchsorted(np.cumsum(pc.binary_length(found).to_numpy()), np.cumsum(pc.binary_length(mixed).to_numpy()), "right")
+        number = self._numbers([chunks.filter(pa.array(letters)), found])
+        flat, ends = spans(self.ids, self.ends[number], self.ends[number + 1] - self.ends[number])
+        # words of letters alone stand before the others: the first word of each chunk and the one after its last
+        own = len(chunks) - len(mixed)
+        first, after = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        first[letters], after[letters] = np.arange(own), np.arange(1, own + 1)
+        first[~letters], after[~letters] = own + np.append(0, upto)[:-1], own + upto
+        return spans(flat, ends[first], ends[after] - ends[first])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of whole texts; texts with other characters or with a special token go through it whole."""
@@ -99,14 +120,10 @@ class ChunkIds:
         whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
         split = pc.utf8_split_whitespace(pa.array([t.lower() for t, p in zip(texts, plain) if p], pa.large_string()))
         chunks = split.flatten().dictionary_encode()
-        number, ids = chunks.indices.to_numpy(), self._of(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        number = chunks.indices.to_numpy()
+        ids, ends = self._of(chunks.dictionary)
         # the ids of chunk after chunk, and where each text's first chunk begins among them
-        own = sizes[number]
-        ends = np.append(0, np.cumsum(own))
-        shift = ((np.cumsum(sizes) - sizes)[number] - ends[:-1]).astype(np.int32)
-        flat = flat.take(np.repeat(shift, own) + np.arange(ends[-1], dtype=np.int32))
+        flat, ends = spans(ids, ends[number], np.diff(ends)[number])
         bounds = iter(itertools.pairwise(ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()))
         return [flat[slice(*next(bounds))] if p else np.array(next(whole).ids, "<u4") for p in plain.tolist()]
 
