@@ -42,6 +42,31 @@ def test_equals_brute_force(spark, options):
     assert got(b.mine(df, F.expr("vec_id % 10 = 0"), **options)) == brute(rows, lambda i: i % 10 == 0)
 
 
+def test_nothing_that_grows_is_broadcast(spark):
+    """Blocks copied to all cells look as small as the blocks; they must not be gathered on the driver."""
+    rows = vectors(5, 400)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1k")    # fails at the first broadcast, also in jobs that run before the result's
+    try:
+        found = b.mine(df, F.expr("vec_id % 10 = 0"), leaf=4, tree_bytes=600, block=3)
+        assert got(found) == brute(rows, lambda i: i % 10 == 0)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_block_is_copied_once_per_cell(spark, monkeypatch):
+    """Cells grow far slower than trees; where a cell holds several trees the result is the same."""
+    assert [b.parts_of(n) for n in (0, 1, 64, 65, 2048, 2049, 6400)] == [1, 1, 64, 64, 64, 65, 200]
+    monkeypatch.setattr(b, "PARTS", 3)
+    rows = vectors(6, 500)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    trees = b.plant(b.quantised(df.select(F.col("vec_id").alias("row"), "vec_id", F.col("label").cast("long"), "embedding"), 256), [0, 1, 2], 8, 20, 4)
+    parts = [r.part for r in trees.select("part").collect()]
+    assert len(parts) > 9 and max(parts) < 3
+    assert got(b.mine(df, F.expr("vec_id % 10 = 0"), leaf=4, tree_bytes=320, block=3)) == brute(rows, lambda i: i % 10 == 0)
+
+
 def test_edges(spark):
     rows = vectors(2, 40, 3, 2) + [(100, None, 1), (101, [1.0, None, 2.0], 1), (102, [float("nan"), 1.0, 1.0], 0), (103, [float("inf"), 0.0, 0.0], 0),
                                    (104, [0.5, 0.5, 0.5], None), (None, [0.5, 0.5, 0.5], 1), (105, [0.0, 0.0, 0.0], 1), (106, [-1.0, -1.0, -1.0], 7), (20, [0.4, 0.1, 0.2], 0)]

@@ -5,8 +5,12 @@ level; inside a partition rows are tiled further by the next widest coordinates
 Each tree is one row: vectors, labels and the least and greatest value of every coordinate per leaf and node. A box and
 an anchor give an interval of inner products, coordinate by coordinate; labels are one more coordinate of the box.
 
-Anchors travel in blocks and meet every tree of their cell in an ordinary join (a stated query set against all rows). Per
-anchor a queue opens the box with the greatest upper bound first and drops boxes that hold no wanted label, that lie
+Anchors travel in blocks and meet every tree of their cell in an ordinary join (a stated query set against all rows). Cells
+are the range partitions, and a block is copied once per cell: a cell is one tree up to PARTS trees, then it holds several,
+about PART_TREES at most. All joins are by sort and merge: a block copied to all cells counts in Spark's estimate as the
+block alone, so that all copies would be broadcast through the driver.
+
+Per anchor a queue opens the box with the greatest upper bound first and drops boxes that hold no wanted label, that lie
 outside all score windows, or whose upper bound is strictly below the k-th score so far; thresholds are carried from tree
 to tree of a task. Each tree returns its best rows per anchor and Spark merges them, first for the positives, then for the
 windows that follow from their scores.
@@ -41,6 +45,8 @@ TREE_BYTES = 1 << 20
 BLOCK = 256
 TILES = 3
 REMEMBERED_BLOCKS = 1000
+PARTS = 64
+PART_TREES = 32
 
 
 def quantised(rows: DataFrame, scale: int) -> DataFrame:
@@ -125,6 +131,16 @@ def build_tree(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: n
     return {"rows": rows[order], "ids": ids[order], "labels": labels[order], "vectors": narrow(vectors[order]), "levels": levels}
 
 
+def parts_of(wanted: int) -> int:
+    """Partitions for so many trees or blocks: each its own up to PARTS, then several to one, PART_TREES at most."""
+    return max(1, min(wanted, PARTS), -(-wanted // PART_TREES))
+
+
+def met(left: DataFrame, right: DataFrame, by: str | list[str]) -> DataFrame:
+    """An inner join without a broadcast, whatever Spark takes the sizes of packed and copied rows to be."""
+    return left.join(right.hint("merge"), by)
+
+
 def plant(vectors: DataFrame, dims: list[int], width: int, tree_rows: int, leaf: int) -> DataFrame:
     """One row per tree: part (of the range partitioning) and the pickled tree."""
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +160,8 @@ def plant(vectors: DataFrame, dims: list[int], width: int, tree_rows: int, leaf:
                     held, size = [], 0
         if held:
             yield tree()
-    lead = F.get("vector", dims[0]) if dims else F.lit(0)
-    dealt = vectors.repartitionByRange(max(1, -(-vectors.count() // tree_rows)), "label", lead, "vec_id", "row")
+    by = ["label", *(F.get("vector", d) for d in dims[:1]), "vec_id", "row"]
+    dealt = vectors.repartitionByRange(parts_of(-(-vectors.count() // tree_rows)), *by).sortWithinPartitions(*by)
     return dealt.select("row", "vec_id", "label", "vector").mapInArrow(grow, "part long, tree binary")
 
 
@@ -159,7 +175,7 @@ def anchor_blocks(anchors: DataFrame, width: int, size: int) -> DataFrame:
                 load = (*(part.column(i).to_numpy().copy() for i in range(3)), narrow(matrix_of(part.column(3), width)))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pickle.dumps(load, 5)], pa.binary())], names=["block", "anchors"])
                 number += 1
-    dealt = anchors.repartition(max(1, -(-anchors.count() // size)))
+    dealt = anchors.repartition(parts_of(-(-anchors.count() // size)))
     return dealt.select("row", "vec_id", "label", "vector").mapInArrow(pack, "block long, anchors binary")
 
 
@@ -299,13 +315,13 @@ def mine(vectors: DataFrame, is_anchor: Column, vec_id: str = "vec_id", embeddin
 
     def against_all(some: DataFrame, limit: int | None) -> DataFrame:
         dealt = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
-        pairs = dealt.join(trees, "part")
+        pairs = met(dealt, trees, "part")
         return pairs.select("block", "anchors", "tree", *([] if limit is None else ["bases"])).mapInArrow(_searcher(kind, positives, limit, low, high), FOUND)
 
     best = written(_ranked(against_all(blocks, None), ["block", "slot"], positives))
     # at most ``positives`` scores for each anchor of a block
     bases = best.groupBy("block").agg(F.collect_set(F.struct("slot", "score")).alias("bases"))
-    worst = _ranked(against_all(blocks.join(bases, "block"), negatives), ["block", "slot", "base"], negatives)
+    worst = _ranked(against_all(met(blocks, bases, "block"), negatives), ["block", "slot", "base"], negatives)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,9 +329,9 @@ def mine(vectors: DataFrame, is_anchor: Column, vec_id: str = "vec_id", embeddin
                 ids = pickle.loads(batch.column(1)[i].as_py())[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), batch.column(0)[i].as_py())), pa.array(np.arange(len(ids))), pa.array(ids)], names=["block", "slot", "anchor_id"])
     anchors = blocks.mapInArrow(name, "block long, slot long, anchor_id long")
-    pairs = best.select("block", "slot", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")).join(anchors, ["block", "slot"])
+    pairs = met(best.select("block", "slot", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), anchors, ["block", "slot"])
     hard = worst.select("block", "slot", F.col("base").alias("positive_score"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
-    return pairs.join(hard, ["block", "slot", "positive_score"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+    return met(pairs, hard, ["block", "slot", "positive_score"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
 
 #: The table's labels as the query reads them: every seventh row's label is moved on by one.
